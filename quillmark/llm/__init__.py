@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("winnow",)
+MODULES = ("winnow", "linededup")
 
 
 def _parts() -> list:
