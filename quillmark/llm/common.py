@@ -67,12 +67,12 @@ def rows_of(batches: Iterable[pa.RecordBatch], *columns: str, step: int = 512) -
 
 #: Fixed values of the splitmix64 finaliser.
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+GOLDEN = 0x9E3779B97F4A7C15
 
 
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """The splitmix64 finaliser, elementwise, on a copy."""
-    x = x.astype(np.uint64) + GOLDEN * np.uint64(seed + 1)
+    x = x.astype(np.uint64) + np.uint64(GOLDEN * (seed + 1) % (1 << 64))
     x ^= x >> np.uint64(30)
     x *= MIX[0]
     x ^= x >> np.uint64(27)
@@ -104,10 +104,16 @@ class SpanHasher:
         if have is None or len(have[0]) < n:
             size = max(n, 1 << 16)
             inverse = pow(base, -1, 1 << 64)
-            have = tuple(np.cumprod(np.concatenate([[1], np.full(size - 1, b & (2**64 - 1), np.uint64)]).astype(np.uint64), dtype=np.uint64) for b in (base, inverse))
+            have = tuple(cls._raised(b, size) for b in (base, inverse))
             if size <= 1 << 23:
                 cls._powers[base] = have
         return have
 
+    @staticmethod
+    def _raised(base: int, n: int) -> np.ndarray:
+        powers = np.full(n, base & (2**64 - 1), np.uint64)
+        powers[0] = 1
+        return np.cumprod(powers, dtype=np.uint64)
+
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.prefix[end] - self.prefix[start]) * self.down[start]
