@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.components import written
 
 #: Bytes of text that a Python step holds at once (a single longer text is held alone).
 BLOCK_BYTES = 1 << 21
@@ -18,28 +19,13 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the session names none (single-machine tests) a temporary folder is set.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='quillmark-')}"
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again.
+    """Write df to the folder that driver and executors share, and read it again.
 
     Cuts the lineage so that a lost executor costs only its own tasks, and gives later joins
     plain scans below their exchanges, which adaptive execution can split where a key is hot.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillmark/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def blocks(rows: Iterable[tuple], size_of, limit: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
@@ -63,6 +49,23 @@ def rows_of(batches: Iterable[pa.RecordBatch], *columns: str, step: int = 512) -
             yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
 
 
+#: 64-bit words of the bitmap that marks keys: its size is fixed, whatever the input.
+BITMAP_WORDS = 1 << 18
+
+
+def marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows with ``maybe``: false only if the BIGINT key is not among wanted's (a column of that name).
+
+    Spares rows without a partner the shuffle of a join. The broadcast side has at most BITMAP_WORDS
+    rows; with more keys than bits it merely marks more rows.
+    """
+    word = F.pmod(F.col(key), F.lit(BITMAP_WORDS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(key), F.lit(64)).cast("int"))
+    bitmap = wanted.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    found = rows.join(F.broadcast(bitmap), word == F.col("_word"), "left")
+    return found.withColumn("maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
+
+
 # --- 64-bit hashing in numpy -------------------------------------------------------------
 
 #: Fixed values of the splitmix64 finaliser.
