@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("dartminhash", "winnow", "linededup", "suffixdedup")
+MODULES = ("langid", "dartminhash", "winnow", "linededup", "suffixdedup")
 
 
 def _parts() -> list:
