@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("langid", "dartminhash", "winnow", "linededup", "pieces", "suffixdedup")
+MODULES = ("langid", "dartminhash", "htmltext", "winnow", "linededup", "pieces", "suffixdedup")
 
 
 def _parts() -> list:
