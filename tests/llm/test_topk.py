@@ -1,0 +1,58 @@
+from __future__ import annotations
+
+import math
+import random
+
+import pytest
+
+from quillmark.llm import topk
+
+SCHEMA = "vec_id long, embedding array<float>, v string, norm2 int"
+
+
+def brute(rows, every, k):
+    vectors = sorted({(i, tuple(math.floor(256 * x) for x in e)) for i, e, *_ in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)})
+    out = []
+    for q, v in vectors:
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors if i != q)[:k]
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+def made(seed: int, n: int, dims: int, spread: float, hot: float):
+    rng = random.Random(seed)
+    centers = [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(6)]
+    same = [float(int(x * 64)) / 64 for x in centers[0]]
+    rows = []
+    for i in range(n):
+        length = rng.choice([0.1, 0.5, 1.0, 1.0, 4.0])
+        c = rng.choice(centers)
+        rows.append((i, same if rng.random() < hot else [float(round((x + rng.gauss(0, spread)) * length, 3)) for x in c], "clash", i))
+    import struct
+
+    return [(i, [struct.unpack("f", struct.pack("f", x))[0] for x in e], a, b) for i, e, a, b in rows]
+
+
+@pytest.mark.parametrize("seed,dims,spread,hot", [(1, 8, 0.05, 0.0), (2, 3, 1.0, 0.0), (3, 16, 0.3, 0.5), (4, 1, 0.2, 0.0)])
+def test_matches_brute_force(spark, monkeypatch, seed, dims, spread, hot):
+    monkeypatch.setattr(topk, "SEEDS", 40)
+    monkeypatch.setattr(topk, "BUCKET", 32)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "LENGTHS", 5)
+    rows = made(seed, 300, dims, spread, hot)
+    rows += [(1000, None, "", 0), (1010, [None] * dims, "", 0), (1020, [float("nan")] + [0.0] * (dims - 1), "", 0), (1030, [float("inf")] * dims, "", 0), (None, [0.5] * dims, "", 0), (1040, [0.0] * dims, "", 0), rows[20], rows[21]]
+    got = topk.top_k(spark.createDataFrame(rows, SCHEMA), 10, 5)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 10, 5)
+
+
+def test_few_rows_and_uneven_lengths(spark):
+    rows = [(0, [1.0, 2.0], "", 0), (50, [0.5], "", 0), (7, [], "", 0)]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(0, 1, 50, 256 * 128), (0, 2, 7, 0), (50, 1, 0, 256 * 128), (50, 2, 7, 0)]
+
+
+def test_empty_table(spark):
+    assert topk.top_k(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert topk.top_k(spark.createDataFrame([(1, [1.0], "", 0)], SCHEMA)).count() == 0
