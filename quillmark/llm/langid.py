@@ -253,6 +253,23 @@ def predict(docs: DataFrame, reader: LanguageReader | None) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_batches(reader), PREDICTIONS)
 
 
+def accepted(docs: DataFrame, reader: LanguageReader | None, least: float = 0.4) -> DataFrame:
+    """The rows of docs, unchanged, whose text has a language with at least this score."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column("text").to_pylist()
+                know = [i for i, t in enumerate(texts) if reader and t and _LETTER.search(t)]
+                keep = np.zeros(len(texts), bool)
+                if know:
+                    keep[know] = pooled(reader, [texts[i].encode() for i in know]).max(axis=1) >= least
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def label_positions(reader: LanguageReader, text: str) -> list[tuple[int, int, str]]:
     """The text's bytes as runs (start, end, language) of equally labelled positions."""
     data = text.encode()
