@@ -45,6 +45,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
+#: What a text's darts count for in the size of a block of texts.
+DART_BYTES = 8192
 #: A bucket with at most so many texts outside its largest component is compared pair by pair.
 LOOSE_TEXTS = 48
 #: Any other bucket is compared in blocks of so many texts.
@@ -147,7 +149,8 @@ BAND_ROWS = "doc_id long, t1 long, t2 long, bands array<long>"
 
 def _band_batches(n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(rows_of(batches, "doc_id", "t1", "t2", "text"), lambda r: len(r[3])):
+        # However short, a text costs as many darts as one of some thousand bytes.
+        for block in blocks(rows_of(batches, "doc_id", "t1", "t2", "text"), lambda r: len(r[3]) + DART_BYTES):
             owner, element = grams([r[3] for r in block], n)
             have = np.unique(owner)
             number = np.searchsorted(have, owner)
