@@ -154,7 +154,7 @@ def apply_changes(catalog: Catalog, table: str, changes: DataFrame) -> Catalog:
     present = F.lit(True)
     for v in values:
         present = present & F.col(v).isNotNull()
-    kept = catalog.tables[table].join(last.select("content_hash"), "content_hash", "left_anti")
+    kept = catalog.table(table).join(last.select("content_hash"), "content_hash", "left_anti")
     return catalog.with_tables(**{table: kept.unionByName(conform(last.filter(present), table))})
 
 
@@ -193,17 +193,17 @@ def rekey(catalog: Catalog, old: str, new: str) -> Catalog:
     Orientation and crop of the old content go: they are part of the new pixels.
     """
     if old == new:
-        return catalog.with_tables(**{t: catalog.tables[t].filter(F.col("content_hash") != old) for t in ("orientations", "crops")})
+        return catalog.with_tables(**{t: catalog.table(t).filter(F.col("content_hash") != old) for t in ("orientations", "crops")})
     changed = {}
     for table in ("ratings", "comments", "file_tags", "collection_items"):
-        rows, others = catalog.tables[table], [k for k in KEYS[table] if k != "content_hash"]
+        rows, others = catalog.table(table), [k for k in KEYS[table] if k != "content_hash"]
         moved = rows.filter(F.col("content_hash") == old).withColumn("content_hash", F.lit(new))
         stay = rows.filter(F.col("content_hash") != old)
         # Only rows of the new content can be displaced.
         gone = moved.select("content_hash", *others)
         changed[table] = stay.join(F.broadcast(gone), ["content_hash", *others], "left_anti").unionByName(moved)
     for table in ("orientations", "crops"):
-        changed[table] = catalog.tables[table].filter(F.col("content_hash") != old)
+        changed[table] = catalog.table(table).filter(F.col("content_hash") != old)
     return catalog.with_tables(**changed)
 
 

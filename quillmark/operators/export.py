@@ -124,7 +124,7 @@ def import_export(catalog: Catalog, document: DataFrame) -> Catalog:
     for table, value in (("ratings", "rating"), ("comments", "body")):
         rows = annotate.latest(entries(table).select("ord", "e.content_hash", f"e.{value}"), ["content_hash"], "ord")
         rows = conform(rows.withColumn("updated_at", F.lit(0)), table)
-        merged[table] = annotate.merged(catalog.tables[table], rows, ["content_hash"], keep=["sync_state", "updated_at"])
+        merged[table] = annotate.merged(catalog.table(table), rows, ["content_hash"], keep=["sync_state", "updated_at"])
     listed = annotate.next_ids(catalog.collections, entries("collections").select("ord", "e.*"), F.col("ord"))
     listed = written(listed.withColumn("created_at", F.lit(0)), "import-collections")
     merged["collections"] = catalog.collections.unionByName(conform(listed, "collections"))

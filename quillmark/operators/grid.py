@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,9 +108,12 @@ class SortKeys:
             text = isinstance(value, str)
             return {"kind": int(text), "num": None if text else float(value), "str": value if text else None}
 
-        @F.pandas_udf(KEY)
-        def keys(facts: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([one(f) for f in facts.astype(object).where(facts.notna(), None).to_dict("records")], columns=["kind", "num", "str"])
+        kind = pa.struct([("kind", pa.int32()), ("num", pa.float64()), ("str", pa.string())])
+
+        @F.arrow_udf(KEY)
+        def keys(facts: pa.Array) -> pa.Array:
+            # Arrow, not pandas: a NaN key is a number and must not become a null.
+            return pa.array([one(f) for f in facts.to_pylist()], kind)
 
         return items.withColumn("sort_key", keys(F.struct(*items.columns)))
 

@@ -21,19 +21,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _finished(links: DataFrame) -> bool:
+    """Whether every node links to one node only, and that node to none: components are stars."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("met")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("met")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("met").alias("met")).filter("out > 1 OR (out = 1 AND met = 1)").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the edges; root is the smallest node of its component.
 
     Each round replaces the edges by smaller ones with the same components: every node is linked to
     the smallest node it knows (large-star), then every node hands its smaller neighbours to the
     smallest of them (small-star). Edges never multiply, the rounds are about log2 of the longest
-    path, and the loop ends when a round changes nothing. Minima are grouped with partial counts,
+    path, and the loop ends when all components are stars. Minima are grouped with partial counts,
     so a node with very many links loads no single task.
     """
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
     links = written(links, "links")
-    mark = None
-    while True:
+    while not _finished(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         # Large-star: larger neighbours of u go to the smallest node that u knows.
@@ -43,9 +48,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         links = written(small.filter("u != v").distinct(), "small-star")
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    roots = links.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+    roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,19 +23,30 @@ class CommitConflict(RuntimeError):
     """Another writer has committed the next version."""
 
 
+Table = DataFrame | Callable[[], DataFrame]
+
+
 @dataclass(frozen=True)
 class Catalog:
+    """Tables by name. A table may be given as a function: it is planned when it is first used."""
+
     spark: SparkSession
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: dict[str, Table] = field(default_factory=dict)
     version: int = 0
 
+    def table(self, name: str) -> DataFrame:
+        found = self.tables[name]
+        if not isinstance(found, DataFrame):
+            found = self.tables[name] = conform(found(), name)
+        return found
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in SCHEMAS:
-            return self.tables[name]
+            return self.table(name)
         raise AttributeError(name)
 
-    def with_tables(self, **tables: DataFrame) -> Catalog:
-        return replace(self, tables=self.tables | {n: conform(df, n) for n, df in tables.items()})
+    def with_tables(self, **tables: Table) -> Catalog:
+        return replace(self, tables=self.tables | {n: conform(t, n) if isinstance(t, DataFrame) else t for n, t in tables.items()})
 
     def meta_value(self, key: str) -> str | None:
         row = self.meta.filter(F.col("key") == key).select("value").first()
@@ -44,7 +57,7 @@ class Catalog:
 
 
 def empty(spark: SparkSession) -> Catalog:
-    return Catalog(spark, {name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()})
+    return Catalog(spark, {name: partial(spark.createDataFrame, [], schema) for name, schema in SCHEMAS.items()})
 
 
 def migrated(catalog: Catalog, tables: dict[str, DataFrame], version: int) -> Catalog:
@@ -93,7 +106,8 @@ class Store:
         """Write a new version on top of the one that the catalogue came from."""
         folder, number = uuid.uuid4().hex, catalog.version + 1
         paths = {}
-        for name, df in catalog.tables.items():
+        for name in SCHEMAS:
+            df = catalog.table(name)
             paths[name] = f"data/{folder}/{name}"
             # Sorted ranges of paths let subtree filters skip files and row groups.
             laid = df.repartitionByRange("path").sortWithinPartitions("path") if name == "files" else df
@@ -138,18 +152,22 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> Catalog:
     own = docs.select("doc_id", (i + 1).alias("id"), F.concat(F.lit("/lib/"), "source", F.lit("/"), "lang", F.lit("/"), i.cast("string"), F.lit(".txt")).alias("path"), F.col("h").alias("content_hash"), F.col("n_chars").alias("size"), ((i * 37) % 100000 + 1700000000).alias("mtime"), *[F.when(seen, e).alias(n) for n, e in enriched.items()], (i % 10 + 1700100000).alias("indexed_at"), (i % 11 == 0).alias("missing"))
     alias = own.filter(i % 10 == 3).withColumns({"id": F.col("id") + 1000000, "path": F.concat(F.lit("/run/user/1000/doc/"), F.substring("content_hash", 1, 8), F.lit("/"), i.cast("string"), F.lit(".txt")), "missing": F.lit(False)})
     labelled = docs.select("doc_id", "h").join(labels, "doc_id")
-    tagged = labelled.filter("quality = 1").select("h", F.lit(1).alias("t")).union(labelled.filter("toxic = 1").select("h", F.lit(2))).union(docs.filter(i % 4 == 0).select("h", F.lit(3))).union(docs.filter(i % 6 == 0).select("h", F.lit(4))).distinct()
     by_hash = lambda rows, **agg: rows.groupBy(F.col("h").alias("content_hash")).agg(*[e.alias(n) for n, e in agg.items()])
     items = lambda number, rows, down: rows.groupBy("h").agg(F.min("doc_id").alias("d")).select(F.lit(number).alias("collection_id"), F.col("h").alias("content_hash"), (-F.col("d") if down else F.col("d")).alias("position"))
     made = [(1, "Trip", "catalog", None, 0), (2, "best", "catalog", None, 0), (3, "Top rated", "smart", '{"rating_min":4}', 0), (4, "beach or sunset", "smart", '{"tags_any":["BEACH","sunset"],"sort":"DateTaken","direction":"Desc"}', 0)]
+
+    def file_tags() -> DataFrame:
+        marks = [labelled.filter("quality = 1").select("h", F.lit(1).alias("t")), labelled.filter("toxic = 1").select("h", F.lit(2).alias("t")), docs.filter(i % 4 == 0).select("h", F.lit(3).alias("t")), docs.filter(i % 6 == 0).select("h", F.lit(4).alias("t"))]
+        return reduce(DataFrame.union, marks).distinct().select(F.col("h").alias("content_hash"), F.col("t").alias("tag_id"))
+
     return empty(spark).with_tables(
-        files=own.unionByName(alias),
-        tags=spark.createDataFrame([(1, "Keeper"), (2, "toxic"), (3, "Beach"), (4, "sunset"), (5, "Unused")], SCHEMAS["tags"]),
-        file_tags=tagged.select(F.col("h").alias("content_hash"), F.col("t").alias("tag_id")),
-        ratings=by_hash(docs.filter(i % 3 != 0), rating=F.max(i % 6)),
-        comments=by_hash(docs.filter(i % 9 == 0), body=F.concat(F.lit("note <"), F.min("doc_id").cast("string"), F.lit("> & more"))),
-        orientations=by_hash(docs.filter(i % 8 == 0), orientation=F.min("doc_id") % 7 + 2),
-        crops=by_hash(docs.filter(i % 8 == 4), x=F.lit(0.25), y=F.lit(0.0), w=F.lit(0.5), h=F.lit(1.0)),
-        collections=spark.createDataFrame(made, SCHEMAS["collections"]),
-        collection_items=items(1, docs.filter(i % 15 == 0), False).union(items(2, docs.filter(i % 10 == 3), True)),
+        files=lambda: own.unionByName(alias),
+        tags=lambda: spark.createDataFrame([(1, "Keeper"), (2, "toxic"), (3, "Beach"), (4, "sunset"), (5, "Unused")], SCHEMAS["tags"]),
+        file_tags=file_tags,
+        ratings=lambda: by_hash(docs.filter(i % 3 != 0), rating=F.max(i % 6)),
+        comments=lambda: by_hash(docs.filter(i % 9 == 0), body=F.concat(F.lit("note <"), F.min("doc_id").cast("string"), F.lit("> & more"))),
+        orientations=lambda: by_hash(docs.filter(i % 8 == 0), orientation=F.min("doc_id") % 7 + 2),
+        crops=lambda: by_hash(docs.filter(i % 8 == 4), x=F.lit(0.25), y=F.lit(0.0), w=F.lit(0.5), h=F.lit(1.0)),
+        collections=lambda: spark.createDataFrame(made, SCHEMAS["collections"]),
+        collection_items=lambda: items(1, docs.filter(i % 15 == 0), False).union(items(2, docs.filter(i % 10 == 3), True)),
     )
