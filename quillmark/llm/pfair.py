@@ -92,28 +92,27 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame:
         taken[s] += 1
 
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = F.struct(*[F.col(c) for c in docs.columns])
-    rows = docs.select(kept.alias("row"), "source", F.xxhash64("doc_id", "text").alias("key"))
+    # Internal names: no column of docs can clash, and those that the caller drops are never shuffled.
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     # Order-preserving: the range is the leading part of the unsigned key.
-    unsigned = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 32)
-    rows = rows.withColumn("range", F.floor(unsigned * ranges / float(1 << 32)).cast("int"))
-    keys = docs.select("source", F.xxhash64("doc_id", "text").alias("key")).withColumn("range", F.floor(unsigned * ranges / float(1 << 32)).cast("int"))
-    counts = materialize(keys.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col("source").alias("_source"), F.col("range").alias("_range"), F.coalesce(before, F.lit(0)).alias("start"))
-    nth = F.row_number().over(Window.partitionBy("source", "range").orderBy("key", "row.doc_id", "row.text")) - 1
-    ranked = rows.withColumn("nth", nth).join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("range") == F.col("_range")))
-    ranked = ranked.select("row", "source", (F.col("start") + F.col("nth")).alias("rank")).withColumn("block", F.floor(F.col("rank") / block))
+    unsigned = F.shiftrightunsigned(F.col("_key").bitwiseXOR(F.lit(-(1 << 63))), 32)
+    keyed = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("source").alias("_source"), F.xxhash64("doc_id", "text").alias("_key"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_tie"))
+    rows = keyed.withColumn("_range", F.floor(unsigned * ranges / float(1 << 32)).cast("int"))
+    counts = materialize(rows.groupBy("_source", "_range").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
+    before = F.sum("n").over(Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col("_source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("_source", "_range").orderBy("_key", "_tie", F.col(names["doc_id"]))) - 1
+    ranked = rows.withColumn("_nth", nth).join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    ranked = ranked.withColumn("_rank", F.col("_start") + F.col("_nth")).withColumn("_block", F.floor(F.col("_rank") / block))
 
     # One row for each slot of a frame: bounded by the frame, not by the documents.
-    schema = "s string, j long, slot long, m long"
-    places = F.broadcast(spark.createDataFrame(table, schema))
-    per_source = F.broadcast(spark.createDataFrame(list(slots.items()), "t string, per long"))
-    found = ranked.join(per_source, F.col("source").eqNullSafe(F.col("t"))).withColumn("turn", F.col("block") % F.col("per"))
-    found = found.join(places, F.col("source").eqNullSafe(F.col("s")) & (F.col("turn") == F.col("j")))
-    slot = F.floor(F.col("block") / F.col("per")) * len(order) + F.col("slot")
-    others = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("mix_slot", "mix_place")]
-    return found.select(*others, slot.cast("bigint").alias("mix_slot"), (F.col("rank") % block).cast("bigint").alias("mix_place"))
+    places = F.broadcast(spark.createDataFrame(table, "_ps string, _j long, _slot long, _m long"))
+    per_source = F.broadcast(spark.createDataFrame(list(slots.items()), "_t string, _per long"))
+    found = ranked.join(per_source, F.col("_source").eqNullSafe(F.col("_t"))).withColumn("_turn", F.col("_block") % F.col("_per"))
+    found = found.join(places, F.col("_source").eqNullSafe(F.col("_ps")) & (F.col("_turn") == F.col("_j")))
+    slot = F.floor(F.col("_block") / F.col("_per")) * len(order) + F.col("_slot")
+    others = [F.col(n).alias(c) for c, n in names.items() if c not in ("mix_slot", "mix_place")]
+    return found.select(*others, slot.cast("bigint").alias("mix_slot"), (F.col("_rank") % block).cast("bigint").alias("mix_place"))
 
 
 def mixed_order(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
