@@ -14,6 +14,10 @@ from ..sources.catalog import Catalog, CommitConflict, Store
 OPS = "seq long, op string, content_hash string, value string"
 
 
+#: Columns of Spark's binaryFile source.
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
 def latest_per_key(ops: DataFrame, keys: list[str]) -> DataFrame:
     """Later operations on a key replace earlier ones."""
     return annotate.latest(ops, keys)
@@ -64,6 +68,6 @@ def run_oplog(spark: SparkSession, source: str, store: Store, checkpoint: str) -
 
 def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of new image files (path, size, mtime, content_hash); deletions need a scan."""
-    found = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    found = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", True).load(folder)
     path = F.regexp_replace("path", "^file:/*", "/")
     return found.select(path.alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), F.sha2("content", 256).alias("content_hash")).filter(is_image_path("path"))

@@ -1,0 +1,57 @@
+from __future__ import annotations
+
+import subprocess
+import sys
+
+import __spark_entry__ as entry
+
+from .conftest import DATA
+
+
+def test_entry_has_rows(spark):
+    assert entry.entry(spark).count() > 0
+
+
+def test_every_oracle_has_a_query():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_works_without_the_optional_parts(tmp_path):
+    """The same entry where the large-corpus subpackage and the pipeline are absent."""
+    code = f"""
+import sys
+class Absent:
+    def find_spec(self, name, path=None, target=None):
+        if name == 'quillmark.llm' or name.startswith('quillmark.llm.') or name == 'corpus_pipeline':
+            raise ModuleNotFoundError(f'No module named {{name!r}}', name=name)
+sys.meta_path.insert(0, Absent())
+import __spark_entry__ as e
+assert not any(n.startswith('op1_') or n == 'pipeline' for n in e.queries()) and len(e.queries()) > 80
+assert not any(m.startswith('quillmark.llm') for m in sys.modules)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_defects_are_not_hidden():
+    """An import error inside an optional part is raised, not taken for its absence."""
+    code = """
+import sys, types
+class Broken:
+    def find_spec(self, name, path=None, target=None):
+        if name == 'numpy':
+            raise ModuleNotFoundError("No module named 'numpy'", name='numpy')
+sys.meta_path.insert(0, Broken())
+import __spark_entry__ as e
+try:
+    e.queries()
+except ImportError as error:
+    assert error.name == 'numpy'
+else:
+    raise SystemExit('hidden')
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_flagship_matches_its_own_rank(spark):
+    rows = entry.queries()["combined_smart"](spark, DATA).collect()
+    assert sorted(r["rank"] for r in rows) == list(range(1, len(rows) + 1))
