@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, marked, materialize
 from .winnow import bound
 
 K, W = 2, 2
@@ -92,8 +92,12 @@ def repeated_lines(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """docs with their later repeated runs deleted from text; n_lines and n_removed are added."""
-    gone = repeated_lines(docs, k, w).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
-    joined = docs.withColumn("_text_hash", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    gone = materialize(repeated_lines(docs, k, w).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone")), "lines-gone")
+    # Texts that lose nothing are not shuffled.
+    seen = marked(docs.withColumn("_text_hash", F.xxhash64("text")), "_text_hash", gone.select(F.col("_hash").alias("_text_hash")))
+    whole = seen.filter(~F.col("maybe")).select(*docs.columns, F.lit(None).cast(gone.schema["_gone"].dataType).alias("_gone"))
+    found = seen.filter("maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    joined = whole.unionByName(found.select(*docs.columns, "_gone"))
     parts = F.split("text", "\n", -1)
 
     def without(lines: Column) -> Column:
