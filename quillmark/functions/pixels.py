@@ -73,6 +73,20 @@ def gradient_hash(rgb: bytes, width: int, height: int) -> int | None:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little", signed=True)
 
 
+def gradient_hashes(rasters: DataFrame) -> DataFrame:
+    """path and phash of RGBA rasters (path, data, width, height, stride); null if malformed."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                image = raster(bytes(r.data), int(r.width), int(r.height), None if pd.isna(r.stride) else int(r.stride))
+                out.append((r.path, None if image is None else gradient_hash(np.ascontiguousarray(image[:, :, :3]).tobytes(), image.shape[1], image.shape[0])))
+            yield pd.DataFrame({"path": [p for p, _ in out], "phash": pd.array([h for _, h in out], dtype="Int64")})
+
+    return rasters.mapInPandas(run, "path string, phash long")
+
+
 def png_chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 

@@ -265,6 +265,23 @@ def trash_others(catalog: Catalog, clusters: DataFrame, trashed: DataFrame) -> C
     return mark_missing(catalog, others)
 
 
+def save_in_place(catalog: Catalog, record: DataFrame, old_hash: str) -> Catalog:
+    """A file was rewritten: its row is replaced, and annotations follow to the new content.
+
+    record: one row of files with the new content_hash. Other files of the old content lose the
+    annotations, as these belong to one content.
+    """
+    new_hash = record.select("content_hash").first()["content_hash"]
+    return rekey(upsert_files(catalog, record), old_hash, new_hash)
+
+
+def delete_or_remove(catalog: Catalog, collection_id: int | None, hashes: list[str], trashed: DataFrame | None = None) -> Catalog:
+    """In a catalog the contents leave it; elsewhere the paths that were moved to the trash turn missing."""
+    if collection_id is not None:
+        return remove_from_catalog(catalog, collection_id, hashes)
+    return mark_missing(catalog, trashed) if trashed is not None else catalog
+
+
 class EditHistory:
     """Undo and redo of one item's edits: a list with a cursor; a new edit cuts off what was undone."""
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import glob
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,6 +53,11 @@ def grid_filter(items: DataFrame, catalog: Catalog, min_rating: int = 0, tag: st
     return rows.filter(F.col("content_hash") != "").join(hashes_with_tag(catalog, tag), "content_hash", "left_semi").select(*items.columns)
 
 
+def nearest(items: DataFrame, position: str, center: float, limit: int) -> DataFrame:
+    """The items closest to a place in the view: what to load next."""
+    return items.orderBy(F.abs(F.col(position) - center), position).limit(limit)
+
+
 # --- orders by user-supplied keys ----------------------------------------------------------
 
 KEY = "struct<kind:int,num:double,str:string>"
@@ -87,6 +95,22 @@ class SortKeys:
         self.orders[name] = key
         (self.native.add if native else self.native.discard)(name)
 
+    def load_dir(self, folder: str) -> dict[str, str]:
+        """Run every ``*.py`` of a folder, in order of names, with ``register_sort(name, key)``.
+
+        Returns the errors by file; the other files still load, and a file that fails leaves no order
+        behind. A folder that is not there holds nothing.
+        """
+        errors: dict[str, str] = {}
+        for path in sorted(glob.glob(os.path.join(glob.escape(folder), "*.py"))):
+            before = dict(self.orders), set(self.native)
+            try:
+                exec(compile(Path(path).read_text(encoding="utf-8"), path, "exec"), {"register_sort": self.register, "__file__": path})
+            except Exception as error:
+                self.orders, self.native = before
+                errors[path] = f"{type(error).__name__}: {error}"
+        return errors
+
     def field_id(self, name: str) -> str:
         return f"script:{name}"
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import in_subtree
-from ..sources.catalog import Catalog
+from ..plans.components import written
+from ..sources.catalog import Catalog, Store
+from ..sources.walk import readable, walk_images, with_hashes
 from . import annotate
 from .query import paths_under
 
@@ -66,6 +68,25 @@ def totals(told: DataFrame) -> DataFrame:
     return told.agg(F.count(F.when(F.col("change") != "Deleted", 1)).alias("total"), F.count(F.when(F.col("change").isin("New", "Modified", "Moved"), 1)).alias("added"), F.count(F.when(F.col("change") == "Deleted", 1)).alias("flagged"))
 
 
+def rescan(store: Store, roots: list[str], method: str = "blake3", now: int = 0) -> dict[str, tuple[int, int, int]]:
+    """Scan every root and commit a snapshot for each that changed; totals by root.
+
+    Only files that are new or look modified are read. Run by a scheduler, or at start.
+    """
+    found = {}
+    for root in roots:
+        catalog = store.open()
+        seen = classify(catalog, walk_images(store.spark, root))
+        hashed = with_hashes(seen.filter("change != 'Unchanged'"), method).select("path", "size", "mtime", "content_hash")
+        same = seen.filter("change = 'Unchanged'").select("path", "size", "mtime", F.lit(None).cast("string").alias("content_hash"))
+        told = written(changes(catalog, hashed.unionByName(same), root, readable(root)), "scan")
+        row = totals(told).first()
+        found[root] = (row["total"], row["added"], row["flagged"])
+        if row["added"] or row["flagged"]:
+            store.commit(apply_scan(catalog, told, now))
+    return found
+
+
 def reachable(rows: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Rows whose file a fresh listing has; the missing flag is not touched."""
     return rows.join(snapshot.select("path").distinct(), "path", "left_semi").select(*rows.columns)

@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of intermediate tables that this process has written.
+_written: list[str] = []
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the session's shared checkpoint folder and read again: short lineage, no recomputation."""
@@ -17,10 +20,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
         root = f"file://{tempfile.mkdtemp(prefix='quillmark-')}"
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root}/quillmark/{uuid.uuid4().hex}-{name}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process, once no result that reads them is needed."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def _finished(links: DataFrame) -> bool:
     """Whether every node links to one node only, and that node to none: components are stars."""
     ends = links.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("met")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("met")))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.plans.components import components
+from quillmark.plans.components import clear_written, components, written
 from quillmark.plans.hamming import close_pairs
 from quillmark.plans.ranking import ranked
 
@@ -60,3 +60,8 @@ def test_ranked_is_a_global_order(spark):
     assert [(r.k, r.id) for r in sorted(got, key=lambda r: r.rank)] == want
     assert sorted(r.rank for r in got) == list(range(1, 1001))
     assert ranked(df.limit(0), F.col("id")).count() == 0
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    table = written(spark.range(3), "three")
+    assert table.count() == 3 and clear_written(spark) >= 1 and clear_written(spark) == 0

@@ -127,3 +127,15 @@ def test_script_orders(spark):
     with pytest.raises(ValueError):
         keys.register("  ", len)
     assert keys.from_field_id("script:Mixed") == "Mixed" and keys.from_field_id("script:gone") == "name" and keys.from_field_id("size") == "size"
+
+
+def test_scripts_of_a_folder(spark, tmp_path):
+    (tmp_path / "a.py").write_text("register_sort('Size', lambda item: item['size'])")
+    (tmp_path / "b.py").write_text("register_sort('Gone', len)\nraise RuntimeError('broken')")
+    (tmp_path / "c.py").write_text("register_sort('Name length', lambda item: len(item['name']))")
+    keys = grid.SortKeys()
+    assert list(keys.load_dir(str(tmp_path))) == [str(tmp_path / "b.py")] and keys.load_dir(str(tmp_path / "none")) == {}
+    assert list(keys.orders)[2:] == ["Size", "Name length"]
+    c = files(spark, record("/g/big", size=9), record("/g/small", size=1))
+    assert [r.name for r in keys.sorted_or_by_name(grid.grid(c), "Size").collect()] == ["small", "big"]
+    assert [r.name for r in grid.nearest(grid.grid(c), "size", 8.0, 1).collect()] == ["big"]

@@ -100,6 +100,20 @@ def test_walk_and_scan(spark, tmp_path):
     assert blind.count() == 0
 
 
+def test_rescan_and_save_in_place(spark, tmp_path):
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib" / "a.png").write_bytes(b"a")
+    store = Store(spark, str(tmp_path / "store"))
+    roots = [str(tmp_path / "lib"), str(tmp_path / "unplugged")]
+    assert scan.rescan(store, roots) == {roots[0]: (1, 1, 0), roots[1]: (0, 0, 0)} and store.versions() == [1]
+    assert scan.rescan(store, roots) == {roots[0]: (1, 0, 0), roots[1]: (0, 0, 0)} and store.versions() == [1]
+    c = annotate.set_orientation(annotate.set_rating(store.open(), hashing.blake3(b"a"), 4), hashing.blake3(b"a"), 6)
+    saved = annotate.save_in_place(c, c.files.withColumn("content_hash", F.lit("NEW")), hashing.blake3(b"a"))
+    assert pairs(saved.ratings, "content_hash", "rating") == [("NEW", 4)] and saved.orientations.count() == 0 and pairs(saved.files, "id", "content_hash") == [(1, "NEW")]
+    gone = annotate.delete_or_remove(saved, None, [], saved.files.select("path"))
+    assert query.file_count(gone).first().n == 0
+
+
 def test_classify(spark):
     c = files(spark, record("/same"), record("/size"), record("/time"), record("/back", missing=True))
     seen = spark.createDataFrame([("/same", 100, 42), ("/size", 1, 42), ("/time", 100, 1), ("/back", 100, 42), ("/new", 1, 1)], "path string, size long, mtime long")
@@ -205,6 +219,8 @@ def test_pixels(spark):
     at = png.index(b"tEXt")
     size = struct.unpack(">I", png[at - 4 : at])[0]
     assert struct.unpack(">I", png[at + 4 + size : at + 8 + size])[0] == zlib.crc32(png[at : at + 4 + size])
+    hashed = pixels.gradient_hashes(spark.createDataFrame([("/r", red.tobytes(), 40, 20, None), ("/bad", b"", 4, 4, None)], "path string, data binary, width long, height long, stride long"))
+    assert dict(pairs(hashed, "path", "phash")) == {"/r": 0, "/bad": None}
     rows = [("/a", red.tobytes(), 40, 20, None, 6, 0.0, 0.0, 1.0, 0.5), ("/bad", b"", 4, 4, None, None, None, None, None, None)]
     got = {r.path: (r.width, r.height) for r in pixels.transformed(spark.createDataFrame(rows, "path string, data binary, width long, height long, stride long, orientation long, x double, y double, w double, h double"), 10).collect()}
     assert got == {"/a": (10, 10), "/bad": (0, 0)}
