@@ -305,14 +305,19 @@ def near_classes(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY) ->
 
 def one_of_each(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """docs without near duplicates: of each class the document of least doc_id stays, once."""
-    told = materialize(near_classes(docs, n, least), "near-rows")
-    kept = told.filter("first and t1 is not null").select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "twins").distinct()
+    told = materialize(near_classes(docs, n, least).filter(F.col("t1").isNotNull() & (~F.col("first") | (F.col("twins") > 1))), "near-rows")
+    # The rows that go, and those that stand several times: the others are never shuffled.
+    special = told.groupBy("doc_id", "t1", "t2").agg(F.max("first").alias("_first")).withColumnsRenamed({"doc_id": "_id", "t1": "_t1", "t2": "_t2"})
+    special = materialize(special, "near-special")
     keyed = docs.withColumn("_h1", F.xxhash64("text")).withColumn("_h2", F.xxhash64(F.lit(1), "text"))
-    found = keyed.filter(F.col("text").isNotNull()).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_t1")) & (F.col("_h2") == F.col("_t2")))
-    found = materialize(found.select(*docs.columns, "_h1", "_h2", F.col("twins").alias("_twins")), "near-kept")
-    once = found.filter("_twins = 1").select(*docs.columns)
-    twins = found.filter("_twins > 1").dropDuplicates(["doc_id", "_h1", "_h2"]).select(*docs.columns)
-    return once.unionByName(twins).unionByName(docs.filter(F.col("text").isNull()))
+    seen = marked(keyed, "_h1", special.select(F.col("_t1").alias("_h1")))
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_t1")) & (F.col("_h2") == F.col("_t2"))
+    other = seen.filter(F.col("maybe") & F.col("text").isNotNull())
+    out = seen.filter(~F.col("maybe") | F.col("text").isNull()).select(*docs.columns).unionByName(other.join(special, on, "left_anti").select(*docs.columns))
+    if not special.filter("_first").isEmpty():
+        once = other.join(special.filter("_first"), on, "left_semi").dropDuplicates(["doc_id", "_h1", "_h2"])
+        out = out.unionByName(once.select(*docs.columns))
+    return out
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,8 +103,7 @@ def _classes(rows):
 
 
 def _linked(rows, s, t):
-    key = id(rows)
-    if _linked.key != key:
+    if _linked.rows is not rows:
         texts = sorted({x for _, x, *_ in rows if x is not None})
         label = {x: x for x in texts}
         changed = True
@@ -115,11 +114,11 @@ def _linked(rows, s, t):
                 low = min(label[a], label[b])
                 changed |= label[a] != low or label[b] != low
                 label[a] = label[b] = low
-        _linked.key, _linked.label = key, label
+        _linked.rows, _linked.label = rows, label
     return _linked.label[s] == _linked.label[t]
 
 
-_linked.key = None
+_linked.rows = None
 
 
 def test_loose_and_blocked_buckets(spark, monkeypatch):
