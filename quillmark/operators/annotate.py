@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ascii_fold, clamp_rating, trimmed
+from ..plans.ranking import ranked
 from ..sources.catalog import Catalog
 from ..sources.schema import ENRICHMENT_COLUMNS, KEYS, SCHEMAS, conform
 from .query import Query
@@ -38,10 +39,16 @@ def latest(ops: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
 
 
 def next_ids(old: DataFrame, new: DataFrame, *order: Column) -> DataFrame:
-    """new with ids after the largest of old, in order. new: a batch of user commands."""
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
-    return numbered.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("_n")).drop("_n", "top")
+    """new with ids after the largest of old, in order."""
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    return ranked(new, *order, name="_n").withColumn("id", F.col("_n") + top).drop("_n")
+
+
+def _ordered(catalog: Catalog, hashes: list[str] | DataFrame) -> DataFrame:
+    """content_hash and its first place: of a list, or of rows (ord, content_hash)."""
+    if not isinstance(hashes, DataFrame):
+        hashes = catalog.spark.createDataFrame([(i, h) for i, h in enumerate(hashes)], "ord long, content_hash string")
+    return hashes.groupBy("content_hash").agg(F.min("ord").alias("ord"))
 
 
 def _values(catalog: Catalog, hashes: list[str] | DataFrame) -> DataFrame:
@@ -231,14 +238,14 @@ def delete_collection(catalog: Catalog, collection_id: int) -> Catalog:
     return catalog.with_tables(collections=catalog.collections.filter(F.col("id") != collection_id), collection_items=catalog.collection_items.filter(F.col("collection_id") != collection_id))
 
 
-def add_to_catalog(catalog: Catalog, collection_id: int, hashes: list[str]) -> Catalog:
-    """Append contents that are not in it yet, in order, after its largest position."""
-    rows = [(i, h) for i, h in enumerate(dict.fromkeys(hashes))]
+def add_to_catalog(catalog: Catalog, collection_id: int, hashes: list[str] | DataFrame) -> Catalog:
+    """Append contents (a list, or rows of ord and content_hash) that are not in it yet, in order,
+    after its largest position."""
     mine = catalog.collection_items.filter(F.col("collection_id") == collection_id)
-    new = catalog.spark.createDataFrame(rows, "ord long, content_hash string").join(mine, "content_hash", "left_anti")
-    top = mine.agg(F.coalesce(F.max("position") + 1, F.lit(0)).alias("top"))
-    placed = new.withColumn("n", F.row_number().over(Window.orderBy("ord")) - 1).crossJoin(F.broadcast(top))
-    added = placed.select(F.lit(collection_id).alias("collection_id"), "content_hash", (F.col("top") + F.col("n")).alias("position"))
+    new = _ordered(catalog, hashes).join(mine, "content_hash", "left_anti")
+    top = mine.agg(F.coalesce(F.max("position") + 1, F.lit(0)).alias("top")).first()["top"]
+    placed = ranked(new, F.col("ord"), F.col("content_hash"), name="n")
+    added = placed.select(F.lit(collection_id).alias("collection_id"), "content_hash", (F.col("n") + (top - 1)).alias("position"))
     return catalog.with_tables(collection_items=catalog.collection_items.unionByName(conform(added, "collection_items")))
 
 
@@ -247,10 +254,10 @@ def remove_from_catalog(catalog: Catalog, collection_id: int, hashes: list[str])
     return catalog.with_tables(collection_items=catalog.collection_items.filter(~((F.col("collection_id") == collection_id) & F.col("content_hash").isin(hashes))))
 
 
-def set_catalog_order(catalog: Catalog, collection_id: int, hashes: list[str]) -> Catalog:
-    """Listed contents get positions from 0; the others keep theirs, which may tie with new ones."""
-    order = catalog.spark.createDataFrame([(h, i) for i, h in enumerate(hashes)], "content_hash string, new long").groupBy("content_hash").agg(F.max("new").alias("new"))
-    joined = catalog.collection_items.join(F.broadcast(order), "content_hash", "left")
+def set_catalog_order(catalog: Catalog, collection_id: int, hashes: list[str] | DataFrame) -> Catalog:
+    """Listed contents (a list without repeats, or rows of ord from 0 and content_hash) get their places
+    as positions; the others keep theirs, which may tie with new ones."""
+    joined = catalog.collection_items.join(_ordered(catalog, hashes).withColumnRenamed("ord", "new"), "content_hash", "left")
     return catalog.with_tables(collection_items=joined.withColumn("position", F.when(F.col("collection_id") == collection_id, F.coalesce("new", "position")).otherwise(F.col("position"))))
 
 

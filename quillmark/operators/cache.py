@@ -14,15 +14,15 @@ def evictions(entries: DataFrame, cap: int) -> DataFrame:
     """Entries (ord, size, last_used) that go, oldest first, until the rest fits the cap.
 
     An entry goes if what it and all newer entries hold exceeds the cap: the running sum from the
-    newest entry on is enough. Times are first summed by (last_used, ord) ranges, so that no window
-    spans the table: entries are compared within their second only.
+    newest entry on is enough. It is the sum of the hours after an entry's (some thousand rows for a
+    year) plus the running sum inside its hour: no window spans the table.
     """
-    by_time = entries.groupBy("last_used").agg(F.sum("size").alias("held"))
-    # Seconds in use are few next to entries; their running sums are the only ordered pass.
-    later = Window.orderBy(F.desc("last_used")).rowsBetween(Window.unboundedPreceding, -1)
-    newer = by_time.select("last_used", F.coalesce(F.sum("held").over(later), F.lit(0)).alias("newer"))
-    inside = Window.partitionBy("last_used").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = entries.withColumn("own", F.sum("size").over(inside)).join(newer, "last_used")
+    hour = F.floor(F.col("last_used") / 3600)
+    by_hour = entries.groupBy(hour.alias("hour")).agg(F.sum("size").alias("held"))
+    later = Window.orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
+    newer = by_hour.select("hour", F.coalesce(F.sum("held").over(later), F.lit(0)).alias("newer"))
+    inside = Window.partitionBy("hour").orderBy(F.desc("last_used"), F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = entries.withColumn("hour", hour).withColumn("own", F.sum("size").over(inside)).join(newer, "hour")
     return placed.filter(F.col("newer") + F.col("own") > cap).select(*entries.columns)
 
 

@@ -19,8 +19,10 @@ def representatives(catalog: Catalog) -> DataFrame:
 
 def durable_paths(files: DataFrame) -> DataFrame:
     """Without the sandbox views of contents that also have a file outside."""
-    best = F.min(is_portal_document("path")).over(Window.partitionBy("content_hash"))
-    return files.withColumn("_best", best).filter(is_portal_document("path") == F.col("_best")).drop("_best")
+    own = files.filter(~is_portal_document("path"))
+    # Only sandbox views are compared, with contents: no window gathers the files of one content.
+    views = files.filter(is_portal_document("path"))
+    return own.unionByName(views.join(own.select("content_hash").distinct(), "content_hash", "left_anti").select(*files.columns))
 
 
 def catalog_files(catalog: Catalog, collection_id: int) -> DataFrame:
@@ -82,5 +84,7 @@ def resolve_drop(catalog: Catalog, dropped: DataFrame) -> DataFrame:
     outcome = F.when(by_path, "by_path").when(F.col("hash").isNull(), "unhashable").when(F.col("there"), "by_hash").otherwise("unknown")
     content = F.when(by_path, F.col("indexed")).when(F.col("there"), F.col("hash"))
     told = found.select("ord", "path", content.alias("content_hash"), outcome.alias("outcome"))
-    first = F.row_number().over(Window.partitionBy("content_hash").orderBy("ord")) == 1
+    # What has no content is a group of its own each, not one large group.
+    group = F.coalesce(F.col("content_hash"), F.concat(F.lit("none "), F.col("ord").cast("string")))
+    first = F.row_number().over(Window.partitionBy(group).orderBy("ord")) == 1
     return told.withColumn("kept", F.col("content_hash").isNotNull() & first)

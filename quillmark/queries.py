@@ -436,10 +436,9 @@ def _add(c):
     return annotate.add_to_catalog(c, 2, _listed(c)).collection_items.filter("collection_id = 2").select("content_hash", "position")
 
 
-def _listed(c: Catalog) -> list[str]:
-    # A user's selection: a list on the driver.
-    rows = c.files.filter("path LIKE '/lib/%' AND (id - 1) % 45 = 0").select("content_hash").distinct().orderBy(F.desc("content_hash")).collect()
-    return [r["content_hash"] for r in rows]
+def _listed(c: Catalog) -> DataFrame:
+    chosen = c.files.filter("path LIKE '/lib/%' AND (id - 1) % 45 = 0").select("content_hash").distinct()
+    return ranked(chosen, F.desc("content_hash"), name="n").select((F.col("n") - 1).alias("ord"), "content_hash")
 
 
 @register("catalog_reorder", _ORDERED + " SELECT i.content_hash, coalesce(l.n, i.position) AS position FROM collection_items i LEFT JOIN listed l USING (content_hash) WHERE collection_id = 1")
