@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +30,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)
 
 
+#: Rows of an Arrow batch: long texts make a batch of Spark's default size too large.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of at most BATCH_ROWS rows (a setting of the session).
+
+    Python workers live on between tasks: what a task has freed goes back to the system at its end.
+    """
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    conf = df.sparkSession.conf
+    rows = int(conf.get(_BATCH, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df.mapInArrow(released, schema)
+
+
 def blocks(rows: Iterable[tuple], size_of, limit: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
     """Consecutive rows in lists of about limit bytes."""
     held, total = [], 0

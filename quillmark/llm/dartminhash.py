@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import components
-from .common import SpanHasher, blocks, documents, marked, materialize, mix64, rows_of
+from .common import SpanHasher, blocks, documents, map_arrow, marked, materialize, mix64, rows_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -150,7 +150,7 @@ BAND_ROWS = "doc_id long, t1 long, t2 long, bands array<long>"
 def _band_batches(n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # However short, a text costs as many darts as one of some thousand bytes.
-        for block in blocks(rows_of(batches, "doc_id", "t1", "t2", "text"), lambda r: len(r[3]) + DART_BYTES):
+        for block in blocks(rows_of(batches, "doc_id", "t1", "t2", "text"), lambda r: len(r[3]) + DART_BYTES, 1 << 20):
             owner, element = grams([r[3] for r in block], n)
             have = np.unique(owner)
             number = np.searchsorted(have, owner)
@@ -243,7 +243,7 @@ def near_classes(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY) ->
     """(doc_id, class_id, n_copies, first) of every row of docs; first: the row that stands for its
     class, exactly one row of each class that has equal doc_id and text."""
     keyed = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
-    rows = materialize(keyed.mapInArrow(_band_batches(n), BAND_ROWS), "near-bands")
+    rows = materialize(map_arrow(keyed, _band_batches(n), BAND_ROWS), "near-bands")
     # Exact copies are one node from here on; rows without a doc_id stand for it last.
     each = rows.groupBy("t1", "t2", "doc_id").agg(F.count(F.lit(1)).alias("twins"))
     nodes = each.groupBy("t1", "t2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twins")).alias("h"), F.sum("twins").alias("copies"))
@@ -262,7 +262,7 @@ def near_classes(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY) ->
 
     def proved(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return materialize(sides.mapInArrow(_verified(least, n), "a long, b long").distinct(), "near-links")
+        return materialize(map_arrow(sides, _verified(least, n), "a long, b long").distinct(), "near-links")
 
     wanted = materialize(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct(), "near-wanted")
     texts = texts_of(wanted)
@@ -289,7 +289,7 @@ def near_classes(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY) ->
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("low"), F.greatest(p, F.col("part")).alias("high")))
     spread = dealt.select("band", "node", "root", F.explode(meets).alias("m")).join(texts, "node")
     groups = spread.groupBy("band", "m").agg(F.collect_list(F.struct("node", "root", "text")).alias("members"))
-    links = links.unionByName(groups.select("members").mapInArrow(_forests(least, n), "a long, b long"))
+    links = links.unionByName(map_arrow(groups.select("members"), _forests(least, n), "a long, b long"))
     roots = components(links)
 
     heads = materialize(nodes.join(roots, "node", "left").select("t1", "t2", "head", "twins", "copies", F.coalesce("root", "node").alias("root")), "near-heads")

@@ -34,7 +34,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blocks, documents, rows_of
+from .common import blocks, documents, map_arrow, rows_of
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -318,7 +318,7 @@ def _batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages."""
-    return pages.select("page_id", "url", "html").mapInArrow(_batches, TEXTS)
+    return map_arrow(pages.select("page_id", "url", "html"), _batches, TEXTS)
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

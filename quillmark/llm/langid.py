@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, rows_of
+from .common import documents, map_arrow, rows_of
 
 UNKNOWN = "und"
 WINDOW = 64
@@ -38,7 +38,7 @@ SAMPLE_ROWS = 300
 SAMPLE_CHARS = 1500
 STEPS, BATCH, RATE = 150, 96, 0.02
 #: Windows labelled at once.
-COLUMNS = 4096
+COLUMNS = 2048
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -250,7 +250,7 @@ def _batches(reader: LanguageReader | None):
 
 def predict(docs: DataFrame, reader: LanguageReader | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_batches(reader), PREDICTIONS)
+    return map_arrow(docs.select("doc_id", held_out().alias("held_out"), "text"), _batches(reader), PREDICTIONS)
 
 
 def accepted(docs: DataFrame, reader: LanguageReader | None, least: float = 0.4) -> DataFrame:
@@ -267,7 +267,7 @@ def accepted(docs: DataFrame, reader: LanguageReader | None, least: float = 0.4)
                     keep[know] = pooled(reader, [texts[i].encode() for i in know]).max(axis=1) >= least
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def label_positions(reader: LanguageReader, text: str) -> list[tuple[int, int, str]]:

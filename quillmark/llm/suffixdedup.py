@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, blocks, documents, materialize, mix64, rows_of
+from .common import SpanHasher, blocks, documents, map_arrow, materialize, mix64, rows_of
 
 LENGTH = 400
 K = 32
@@ -95,7 +95,7 @@ def anchors_of(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np
 def _anchor_batches(length: int, k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((d, h, t.encode()) for d, h, t in rows_of(batches, "doc_id", "tid", "text") if t is not None and 4 * len(t) >= length)
-        for block in blocks((r for r in rows if len(r[2]) >= length), lambda r: len(r[2]), 1 << 20):
+        for block in blocks((r for r in rows if len(r[2]) >= length), lambda r: len(r[2]), 1 << 19):
             number, anchor, prints, omin, omax, context = anchors_of([r[2] for r in block], length, k)
             ids = pa.array([r[0] for r in block], pa.int64())
             tids = pa.array([r[1] for r in block], pa.int64())
@@ -166,7 +166,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
 
     docs: doc_id, tid (a hash of the text), text.
     """
-    found = materialize(docs.mapInArrow(_anchor_batches(length, k), ANCHORS), "anchors")
+    found = materialize(map_arrow(docs, _anchor_batches(length, k), ANCHORS), "anchors")
     shared = materialize(found.groupBy("print").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("print"), "anchor-prints")
     found = materialize(found.join(shared, "print"), "anchors-shared")
 
@@ -180,7 +180,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     varied = materialize(contexts.groupBy("print").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("print"), "varied")
     edges = contexts.join(varied, "print").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("cid", "print", "n", "anchor", "omin", "omax")).alias("edges"))
     held = docs.filter(F.octet_length("text") >= length).join(_renamed(edges), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("tid") == F.col("_tid")))
-    edges = materialize(held.select("doc_id", "tid", "text", "edges").mapInArrow(_edge_batches(length), EDGES), "edges")
+    edges = materialize(map_arrow(held.select("doc_id", "tid", "text", "edges"), _edge_batches(length), EDGES), "edges")
 
     sample = edges.select("cid", "print", "n", "doc_id", "tid", "anchor", "omin", "omax", "first_block", F.posexplode(F.arrays_zip("cores", "fulls")).alias("at", "name")).select("cid", "print", "n", "doc_id", "tid", "anchor", "omin", "omax", (F.col("first_block") + F.col("at")).alias("block"), F.col("name.cores").alias("core"), F.col("name.fulls").alias("full"))
     # A row of documents that stands twice has its contexts twice: different contexts are what counts.
@@ -192,7 +192,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     proved = tied.filter("proved and n = 1").select("doc_id", "tid", (F.col("anchor") - low - BLOCK + 1).alias("first"), (F.col("anchor") - low).alias("last"))
 
     opened = tied.filter("not proved").groupBy("cid").agg(F.collect_set("block").alias("open"))
-    suffixes = materialize(edges.join(opened, "cid").select("cid", "print", "n", "omin", "omax", "bytes", "open").mapInArrow(_suffix_batches(length), SUFFIXES), "suffixes")
+    suffixes = materialize(map_arrow(edges.join(opened, "cid").select("cid", "print", "n", "omin", "omax", "bytes", "open"), _suffix_batches(length), SUFFIXES), "suffixes")
     equal = materialize(suffixes.groupBy("print", "o", "name").agg(*differ).filter("one != other").select("print", "o", "name"), "suffix-ties")
     resolved = suffixes.filter("n = 1").join(equal, ["print", "o", "name"]).groupBy("cid").agg(F.collect_set("o").alias("os"))
     resolved = contexts.join(resolved, "cid").select("doc_id", "tid", F.explode("os").alias("o"), "anchor").select("doc_id", "tid", (F.col("anchor") - F.col("o")).alias("first"), (F.col("anchor") - F.col("o")).alias("last"))
@@ -261,7 +261,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, k: int = K, digest:
     clear = marked.filter(~F.col("maybe")).select("doc_id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges"))
     there = _renamed(ranges)
     touched = marked.filter("maybe").select("doc_id", "tid", "text").join(there, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("tid") == F.col("_tid")), "left").select("doc_id", "text", "ranges")
-    return clear.unionByName(touched).mapInArrow(_span_batches(length, digest), DIGESTS if digest else SPANS)
+    return map_arrow(clear.unionByName(touched), _span_batches(length, digest), DIGESTS if digest else SPANS)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
