@@ -44,6 +44,8 @@ LENGTH = 400
 K = 32
 BLOCK = 16
 PLACE = (1 << 32) - 1
+#: Parts of each context's join with its places.
+SALTS = 8
 #: Words of the fixed-size bitmap that tells which documents have something to remove.
 BITMAP_WORDS = 1 << 18
 
@@ -173,8 +175,11 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     key = ["print", "omin", "omax", "context"]
     one = [F.first(c).alias(c) for c in ("doc_id", "tid", "anchor")]
     contexts = materialize(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *one).withColumn("cid", F.monotonically_increasing_id()), "contexts")
-    again = materialize(contexts.filter("n > 1").select(*key), "contexts-again")
-    copied = found.join(again, key).select("doc_id", "tid", (F.col("anchor") - F.col("omax")).alias("first"), (F.col("anchor") - F.col("omin")).alias("last"))
+    # Many documents may share one context: its places are dealt over SALTS parts of the join.
+    again = contexts.filter("n > 1").select(*key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    again = materialize(again, "contexts-again")
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tid", "anchor"), F.lit(SALTS)).cast("int"))
+    copied = salted.join(again, [*key, "salt"]).select("doc_id", "tid", (F.col("anchor") - F.col("omax")).alias("first"), (F.col("anchor") - F.col("omin")).alias("last"))
 
     # Contexts that differ around the same anchor hash: the cover sample decides, block by block.
     varied = materialize(contexts.groupBy("print").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("print"), "varied")
