@@ -280,7 +280,8 @@ def near_classes(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY) ->
     loose = small.filter("root != main").select("band", F.col("node").alias("x"), F.col("root").alias("root_x"))
     pairs = loose.join(small.select("band", "node", "root"), "band").filter("root != root_x").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "near-pairs")
-    links = links.unionByName(proved(pairs, texts))
+    # What is linked so far is known by its roots: only new links can need further rounds.
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(proved(pairs, texts))
 
     # Larger buckets: blocks of texts, every pair of blocks a row, its texts fetched by node.
     large = members.filter(F.col("outside") > LOOSE_TEXTS)
