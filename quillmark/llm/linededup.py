@@ -3,13 +3,15 @@
 A document is its sequence of non-blank lines (split at \\n, compared after trimming spaces). A
 fingerprint is the hash of K consecutive lines; of each W consecutive fingerprints the smallest is
 selected, the rightmost where they tie. Any run of MIN_RUN = K + W - 1 equal lines therefore holds a
-selected fingerprint at the same place in each of its copies.
+selected fingerprint at the same place in each of its copies. Shorter runs qualify by their words:
+each run of fewer lines that holds more than MIN_WORDS words is a fingerprint of its own.
 
 1. Selected fingerprints are counted; only those that occur more than once are followed.
 2. Each place of such a fingerprint is extended both ways to every run of MIN_RUN lines that covers
    it. Runs are grouped by their hashes, and the first place of each, by (doc_id, line), is found.
 3. The lines of every later place are deleted. Longer repeated runs are unions of such runs, so a
-   line goes exactly when it stands in a run of at least MIN_RUN lines that occurred before.
+   line goes exactly when it stands in a run of at least MIN_RUN lines, or of more than MIN_WORDS
+   words, that occurred before.
 
 No pair of places is formed: groups of copies are aggregated to their first place and joined with
 it, which costs a row for each place however large the group.
@@ -17,7 +19,7 @@ it, which costs a row for each place however large the group.
 Defined results: a null text stays null and has no line; blank lines are neither compared nor
 deleted; rows equal in doc_id and text are one document (both keep the same lines); rows that share
 a doc_id only are ordered by a hash of their text; a null doc_id comes first. Runs never cross
-documents, but may repeat inside one. Other columns pass through unchanged.
+documents, but may repeat inside one. Words are what white space (of ASCII) separates. Other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -30,13 +32,16 @@ from .winnow import bound
 
 K, W = 2, 2
 MIN_RUN = K + W - 1
+#: A run of fewer than MIN_RUN lines qualifies with more words than this.
+MIN_WORDS = 50
 
 
 def line_hashes(text: Column) -> Column:
-    """(at, hash) of each non-blank line; at: its place among all lines."""
-    each = F.transform(F.split(text, "\n", -1), lambda line, i: F.struct(i.alias("at"), F.xxhash64(F.trim(line)).alias("hash"), (F.trim(line) == "").alias("blank")))
+    """(at, hash, words) of each non-blank line; at: its place among all lines."""
+    words = lambda line: F.regexp_count(line, F.lit(r"\S+")).cast("bigint")
+    each = F.transform(F.split(text, "\n", -1), lambda line, i: F.struct(i.alias("at"), F.xxhash64(F.trim(line)).alias("hash"), words(line).alias("words"), (F.trim(line) == "").alias("blank")))
     kept = F.filter(each, lambda x: ~x["blank"])
-    return F.transform(kept, lambda x: F.struct(x["at"].alias("at"), x["hash"].alias("hash")))
+    return F.transform(kept, lambda x: F.struct(x["at"].alias("at"), x["hash"].alias("hash"), x["words"].alias("words")))
 
 
 def _grams(lines: Column, k: int) -> Column:
@@ -60,21 +65,31 @@ def places(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """A row for each selected fingerprint: doc_id, text_hash, print and the runs that cover it."""
     run = k + w - 1
 
+    def one(lines: Column, s: Column, n: int) -> Column:
+        """The run of n lines from s on."""
+        hashes = [F.element_at(lines, s + 1 + j)["hash"] for j in range(n)]
+        # Two independent combinations: 128 bits for each run.
+        return F.struct(F.xxhash64(*hashes).alias("key"), F.xxhash64(F.lit(1), *hashes[::-1]).alias("check"), s.cast("bigint").alias("start"), F.transform(F.slice(lines, s + 1, F.lit(n)), lambda x: x["at"]).alias("lines"))
+
     def runs_over(lines: Column, at: Column) -> Column:
         starts = F.filter(F.transform(F.sequence(F.lit(1 - w), F.lit(0)), lambda d: at + d), lambda s: (s >= 0) & (s + run <= F.size(lines)))
+        return F.transform(starts, lambda s: one(lines, s, run))
 
-        def one(s: Column) -> Column:
-            hashes = [F.element_at(lines, s + 1 + j)["hash"] for j in range(run)]
-            # Two independent combinations: 128 bits for each run.
-            return F.struct(F.xxhash64(*hashes).alias("key"), F.xxhash64(F.lit(1), *hashes[::-1]).alias("check"), s.cast("bigint").alias("start"), F.transform(F.slice(lines, s + 1, F.lit(run)), lambda x: x["at"]).alias("lines"))
+    def long(lines: Column) -> Column:
+        each = lambda g: F.transform(_selected(g, w), lambda at: F.struct(F.element_at(g, at + 1).alias("print"), runs_over(lines, at).alias("runs")))
+        return F.when(F.size(lines) >= run, bound(_grams(lines, k), each))
 
-        return F.transform(starts, one)
+    def wordy(lines: Column, n: int) -> Column:
+        """Runs of n lines that qualify by their words; past the end get() is null."""
+        words = lambda s: sum((F.get(lines, s + j)["words"] for j in range(1, n)), F.get(lines, s)["words"])
+        starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda s: words(s) > MIN_WORDS)
+        return F.transform(starts, lambda s: bound(one(lines, s, n), lambda r: F.struct(r["key"].alias("print"), F.array(r).alias("runs"))))
 
     def found(lines: Column) -> Column:
-        each = lambda g: F.transform(_selected(g, w), lambda at: F.struct(F.element_at(g, at + 1).alias("print"), runs_over(lines, at).alias("runs")))
-        return bound(_grams(lines, k), each)
+        lists = F.array(long(lines), *[wordy(lines, n) for n in range(1, run)])
+        return F.flatten(F.filter(lists, lambda x: x.isNotNull()))
 
-    held = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), line_hashes(F.col("text")).alias("lines")).filter(F.size("lines") >= run)
+    held = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), line_hashes(F.col("text")).alias("lines")).filter(F.size("lines") > 0)
     return held.select("doc_id", "text_hash", F.explode(bound(F.col("lines"), found)).alias("p")).select("doc_id", "text_hash", "p.print", "p.runs")
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 import xxhash
@@ -62,3 +63,34 @@ def test_very_long_text_and_one_hot_group(spark):
 
 def test_empty_table(spark):
     assert linededup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def whole_brute(rows, run=3, words=50):
+    """Later copies of runs of at least ``run`` lines or of more than ``words`` words."""
+    docs = sorted({(d, t) for d, t, *_ in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0, hash64(r[1])))
+    seen, gone = set(), {}
+    for d, t in docs:
+        full = [(i, x.strip(" ")) for i, x in enumerate(t.split("\n")) if x.strip(" ")]
+        for s in range(len(full)):
+            for n in range(1, min(run, len(full) - s) + 1):
+                part = full[s : s + n]
+                if n == run or sum(len(re.findall(r"\S+", x, re.A)) for _, x in part) > words:
+                    key = tuple(x for _, x in part)
+                    if key in seen:
+                        gone.setdefault((d, t), set()).update(i for i, _ in part)
+                    seen.add(key)
+    return sorted((d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get((d, t), ())), len(gone.get((d, t), ()))) for d, t, *_ in rows)
+
+
+def test_passages_of_one_or_two_lines_go_by_their_words(spark):
+    line = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    long, edge, half, rest = line("long", 51), line("edge", 50), line("half", 30), line("rest", 21)
+    texts = [long, f"own one\n{long}\nown two", f"  {long} ", f"{half}\n\n{rest}", f"x\n{half}\n \n{rest}\ny", f"{rest}\n{half}", half, edge, edge, f"a\n{edge}\nb", f"{long}\ntail", f"{long}\ntail", f"{long}\n{long}"]
+    rng = random.Random(5)
+    parts = [long, edge, half, rest, "tail", "", "own", "\t".join(long.split())]
+    texts += ["\n".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(80)]
+    rows = [(i, t, "", 0) for i, t in enumerate(texts)]
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == whole_brute(rows)
+    left = {d: t for d, t, _ in got}
+    assert left[1] == "own one\nown two" and left[2] == "" and left[4] == "x\n \ny" and left[8] == edge and left[11] == ""
