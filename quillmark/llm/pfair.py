@@ -1,22 +1,26 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in a fixed pseudo-random order, form blocks of BLOCK documents. Target
-weights are rounded to shares m of a frame of M slots (largest remainders, one slot at least). Block
-k of a source with weight w = m / M may run from slot floor(k / w) on and must have run by slot
-ceil((k + 1) / w). Slots are given to the released block of earliest deadline. For weights that sum
-to one this meets every deadline, so that at any slot t each source has run between w t - 1 and
-w t + 1 blocks: less than one block from its target.
-
-All deadlines of a frame end with it, so the schedule of one frame repeats. It is simulated once, for
-M slots whatever the number of documents; block k of a source takes slot k mod m of frame k div m.
+Each source's documents, in a fixed pseudo-random order, form blocks of BLOCK documents. Block k of a
+source with weight w (its target over the sum of all, as an exact fraction) may run from slot
+floor(k / w) on and must have run by slot ceil((k + 1) / w). Slots are given to the released block of
+earliest deadline. As weights sum to one this meets every deadline, so that at any slot t each source
+has run between w t - 1 and w t + 1 blocks: less than one block from its target, however long the
+table.
+
+The schedule is one task's stream of (source, block, slot), a step for each block that exists; it
+holds an entry for each source. Its slots are gathered to the ranges that ranks come from, so that
+documents meet them in the join that gives them their ranks. On request a frame of whole slots is
+repeated instead (``frame``): its shares are rounded, and the deviation is from these.
+
 Ranks within a source come from counts of (source, range of order keys) and a row number inside each
 range: no window spans a source, however large its share.
 
-When a source has no block left its slots stay empty, and the others go on in their order: no document
-is dropped, capped or repeated. The deviation bound holds as long as every source has blocks.
+When a source has no block left its slots go to released blocks of others or stay empty, and the
+others keep their windows: no document is dropped, capped or repeated. The deviation bound holds for
+every source as long as it has blocks.
 
-Defined results: a null source is a source of its own; weights name sources, those not named share
-the mean of the named weights; without weights each source's target is the square root of its number
+Defined results: a null source is a source of its own; weights name sources and are positive, those
+not named have the mean of the named weights each; without weights each source's target is the square root of its number
 of documents. Rows are ordered in a source by a hash of doc_id and text; equal rows take consecutive
 places. Columns called mix_slot or mix_place are replaced; others pass through.
 """
@@ -24,15 +28,21 @@ places. Columns called mix_slot or mix_place are replaced; others pass through.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, map_arrow, materialize
 
 BLOCK = 16
 FRAME = 1000
+#: Rows of the schedule that its task holds at once.
+SCHEDULE_ROWS = 20_000
 #: Sources are a listed set: their weights are parameters, kept on the driver.
 MAX_SOURCES = 100_000
 
@@ -69,7 +79,58 @@ def frame_schedule(slots: dict) -> list:
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
+def exact_schedule(target: dict, blocks: dict) -> Iterator[tuple]:
+    """(source, block, slot) of every block: earliest deadline first, windows from the exact weights."""
+    names = sorted(blocks, key=repr)
+    exact = [Fraction(target[s]) for s in names]
+    scale = math.lcm(*(x.denominator for x in exact))
+    parts = [int(x * scale) for x in exact]
+    whole = sum(parts)
+    waiting = [(0, i, 0) for i, s in enumerate(names) if blocks[s]]  # (release, source, block)
+    ready: list = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * whole // parts[i]), i, k))
+        deadline, i, k = heapq.heappop(ready)
+        if deadline <= slot:
+            raise AssertionError("a deadline was missed")
+        yield names[i], k, slot
+        if k + 1 < blocks[names[i]]:
+            heapq.heappush(waiting, ((k + 1) * whole // parts[i], i, k + 1))
+        slot += 1
+
+
+def framed_schedule(target: dict, blocks: dict, frame: int) -> Iterator[tuple]:
+    """(source, block, slot) of every block, by one frame of rounded shares that repeats."""
+    slots = shares(target, frame)
+    order = frame_schedule(slots)
+    at: dict = {s: [] for s in slots}
+    for slot, s in enumerate(order):
+        at[s].append(slot)
+    for s, n in blocks.items():
+        for k in range(n):
+            yield s, k, k // slots[s] * len(order) + at[s][k % slots[s]]
+
+
+def _schedule(spark: SparkSession, target: dict, blocks: dict, frame: int | None) -> DataFrame:
+    """The schedule as a table, streamed by one task."""
+    shared = spark.sparkContext.broadcast((target, blocks))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            found = exact_schedule(*shared.value) if frame is None else framed_schedule(*shared.value, frame)
+            while part := list(itertools.islice(found, SCHEDULE_ROWS)):
+                columns = list(zip(*part, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["_ps", "_pb", "_slot"])
+
+    return map_arrow(spark.range(0, 1, 1, 1), run, "_ps string, _pb long, _slot long")
+
+
+def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame: int | None = None) -> DataFrame:
     """docs with mix_slot and mix_place: the schedule's slot and the place inside its block.
 
     Ordering by both gives the mixed sequence.
@@ -83,13 +144,9 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame:
         target = {s: weights.get(s, mean) for s in sizes}
     else:
         target = {s: math.sqrt(n) for s, n in sizes.items()}
-    slots = shares(target, frame) if target else {}
-    order = frame_schedule(slots) if slots else []
-    taken: dict = {}
-    table = []
-    for slot, s in enumerate(order):
-        table.append((s, taken.setdefault(s, 0), slot, slots[s]))
-        taken[s] += 1
+    if not all(0 < w < math.inf for w in target.values()):
+        raise ValueError("weights must be positive")
+    schedule = materialize(_schedule(spark, target, {s: -(-n // block) for s, n in sizes.items()}, frame), "mix-schedule")
 
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Internal names: no column of docs can clash, and those that the caller drops are never shuffled.
@@ -100,17 +157,16 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame:
     rows = keyed.withColumn("_range", F.floor(unsigned * ranges / float(1 << 32)).cast("int"))
     counts = materialize(rows.groupBy("_source", "_range").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     before = F.sum("n").over(Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col("_source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_start"))
+    starts = counts.select("_source", "_range", "n", F.coalesce(before, F.lit(0)).alias("_start")).withColumn("_first", F.floor(F.col("_start") / block))
+    # The slots of the blocks that each range touches: one number for each block of documents.
+    touched = starts.withColumn("_b", F.explode(F.sequence("_first", F.floor((F.col("_start") + F.col("n") - 1) / block))))
+    met = touched.join(schedule, F.col("_source").eqNullSafe(F.col("_ps")) & (F.col("_b") == F.col("_pb")))
+    slots = met.groupBy(F.col("_source").alias("_s"), F.col("_range").alias("_r"), "_start", "_first").agg(F.sort_array(F.collect_list("_slot")).alias("_slots"))
+    slots = materialize(slots, "mix-slots")
     nth = F.row_number().over(Window.partitionBy("_source", "_range").orderBy("_key", "_tie", F.col(names["doc_id"]))) - 1
-    ranked = rows.withColumn("_nth", nth).join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    ranked = ranked.withColumn("_rank", F.col("_start") + F.col("_nth")).withColumn("_block", F.floor(F.col("_rank") / block))
-
-    # One row for each slot of a frame: bounded by the frame, not by the documents.
-    places = F.broadcast(spark.createDataFrame(table, "_ps string, _j long, _slot long, _m long"))
-    per_source = F.broadcast(spark.createDataFrame(list(slots.items()), "_t string, _per long"))
-    found = ranked.join(per_source, F.col("_source").eqNullSafe(F.col("_t"))).withColumn("_turn", F.col("_block") % F.col("_per"))
-    found = found.join(places, F.col("_source").eqNullSafe(F.col("_ps")) & (F.col("_turn") == F.col("_j")))
-    slot = F.floor(F.col("_block") / F.col("_per")) * len(order) + F.col("_slot")
+    ranked = rows.withColumn("_nth", nth).join(slots, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    found = ranked.withColumn("_rank", F.col("_start") + F.col("_nth"))
+    slot = F.element_at("_slots", (F.floor(F.col("_rank") / block) - F.col("_first") + 1).cast("int"))
     others = [F.col(n).alias(c) for c, n in names.items() if c not in ("mix_slot", "mix_place")]
     return found.select(*others, slot.cast("bigint").alias("mix_slot"), (F.col("_rank") % block).cast("bigint").alias("mix_place"))
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 import xxhash
@@ -76,3 +77,45 @@ def test_mixed_order_keeps_rows_and_deviation(spark, tmp_path):
 
 def test_empty_table(spark):
     assert pfair.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def in_windows(target, placed):
+    """Whether every block stands between its release and its deadline, by the exact target weights."""
+    whole = sum(map(Fraction, target.values()))
+    weight = {s: Fraction(w) / whole for s, w in target.items()}
+    return all(k // weight[s] <= slot < -(-(k + 1) // weight[s]) for s, k, slot in placed)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.text(max_size=3), st.tuples(st.floats(0.0001, 100), st.integers(0, 300)), min_size=1, max_size=12))
+def test_exact_schedule_keeps_every_window(given_sources):
+    target, blocks = ({s: x[i] for s, x in given_sources.items()} for i in (0, 1))
+    placed = list(pfair.exact_schedule(target, blocks))
+    assert Counter(s for s, _, _ in placed) == Counter({s: n for s, n in blocks.items() if n})
+    assert len({slot for *_, slot in placed}) == len(placed) and in_windows(target, placed)
+
+
+@pytest.mark.parametrize("target", [{"big": 100_000**0.5} | {f"s{i}": 300**0.5 for i in range(20)}, {"big": 0.9} | {f"s{i}": 0.0005 for i in range(200)}, {"a": 0.9995, "b": 0.0005}])
+def test_deviation_from_target_weights_over_many_frames(target):
+    slots = 30_000
+    whole = sum(map(Fraction, target.values()))
+    # So many blocks that no source runs out before the end.
+    placed = list(pfair.exact_schedule(target, {s: int(Fraction(w) / whole * slots) + 2 for s, w in target.items()}))
+    first = [s for s, _, slot in placed if slot < slots]
+    assert len(first) == slots and in_windows(target, placed)
+    run, share = Counter(), {s: float(w / whole) for s, w in target.items()}
+    for t, s in enumerate(first, 1):
+        run[s] += 1
+        if t % 97 == 0 or t == slots:
+            assert all(abs(run[x] - w * t) < 1 + 1e-6 for x, w in share.items())
+
+
+def test_mix_follows_the_target_of_skewed_sources(spark):
+    rows = [(i, f"text {i}", "big", "", i) for i in range(8000)] + [(10_000 + i, f"small {i}", f"s{i % 20}", "", i) for i in range(480)]
+    got = pfair.mix(spark.createDataFrame(rows, SCHEMA), block=2).collect()
+    blocks = defaultdict(set)
+    for r in got:
+        blocks[r.source].add(r.mix_slot)
+    assert len(got) == len(rows) and Counter(len(b) for b in blocks.values()) == {4000: 1, 12: 20}
+    placed = [(s, k, slot) for s, b in blocks.items() for k, slot in enumerate(sorted(b))]
+    assert in_windows({"big": 8000**0.5} | {f"s{i}": 24**0.5 for i in range(20)}, placed)
