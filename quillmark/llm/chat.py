@@ -9,15 +9,16 @@ they are rendered under their own name in every perspective, and have none of th
     text<|end|>           text<|end|>               text<|end|>
 
 A conversation's messages are ordered by turn, role and text. Renderings are cut into segments of
-SEGMENT turn numbers, so that no row grows with its conversation; a segment of more than PART_ROWS
-messages (many messages for one turn) is split further, by turn and a hash of the message. Messages
+SEGMENT turn numbers, and these every PART_ROWS messages in that order: part = place in the segment
+div PART_ROWS, so that no row grows with its conversation and (segment, part) numbers rows in order.
+Places come from sorted ranges of all messages, however many one conversation or turn has. Messages
 of a conversation meet its participants by a join, which adaptive execution splits for a hot
 conversation; nothing is gathered but the messages of one part. Only DataFrame functions are used.
 
 Defined results: rows equal in all four columns are one message; a null text is empty; a null role is
 the participant `unknown`; messages without a turn come last, in segments of their own (-1); rows
 without conv_id form one conversation; a conversation of instructions only has no rendering. Other
-columns are ignored. Mask offsets count code points of the segment's text.
+columns are ignored. Mask offsets count code points of the row's text.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ranking import ranked
 from .common import documents, materialize
 
 NON_SPEAKERS = ("system",)
@@ -45,13 +47,13 @@ def messages(table: DataFrame) -> DataFrame:
     """Distinct messages with the segment and part that they belong to."""
     rows = table.select("conv_id", "turn", F.coalesce("role", F.lit(UNKNOWN)).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     rows = rows.withColumn("segment", F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-1)).cast("bigint"))
-    rows = materialize(rows, "messages")
-    large = rows.groupBy("conv_id", "segment").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART_ROWS)
-    large = materialize(large.select(F.col("conv_id").alias("_conv"), F.col("segment").alias("_segment"), F.ceil(F.col("n") / PART_ROWS).cast("bigint").alias("parts")), "large-segments")
-    joined = rows.join(large, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("segment") == F.col("_segment")), "left")
-    # Parts keep the order of turns; inside a turn they follow the hash.
-    inside = F.coalesce(F.pmod(F.col("turn"), F.lit(SEGMENT)), F.lit(0)) * F.col("parts") + F.pmod(F.xxhash64("role", "text"), F.col("parts"))
-    return joined.select("conv_id", "turn", "role", "text", "segment", F.coalesce(inside, F.lit(0)).cast("bigint").alias("part"))
+    rows = ranked(rows, F.col("conv_id"), F.col("segment"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text"), name="place")
+    first = rows.groupBy("conv_id", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    # In the others every message's part is 0.
+    first = materialize(first.filter(F.col("n") > PART_ROWS).select(F.col("conv_id").alias("_conv"), F.col("segment").alias("_segment"), "first"), "large-segments")
+    joined = rows.join(first, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("segment") == F.col("_segment")), "left")
+    part = F.floor((F.col("place") - F.col("first")) / PART_ROWS)
+    return joined.select("conv_id", "turn", "role", "text", "segment", F.coalesce(part, F.lit(0)).cast("bigint").alias("part"))
 
 
 def perspectives(table: DataFrame) -> DataFrame:

@@ -47,3 +47,26 @@ def test_empty_table_and_long_text(spark):
     assert chat.perspectives(spark.createDataFrame([], SCHEMA)).count() == 0
     got = chat.perspectives(spark.createDataFrame([(1, 0, "a", "long " * 200000, "", 0)], SCHEMA)).first()
     assert len(got.text) == 1000000 + len("<|assistant|>\n" + chat.END) + 1
+
+
+def test_large_segments_are_cut_by_place(spark):
+    rows = [(1, i // 5, f"r{i % 2}", f"m{i}", "", 0) for i in range(257)]
+    rows += [(None, 3, "user" if i % 2 else "bot", f"m{i} é", "", 0) for i in range(1100)] + [(None, i, "bot", "x", "", 0) for i in range(60)]
+    rows += [(2, None, "a", f"late {i}", "", 0) for i in range(600)] + [(2, 64 + i % 64, "a", f"m{i}", "", 0) for i in range(256)]
+    said: dict = {}
+    for c, t, r, x, *_ in rows:
+        said.setdefault((c, -1 if t is None else t // chat.SEGMENT), set()).add((t or 0, r, x))
+    want = []
+    for (c, segment), items in said.items():
+        for p in {r for d, t, r, *_ in rows if d == c}:
+            for part in range(-(-len(items) // chat.PART_ROWS)):
+                text, mask = "", []
+                for _, r, x in sorted(items)[part * chat.PART_ROWS : (part + 1) * chat.PART_ROWS]:
+                    text += "<|assistant|>\n" if r == p else f"<|user|> {r}:\n"
+                    if r == p:
+                        mask.append((len(text), len(text) + len(x) + len(chat.END)))
+                    text += x + chat.END + "\n"
+                want.append((c, p, segment, part, text, tuple(mask)))
+    got = chat.perspectives(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.conv_id, r.perspective, r.segment, r.part, r.text, tuple(tuple(s) for s in r["mask"])) for r in got), key=repr) == sorted(want, key=repr)
+    assert sorted(r.n_messages for r in got if r.conv_id == 1) == [1, 1, 256, 256]
