@@ -13,8 +13,10 @@ sum over its children; the maximum-sum element is the core of the main text. The
 lowest density on the path from the body to it: going down from the body, every element that reaches
 it contributes the maximum-sum element of its subtree. The smallest element that holds all of these
 (or the article or main element around them) is the main text; whatever lies in it is kept, however
-short, but for elements whose role is told by name: navigation, headers of the page, footers,
-sidebars, notices, adverts, forms, scripts, styles and comment sections.
+short and however many links it has, but for elements whose role is told by name: navigation, headers
+of the page, footers, sidebars, notices, adverts, forms, scripts, styles and comment sections. A class
+or role tells it by a whole token that is made of ROLES and words for boxes alone ("top-menu", but not
+"side-effects"), an id likewise, and only that of a container: headings and sections have anchors.
 
 Inside the main text, character references are decoded, white space becomes one space, and blocks are
 joined by line ends in page order.
@@ -38,7 +40,7 @@ from .common import blocks, documents, map_arrow, rows_of
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math select button canvas object audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg select button canvas object audio video".split())
 OPAQUE = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog head".split())
@@ -60,6 +62,10 @@ INLINE = frozenset("b i em strong a span u s small big font code sub sup mark la
 ROLES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager sidebar side aside widget footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended trending comment comments commentlist disqus reply replies respond discussion contentinfo complementary search skip".split()
 )
+#: Words that tell no role, but stand beside one.
+BOXES = frozenset("area bar block body bottom box button buttons container content group header holder inner item items left link links list main outer page panel primary right row secondary section site top wrap wrapper".split())
+#: Elements whose id may tell a role.
+CONTAINERS = frozenset("div ul ol dl table tbody tr td".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -78,6 +84,15 @@ class Node:
         self.best: Node = self
 
 
+def _tells(value: str) -> bool:
+    """Whether a token of the value names a role, and nothing else."""
+    for token in value.split():
+        words = {w.lower() for w in _WORDS.findall(token)}
+        if not ROLES.isdisjoint(words) and words <= ROLES | BOXES:
+            return True
+    return False
+
+
 def _has_role(tag: str, attributes: str) -> bool:
     """Whether names tell that the element is not part of the main text."""
     if tag in BOILERPLATE or tag in RAW:
@@ -92,7 +107,7 @@ def _has_role(tag: str, attributes: str) -> bool:
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        elif name in ("class", "id", "role") and tag not in ("html", "body", "article", "main", "p", "h1") and not ROLES.isdisjoint(w.lower() for w in _WORDS.findall(value)):
+        elif (name in ("class", "role") and tag not in ("html", "body", "article", "main", "p", "h1") or name == "id" and tag in CONTAINERS) and _tells(value):
             return True
         elif name in ("class", "id") and tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(w.lower() for w in _WORDS.findall(value)):
             return True
@@ -261,10 +276,6 @@ def _with_title(element: Node, body: Node) -> Node:
     return element
 
 
-def _link_list(node: Node) -> bool:
-    return node.tag in ("ul", "ol", "div", "table", "p") and node.link_tags >= 2 and node.link_chars >= 0.8 * node.chars > 0
-
-
 def text_of(element: Node) -> str:
     out: list[str] = []
     block: list[str] = []
@@ -289,7 +300,7 @@ def text_of(element: Node) -> str:
                 block.append(" ")
             elif c.tag == "hr":
                 end()
-            elif not _dropped(c) and not _link_list(c):
+            elif not _dropped(c):
                 stack.append((node, i))
                 stack.append((c, 0))
                 break

@@ -72,3 +72,28 @@ def test_rows(spark):
     assert got.columns[:4] == ["page_id", "url", "text", "n_chars"]
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got.collect()) == [(0, "", 0), (1, "é text", 6), (1, "é text", 6), (2, "", 0)]
     assert htmltext.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_nothing_else_inside_the_article_goes():
+    links = "<a href='/1'>The first source of all</a> <a href='/2'>The second source</a>"
+    inside = {
+        f"<p>{links}</p>": "The first source of all The second source",
+        "<ol><li><a href='/1'>Source one</a><li><a href='/2'>Source two</a></ol>": "Source one\nSource two",
+        "<table><tr><td><a href='/1'>Cell one</a><td><a href='/2'>Cell two</a></table>": "Cell one\nCell two",
+        f"<div>{links}</div>": "The first source of all The second source",
+        "<h2 id='discussion'>Discussion</h2>": "Discussion",
+        "<h3 id='search'>Search</h3>": "Search",
+        "<section id='related-work'><p>What others did.</p></section>": "What others did.",
+        "<section id='comments'><p>On comments.</p></section>": "On comments.",
+        "<div class='side-effects'><p>It may itch.</p></div>": "It may itch.",
+        "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p>": "Let x=2 hold.",
+    }
+    for markup, text in inside.items():
+        page = f"<body>{NAV}<article><h1>T</h1><p>{LONG[0]}</p>{markup}<p>{LONG[3]}</p></article></body>"
+        assert htmltext.main_text(page) == "\n".join(["T", WANT[0], text, WANT[3]])
+
+
+@pytest.mark.parametrize("attribute", ["class='nav'", "class='x top-menu'", "id='cookie-notice'", "role='navigation'", "class='commentList'", "class='related-links'", "id='sidebar'"])
+def test_told_roles_inside_the_article_go(attribute):
+    page = f"<article><h1>T</h1><p>{LONG[0]}</p><div {attribute}><a href='/1'>One</a> <a href='/2'>Two</a></div><p>{LONG[3]}</p></article>"
+    assert htmltext.main_text(page) == "\n".join(["T", WANT[0], WANT[3]])
