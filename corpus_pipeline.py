@@ -37,8 +37,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of pieces and digests of ids and decoded text."""
-    return pieces.round_trips(docs).drop("spans_sha256")
+    """Number of pieces and digests of ids and decoded text, in the order that docs are stored in."""
+    placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    # Written first: sorting samples its input, which would encode the texts twice.
+    found = materialize(pieces.round_trips(placed, keep=("_file", "_row")).drop("spans_sha256"), "pieces")
+    return found.repartitionByRange("_file", "_row").sortWithinPartitions("_file", "_row").drop("_file", "_row")
 
 
 STAGES = [

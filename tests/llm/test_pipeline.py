@@ -57,3 +57,19 @@ def test_runs_on_an_empty_table(spark, tmp_path):
         stage(spark, docs, DATA).write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
         assert docs.count() == 0
+
+
+def test_results_follow_the_mixing_schedule_over_several_files(spark, tmp_path):
+    # Later files are larger, and a plain scan takes the largest first.
+    for i in range(6):
+        rows = [(100 * i + (7 * j) % 20, f"word {j} " * 40 * (1 + 50 * i), "en", "src1", 9) for j in range(20)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+        (part,) = (tmp_path / f"w{i}").glob("part-*")
+        (tmp_path / "mixed").mkdir(exist_ok=True)
+        part.rename(tmp_path / "mixed" / f"part-{i:05d}.snappy.parquet")
+    docs = spark.read.parquet(str(tmp_path / "mixed"))
+    want = [100 * i + (7 * j) % 20 for i in range(6) for j in range(20)]
+    corpus_pipeline.encoded(spark, docs, DATA).write.parquet(str(tmp_path / "out"))
+    got = [r.doc_id for f in sorted((tmp_path / "out").glob("part-*")) for r in spark.read.parquet(str(f)).collect()]
+    assert got == want
+    assert [r.doc_id for r in docs.select("doc_id").collect()] != want
