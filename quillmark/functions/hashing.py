@@ -45,8 +45,8 @@ def _compress(cv: np.ndarray, words: np.ndarray, counter: np.ndarray, size: np.n
     return v[:8] ^ v[8:]
 
 
-def blake3(data: bytes) -> str:
-    """64 hex digits."""
+def _subtree(data: bytes, first: int = 0, root: bool = True) -> np.ndarray:
+    """Chaining value (8) of the tree over data, whose first chunk has the number first."""
     chunks = max(1, -(-len(data) // CHUNK))
     words = np.frombuffer(data.ljust(chunks * CHUNK, b"\0"), "<u4").reshape(chunks, 16, 16).transpose(1, 2, 0)
     last = len(data) - (chunks - 1) * CHUNK
@@ -54,21 +54,61 @@ def blake3(data: bytes) -> str:
     sizes[-1] = last
     blocks = np.maximum(1, -(-sizes // BLOCK))
     cv = np.repeat(np.array(IV, np.uint32)[:, None], chunks, axis=1)
-    number = np.arange(chunks, dtype=np.uint64)
+    number = np.arange(first, first + chunks, dtype=np.uint64)
     for i in range(int(blocks.max())):
         live = np.flatnonzero(blocks > i)
         size = np.minimum(BLOCK, sizes[live] - i * BLOCK).astype(np.uint32)
-        flags = np.where(i == 0, CHUNK_START, 0) | np.where(blocks[live] == i + 1, CHUNK_END | (ROOT if chunks == 1 else 0), 0)
+        flags = np.where(i == 0, CHUNK_START, 0) | np.where(blocks[live] == i + 1, CHUNK_END | (ROOT if root and chunks == 1 else 0), 0)
         cv[:, live] = _compress(cv[:, live], words[i][:, live], number[live], size, flags.astype(np.uint32))
     while cv.shape[1] > 1:
         # Pairs of neighbours; an odd last one moves up: the left subtree is the largest power of two.
         pairs = cv.shape[1] // 2
-        block = np.concatenate([cv[:, 0 : 2 * pairs : 2], cv[:, 1 : 2 * pairs : 2]])
-        flags = np.full(pairs, PARENT | (ROOT if cv.shape[1] == 2 else 0), np.uint32)
-        start = np.repeat(np.array(IV, np.uint32)[:, None], pairs, axis=1)
-        up = _compress(start, block, np.zeros(pairs, np.uint64), np.full(pairs, BLOCK, np.uint32), flags)
+        up = _parents(cv[:, 0 : 2 * pairs : 2], cv[:, 1 : 2 * pairs : 2], root and cv.shape[1] == 2)
         cv = np.concatenate([up, cv[:, 2 * pairs :]], axis=1)
-    return cv[:, 0].astype("<u4").tobytes().hex()
+    return cv[:, 0]
+
+
+def _parents(left: np.ndarray, right: np.ndarray, root: bool) -> np.ndarray:
+    """Chaining values (8 x n) of n parents."""
+    n = left.shape[1]
+    start = np.repeat(np.array(IV, np.uint32)[:, None], n, axis=1)
+    flags = np.full(n, PARENT | (ROOT if root else 0), np.uint32)
+    return _compress(start, np.concatenate([left, right]), np.zeros(n, np.uint64), np.full(n, BLOCK, np.uint32), flags)
+
+
+def _hex(cv: np.ndarray) -> str:
+    return cv.astype("<u4").tobytes().hex()
+
+
+def blake3(data: bytes) -> str:
+    """64 hex digits."""
+    return _hex(_subtree(data))
+
+
+#: Chunks that blake3_stream hashes at once, a power of two: it holds so many KiB of a file.
+GROUP = 1024
+
+
+def blake3_stream(file, group: int = GROUP) -> str:
+    """blake3 of a binary file object, a group of chunks at a time.
+
+    Complete groups are complete subtrees; those of equal size are merged as soon as both are known, so
+    that a stack of about log2 of the groups is all that is kept.
+    """
+    size = group * CHUNK
+    data, done, stack = file.read(size), 0, []
+    while len(data) == size and (following := file.read(size)):
+        cv, done = _subtree(data, done * group, False), done + 1
+        merged = done
+        while merged % 2 == 0:
+            cv, merged = _parents(stack.pop()[:, None], cv[:, None], False)[:, 0], merged // 2
+        stack.append(cv)
+        data = following
+    cv = _subtree(data, done * group, not stack)
+    while stack:
+        left = stack.pop()
+        cv = _parents(left[:, None], cv[:, None], not stack)[:, 0]
+    return _hex(cv)
 
 
 def content_hash(content: Column, method: str = "blake3") -> Column:
@@ -86,8 +126,8 @@ def content_hash(content: Column, method: str = "blake3") -> Column:
 
 
 def hash_file(path: str, method: str = "blake3") -> str:
-    """Of a file that this machine sees; hashlib methods stream, blake3 holds the file."""
+    """Of a file that this machine sees, read in parts of bounded size."""
     with open(path, "rb") as file:
         if method == "blake3":
-            return blake3(file.read())
+            return blake3_stream(file)
         return hashlib.file_digest(file, method).hexdigest()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ascii_fold, clamp_rating, trimmed
@@ -33,9 +33,9 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = ()
 
 
 def latest(ops: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """The last operation of every key."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(seq)))
-    return ops.withColumn("_place", place).filter("_place = 1").drop("_place")
+    """The last operation of every key: a maximum with partial results, so a hot key is no hot task."""
+    last = ops.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in ops.columns if c not in keys]), seq).alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}") for c in ops.columns])
 
 
 def next_ids(old: DataFrame, new: DataFrame, *order: Column) -> DataFrame:
@@ -97,12 +97,14 @@ def set_enrichment(catalog: Catalog, enriched: DataFrame) -> Catalog:
 # --- tags ----------------------------------------------------------------------------------
 
 
-def ensure_tags(catalog: Catalog, names: list[str], trim: bool = True) -> Catalog:
-    """Insert the names that no tag has, ASCII letters of either case being equal; first spelling wins."""
-    rows = [(i, n.strip() if trim else n) for i, n in enumerate(names)]
-    new = catalog.spark.createDataFrame(rows, "seq long, name string").withColumn("fold", ascii_fold("name"))
-    first = F.row_number().over(Window.partitionBy("fold").orderBy("seq"))
-    new = new.withColumn("n", first).filter("n = 1").join(catalog.tags.select(ascii_fold("name").alias("fold")), "fold", "left_anti")
+def ensure_tags(catalog: Catalog, names: list[str] | DataFrame, trim: bool = True) -> Catalog:
+    """Insert the names (a list, or rows of seq and name) that no tag has, ASCII letters of either case
+    being equal; the first spelling wins."""
+    if not isinstance(names, DataFrame):
+        rows = [(i, n.strip() if trim else n) for i, n in enumerate(names)]
+        names = catalog.spark.createDataFrame(rows, "seq long, name string")
+    new = names.groupBy(ascii_fold("name").alias("fold")).agg(F.min(F.struct("seq", "name")).alias("one")).select("fold", "one.*")
+    new = new.join(catalog.tags.select(ascii_fold("name").alias("fold")), "fold", "left_anti")
     added = next_ids(catalog.tags, new.select("seq", "name"), F.col("seq")).select("id", "name")
     return catalog.with_tables(tags=catalog.tags.unionByName(added))
 
@@ -124,6 +126,21 @@ def remove_tag(catalog: Catalog, name: str, hashes: list[str] | DataFrame) -> Ca
     return catalog.with_tables(file_tags=catalog.file_tags.join(gone, ["content_hash", "tag_id"], "left_anti"))
 
 
+def change_tags(catalog: Catalog, changes: DataFrame, now: int = 0) -> Catalog:
+    """Tag and untag many contents by many names at once.
+
+    changes: seq, content_hash, name (trimmed), applied (false: taken off). The last change of each
+    content and name counts; names that were applied become tags. One pass, whatever the vocabulary.
+    """
+    folded = changes.withColumn("fold", ascii_fold("name"))
+    catalog = ensure_tags(catalog, folded.filter("applied").select("seq", "name"))
+    ids = catalog.tags.select(ascii_fold("name").alias("fold"), F.col("id").alias("tag_id"))
+    last = latest(folded, ["content_hash", "fold"]).join(ids, "fold").select("content_hash", "tag_id", "applied")
+    kept = catalog.file_tags.join(last.filter(~F.col("applied")), ["content_hash", "tag_id"], "left_anti")
+    new = last.filter("applied").join(catalog.file_tags, ["content_hash", "tag_id"], "left_anti").withColumn("created_at", F.lit(now))
+    return catalog.with_tables(file_tags=kept.unionByName(conform(new, "file_tags")))
+
+
 def delete_tag(catalog: Catalog, name: str) -> Catalog:
     """The tag (by its untrimmed name) and all its uses go."""
     gone = _tag_id(catalog, name)
@@ -175,10 +192,11 @@ def set_rating(catalog: Catalog, content_hash: str, rating: int | None, now: int
     return _one(catalog, "ratings", content_hash, now, rating=rating)
 
 
-def rate_selection(catalog: Catalog, hashes: list[str], rating: int, now: int = 0) -> Catalog:
+def rate_selection(catalog: Catalog, hashes: list[str] | DataFrame, rating: int, now: int = 0) -> Catalog:
     """Zero clears; items without a content hash are skipped."""
-    rows = [(0, h, now, rating or None) for h in dict.fromkeys(hashes) if h]
-    return apply_changes(catalog, "ratings", catalog.spark.createDataFrame(rows, "seq long, content_hash string, updated_at long, rating long"))
+    chosen = _values(catalog, hashes).filter(F.col("content_hash") != "").distinct()
+    value = F.lit(rating or None).cast("bigint").alias("rating")
+    return apply_changes(catalog, "ratings", chosen.select(F.lit(0).alias("seq"), "content_hash", F.lit(now).cast("bigint").alias("updated_at"), value))
 
 
 def set_comment(catalog: Catalog, content_hash: str, body: str | None, now: int = 0) -> Catalog:
@@ -206,9 +224,9 @@ def rekey(catalog: Catalog, old: str, new: str) -> Catalog:
         rows, others = catalog.table(table), [k for k in KEYS[table] if k != "content_hash"]
         moved = rows.filter(F.col("content_hash") == old).withColumn("content_hash", F.lit(new))
         stay = rows.filter(F.col("content_hash") != old)
-        # Only rows of the new content can be displaced.
+        # Only rows of the new content can be displaced; of their sizes the optimizer knows best.
         gone = moved.select("content_hash", *others)
-        changed[table] = stay.join(F.broadcast(gone), ["content_hash", *others], "left_anti").unionByName(moved)
+        changed[table] = stay.join(gone, ["content_hash", *others], "left_anti").unionByName(moved)
     for table in ("orientations", "crops"):
         changed[table] = catalog.table(table).filter(F.col("content_hash") != old)
     return catalog.with_tables(**changed)
@@ -249,9 +267,10 @@ def add_to_catalog(catalog: Catalog, collection_id: int, hashes: list[str] | Dat
     return catalog.with_tables(collection_items=catalog.collection_items.unionByName(conform(added, "collection_items")))
 
 
-def remove_from_catalog(catalog: Catalog, collection_id: int, hashes: list[str]) -> Catalog:
+def remove_from_catalog(catalog: Catalog, collection_id: int, hashes: list[str] | DataFrame) -> Catalog:
     """Positions are not closed up; files and annotations stay."""
-    return catalog.with_tables(collection_items=catalog.collection_items.filter(~((F.col("collection_id") == collection_id) & F.col("content_hash").isin(hashes))))
+    gone = _values(catalog, hashes).distinct().withColumn("collection_id", F.lit(collection_id).cast("bigint"))
+    return catalog.with_tables(collection_items=catalog.collection_items.join(gone, ["collection_id", "content_hash"], "left_anti"))
 
 
 def set_catalog_order(catalog: Catalog, collection_id: int, hashes: list[str] | DataFrame) -> Catalog:
@@ -272,6 +291,14 @@ def trash_others(catalog: Catalog, clusters: DataFrame, trashed: DataFrame) -> C
     return mark_missing(catalog, others)
 
 
+def trashed_view(view: DataFrame, trashed: DataFrame) -> DataFrame:
+    """The view without the selected files that were moved to the trash (path).
+
+    What could not be moved stays, and the index learns of it at the next scan only.
+    """
+    return view.join(trashed.select("path").distinct(), "path", "left_anti").select(*view.columns)
+
+
 def save_in_place(catalog: Catalog, record: DataFrame, old_hash: str) -> Catalog:
     """A file was rewritten: its row is replaced, and annotations follow to the new content.
 
@@ -282,7 +309,7 @@ def save_in_place(catalog: Catalog, record: DataFrame, old_hash: str) -> Catalog
     return rekey(upsert_files(catalog, record), old_hash, new_hash)
 
 
-def delete_or_remove(catalog: Catalog, collection_id: int | None, hashes: list[str], trashed: DataFrame | None = None) -> Catalog:
+def delete_or_remove(catalog: Catalog, collection_id: int | None, hashes: list[str] | DataFrame, trashed: DataFrame | None = None) -> Catalog:
     """In a catalog the contents leave it; elsewhere the paths that were moved to the trash turn missing."""
     if collection_id is not None:
         return remove_from_catalog(catalog, collection_id, hashes)

@@ -4,26 +4,33 @@ from __future__ import annotations
 
 from collections import OrderedDict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import cache_key, is_current, is_shareable
+from ..functions.columns import BUCKETS, cache_key, is_current, is_shareable
+from ..plans.ranking import running_total
 
 
 def evictions(entries: DataFrame, cap: int) -> DataFrame:
     """Entries (ord, size, last_used) that go, oldest first, until the rest fits the cap.
 
     An entry goes if what it and all newer entries hold exceeds the cap: the running sum from the
-    newest entry on is enough. It is the sum of the hours after an entry's (some thousand rows for a
-    year) plus the running sum inside its hour: no window spans the table.
+    newest entry on is enough, and it is taken range by range, however many entries one moment has.
     """
-    hour = F.floor(F.col("last_used") / 3600)
-    by_hour = entries.groupBy(hour.alias("hour")).agg(F.sum("size").alias("held"))
-    later = Window.orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
-    newer = by_hour.select("hour", F.coalesce(F.sum("held").over(later), F.lit(0)).alias("newer"))
-    inside = Window.partitionBy("hour").orderBy(F.desc("last_used"), F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = entries.withColumn("hour", hour).withColumn("own", F.sum("size").over(inside)).join(newer, "hour")
-    return placed.filter(F.col("newer") + F.col("own") > cap).select(*entries.columns)
+    summed = running_total(entries, "size", F.desc("last_used"), F.desc("ord"), name="_held")
+    return summed.filter(F.col("_held") > cap).select(*entries.columns)
+
+
+def private_evictions(listing: DataFrame, budget_mb: int) -> DataFrame:
+    """Files of a private cache that go to keep its budget.
+
+    listing: path, size, mtime of everything below the cache; only PNG files that lie directly in a
+    bucket's folder count, the least recently used go first, and a budget of 0 empties the cache.
+    """
+    folders = "|".join(name for _, name in BUCKETS)
+    held = listing.filter(F.col("path").rlike(rf"/({folders})/[^/]+\.png$"))
+    entries = held.select(F.col("path").alias("ord"), "size", F.col("mtime").alias("last_used"))
+    return evictions(entries, budget_mb * 1_000_000).select(F.col("ord").alias("path"), "size", F.col("last_used").alias("mtime"))
 
 
 def cached_thumbnails(files: DataFrame, listing: DataFrame) -> DataFrame:

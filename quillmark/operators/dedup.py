@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import components, written
 from ..plans.hamming import close_pairs
+from ..plans.ranking import ranked
 from ..sources.catalog import Catalog
 from .collections import durable_paths
 from .query import Query, filtered
@@ -24,10 +25,13 @@ def clusters(labelled: DataFrame) -> DataFrame:
     keeper's path, rank the place in the cluster (size descending, path), members the count.
     """
     kept = durable_paths(labelled)
-    inside = Window.partitionBy("label")
-    order = inside.orderBy(F.desc("size"), "path")
-    ranked = kept.withColumns({"members": F.count(F.lit(1)).over(inside), "rank": F.row_number().over(order).cast("bigint"), "cluster_id": F.first("path").over(order)})
-    return ranked.filter("members > 1").select("cluster_id", "rank", "members", "path", "content_hash", "size")
+    # Members are counted with partial sums and placed by sorted ranges of the whole order: a cluster
+    # that holds most of a library loads no single task.
+    counted = kept.groupBy("label").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    placed = ranked(kept.join(counted, "label"), F.col("label"), F.desc("size"), F.col("path"), name="_place")
+    first = placed.groupBy("label").agg(F.min(F.struct("_place", "path")).alias("first"))
+    rank = F.col("_place") - F.col("first._place") + 1
+    return placed.join(first, "label").select(F.col("first.path").alias("cluster_id"), rank.alias("rank"), "members", "path", "content_hash", "size")
 
 
 def exact_duplicates(catalog: Catalog, under: str | None = None) -> DataFrame:

@@ -162,12 +162,34 @@ def xmp_packets(catalog: Catalog, files: DataFrame) -> DataFrame:
 
 
 def write_sidecars(packets: DataFrame) -> int:
-    """Write every packet beside its file, on the executors (which must see the files' folders)."""
+    """Write every packet beside its file, on the executors (which must see the files' folders); how many."""
+    return _write_sidecars(packets)
 
-    def write(rows):
-        for row in rows:
-            with open(row["sidecar"], "w", encoding="utf-8") as file:
-                file.write(row["packet"])
 
-    packets.foreachPartition(write)
-    return packets.count()
+def write_selected_sidecars(catalog: Catalog, selection: DataFrame) -> tuple[int, int]:
+    """Sidecars of selected files (path, content_hash): how many were written, and how many skipped.
+
+    Skipped are files without a hash, with nothing to tell, or in a folder that cannot be written.
+    """
+    done = _write_sidecars(xmp_packets(catalog, selection))
+    return done, selection.count() - done
+
+
+def _write_sidecars(packets: DataFrame) -> int:
+
+    def write(frames):
+        import pandas as pd
+
+        for frame in frames:
+            done = 0
+            for sidecar, packet in zip(frame["sidecar"], frame["packet"], strict=True):
+                try:
+                    with open(sidecar, "w", encoding="utf-8") as file:
+                        file.write(packet)
+                    done += 1
+                except OSError:
+                    continue
+            yield pd.DataFrame({"written": [done]})
+
+    # Written and counted by one job: packets are computed once.
+    return packets.select("sidecar", "packet").mapInPandas(write, "written long").agg(F.coalesce(F.sum("written"), F.lit(0)).alias("n")).first()["n"]

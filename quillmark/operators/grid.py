@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import file_name, natural_key
+from ..plans.components import written
 from ..sources.catalog import Catalog
 from .query import hashes_with_tag, present
 
@@ -53,7 +55,11 @@ def grid_filter(items: DataFrame, catalog: Catalog, min_rating: int = 0, tag: st
     return rows.filter(F.col("content_hash") != "").join(hashes_with_tag(catalog, tag), "content_hash", "left_semi").select(*items.columns)
 
 
-def nearest(items: DataFrame, position: str, center: float, limit: int) -> DataFrame:
+#: What a view queues to load: the grid, the filmstrip, and how many of the latter load at once.
+GRID_QUEUE, STRIP_QUEUE, STRIP_LOADING = 512, 96, 8
+
+
+def nearest(items: DataFrame, position: str, center: float, limit: int = GRID_QUEUE) -> DataFrame:
     """The items closest to a place in the view: what to load next."""
     return items.orderBy(F.abs(F.col(position) - center), position).limit(limit)
 
@@ -126,7 +132,10 @@ class SortKeys:
             return items.withColumn("sort_key", key())
 
         def one(facts: dict) -> dict:
-            value = key(facts)
+            try:
+                value = key(facts)
+            except Exception as error:
+                raise KeyError_(f"{name}: {type(error).__name__}: {error}") from error
             if isinstance(value, bool) or not isinstance(value, (int, float, str)):
                 raise KeyError_(f"{name}: a key must be a number or a string, not {type(value).__name__}")
             text = isinstance(value, str)
@@ -147,11 +156,14 @@ class SortKeys:
         return [*(c.desc() if descending else c.asc() for c in parts), F.col("path").asc()]
 
     def sorted_or_by_name(self, items: DataFrame, name: str, descending: bool = False) -> DataFrame:
-        """Items in the order, or by name if any key fails: the keys are computed before the order is used."""
-        from ..plans.components import written
+        """Items in the order, or by name if a key fails: the keys are computed before the order is used.
 
+        Only a key function's own failure counts; lost executors or full disks are errors as ever.
+        """
         try:
             keyed = written(self.keyed(items, name), "keys")
-        except Exception:
+        except PythonException as error:
+            if KeyError_.__name__ not in str(error):
+                raise
             return items.orderBy(*grid_order("name", descending))
         return keyed.orderBy(*self.order(descending)).drop("sort_key")

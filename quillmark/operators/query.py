@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ascii_fold, in_subtree
+from ..functions.columns import LOWER, UPPER, ascii_fold, in_subtree
 from ..plans.ranking import ranked, ranked_top
 from ..sources.catalog import Catalog
 from ..sources.schema import FILE_COLUMNS
@@ -64,24 +65,49 @@ def present(catalog: Catalog) -> DataFrame:
 
 def hashes_with_any(catalog: Catalog, names: list[str]) -> DataFrame:
     """content_hash and folded name of the file tags that match a name."""
-    folded = [F.lit(n.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) for n in names]
+    folded = [F.lit(n) for n in _folded(names)]
     tags = catalog.tags.select("id", ascii_fold("name").alias("tag")).filter(F.col("tag").isin(*folded))
     return catalog.file_tags.join(tags, F.col("tag_id") == F.col("id")).select("content_hash", "tag")
 
 
-def filtered(catalog: Catalog, query: Query) -> DataFrame:
-    """The query's rows, without order or limit."""
-    rows = present(catalog)
-    if query.under is not None:
-        rows = rows.filter(in_subtree("path", query.under))
+def own_conditions(query: Query) -> list[Column]:
+    """The conditions that a file's own columns decide."""
+    found = [in_subtree("path", query.under)] if query.under is not None else []
     for column in ("camera", "format", "orientation"):
         value = getattr(query, column)
         if value is not None:
-            rows = rows.filter(F.col(column) == F.lit(value))
+            found.append(F.col(column) == F.lit(value))
     if query.date_from is not None:
-        rows = rows.filter(F.col("date_taken") >= query.date_from)
+        found.append(F.col("date_taken") >= query.date_from)
     if query.date_to is not None:
-        rows = rows.filter(F.col("date_taken") <= query.date_to)
+        found.append(F.col("date_taken") <= query.date_to)
+    return found
+
+
+def _folded(names: list[str]) -> list[str]:
+    return list(dict.fromkeys(n.translate(str.maketrans(UPPER, LOWER)) for n in names))
+
+
+def matches(query: Query) -> Column:
+    """Whether a present file is in the query, given its folded tags and rating as _tags and _rating."""
+    found = reduce(Column.__and__, own_conditions(query), F.lit(True))
+    if query.tags_all:
+        names = distinct_names(query.tags_all)
+        has = [F.array_contains("_tags", n) for n in _folded(names)]
+        # Names that agree in Unicode lower case only are two tags or none.
+        found = found & (reduce(Column.__and__, has) if len(has) == len(names) else F.lit(False))
+    if query.tags_any:
+        found = found & F.arrays_overlap("_tags", F.array(*[F.lit(n) for n in _folded(query.tags_any)]))
+    if query.rating_min is not None:
+        found = found & (F.col("_rating") >= query.rating_min)
+    return found
+
+
+def filtered(catalog: Catalog, query: Query) -> DataFrame:
+    """The query's rows, without order or limit."""
+    rows = present(catalog)
+    for condition in own_conditions(query):
+        rows = rows.filter(condition)
     if query.tags_all:
         names = distinct_names(query.tags_all)
         every = hashes_with_any(catalog, names).groupBy("content_hash").agg(F.countDistinct("tag").alias("n")).filter(F.col("n") == len(names))
@@ -124,12 +150,22 @@ def file_by_path(catalog: Catalog, path: str) -> DataFrame:
     return catalog.files.filter(F.col("path") == path)
 
 
-def files_by_hash(catalog: Catalog, content_hash: str) -> DataFrame:
-    return catalog.files.filter(F.col("content_hash") == content_hash).orderBy("path")
+def _of_content(rows: DataFrame, contents: str | DataFrame) -> DataFrame:
+    if isinstance(contents, DataFrame):
+        return rows.join(contents.select("content_hash").distinct(), "content_hash", "left_semi").select(*rows.columns)
+    return rows.filter(F.col("content_hash") == contents)
+
 
+def files_by_hash(catalog: Catalog, contents: str | DataFrame) -> DataFrame:
+    """All files, missing ones too, of one content or of a column of contents, by path."""
+    return _of_content(catalog.files, contents).orderBy("path")
 
-def missing_file_by_hash(catalog: Catalog, content_hash: str) -> DataFrame:
-    return catalog.files.filter(F.col("missing") & (F.col("content_hash") == content_hash)).orderBy("path").limit(1)
+
+def missing_file_by_hash(catalog: Catalog, contents: str | DataFrame) -> DataFrame:
+    """The first missing file, by path, of one content or of each of a column of contents."""
+    rows = _of_content(catalog.files.filter("missing"), contents)
+    first = rows.groupBy("content_hash").agg(F.min_by(F.struct(*FILE_COLUMNS), "path").alias("file"))
+    return first.select("file.*")
 
 
 def paths_under(catalog: Catalog, root: str) -> DataFrame:
@@ -183,6 +219,17 @@ def stamped(items: DataFrame, catalog: Catalog, folder: str) -> DataFrame:
     return joined.select(*[replaced.get(c, F.col(c)) for c in items.columns])
 
 
+def stamped_pending(items: DataFrame, catalog: Catalog, folder: str) -> DataFrame:
+    """As stamped, for items that have no content hash yet: the others are not joined."""
+    pending = F.coalesce(F.col("content_hash"), F.lit("")) == ""
+    return items.filter(~pending).unionByName(stamped(items.filter(pending), catalog, folder))
+
+
+def selected_hashes(selection: DataFrame) -> DataFrame:
+    """Contents of selected items (ord, content_hash) that have been hashed, in order, repeats kept."""
+    return selection.filter(F.col("content_hash") != "").select("ord", "content_hash").orderBy("ord")
+
+
 def current_filter_query(min_rating: int, tag: str | None) -> Query | None:
     """What the grid's filter would save as a smart collection; None if it filters nothing."""
     if min_rating <= 0 and not tag:

@@ -12,14 +12,21 @@ from pyspark.sql import functions as F
 _written: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the session's shared checkpoint folder and read again: short lineage, no recomputation."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the cluster's setting, or one made for a local session."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='quillmark-')}"
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root}/quillmark/{uuid.uuid4().hex}-{name}"
+    return root
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the session's shared checkpoint folder and read again: short lineage, no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/quillmark/{uuid.uuid4().hex}-{name}"
     _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,23 +11,47 @@ from .components import written
 ROW_BITS = 33
 
 
-def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """df with its 1-based place in the order.
+#: ranked_top numbers at most so many rows in one task.
+TOP_ROWS = 10_000
 
-    Rows are dealt into sorted ranges and written once; a place is the row's place in its range plus
-    the sizes of the ranges before, of which there are as many as partitions.
-    """
-    laid = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+
+def _laid(df: DataFrame, *order: Column) -> DataFrame:
+    """df in sorted ranges, written once, with _at: number of the range and place in it."""
+    return written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+
+
+def _before(laid: DataFrame, amount: Column, first: int) -> Column:
+    """first plus the amounts of all ranges before a row's own; there are as many ranges as partitions."""
     part = F.shiftright("_at", ROW_BITS)
-    sizes = sorted((r["part"], r["n"]) for r in laid.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
-    starts, total = [], 1
+    sizes = sorted((r["part"], r["n"]) for r in laid.groupBy(part.alias("part")).agg(amount.alias("n")).collect())
+    starts, total = [], first
     for number, n in sizes:
         starts += [F.lit(number).cast("bigint"), F.lit(total).cast("bigint")]
-        total += n
-    start = F.element_at(F.create_map(*starts), part) if starts else F.lit(1)
+        total += n or 0
+    return F.element_at(F.create_map(*starts), part) if starts else F.lit(first)
+
+
+def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """df with its 1-based place in the order: the place in a sorted range plus the sizes of those before."""
+    laid = _laid(df, *order)
+    start = _before(laid, F.count(F.lit(1)), 1)
     return laid.withColumn(name, (start + F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))).cast("bigint")).drop("_at")
 
 
+def running_total(df: DataFrame, value: str, *order: Column, name: str = "total") -> DataFrame:
+    """df with the sum of a BIGINT column up to and with each row, in the order.
+
+    Each sorted range is summed in a task of its own; ranges are cut by rows, so no value of the order
+    gathers more rows in a task than a range holds. Rows equal in the whole order must not exist.
+    """
+    laid = _laid(df, *order)
+    start = _before(laid, F.sum(value), 0)
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return laid.withColumn("_part", F.shiftright("_at", ROW_BITS)).withColumn(name, (start + F.sum(value).over(inside)).cast("bigint")).drop("_at", "_part")
+
+
 def ranked_top(df: DataFrame, limit: int, *order: Column, name: str = "rank") -> DataFrame:
-    """The first rows of the order with their places: a bounded set, so one window will do."""
+    """The first rows of the order with their places; a bounded set needs one window only."""
+    if limit > TOP_ROWS:
+        return ranked(df, *order, name=name).filter(F.col(name) <= limit)
     return df.orderBy(*order).limit(limit).withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))

@@ -106,12 +106,12 @@ def _file_count(c):
 @register("files_by_hash", f"SELECT {_ROW}, missing FROM files WHERE content_hash = (SELECT min(content_hash) FROM collection_items WHERE collection_id = 2)")
 def _files_by_hash(c):
     first = c.collection_items.filter("collection_id = 2").agg(F.min("content_hash").alias("content_hash"))
-    return c.files.join(F.broadcast(first), "content_hash", "left_semi").select("id", "path", "content_hash", "size", "missing")
+    return query.files_by_hash(c, first).select("id", "path", "content_hash", "size", "missing")
 
 
 @register("missing_file_by_hash", "SELECT content_hash, min(path) AS path FROM files WHERE missing GROUP BY content_hash")
 def _missing_by_hash(c):
-    return c.files.filter("missing").groupBy("content_hash").agg(F.min("path").alias("path"))
+    return query.missing_file_by_hash(c, c.files.select("content_hash")).select("content_hash", "path")
 
 
 @register("paths_under", f"SELECT path FROM present WHERE {UNDER}")

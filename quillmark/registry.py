@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import edit_queries  # noqa: F401 - registers its queries
 from . import queries as _queries
 
 

@@ -98,6 +98,22 @@ def probe(data: bytes) -> dict | None:
     return None
 
 
+def with_contents(paths: DataFrame) -> DataFrame:
+    """path and content of files that the executors see; null content where a file cannot be read."""
+
+    def run(frames):
+        for frame in frames:
+            for path in frame["path"]:  # one file at a time is held
+                try:
+                    with open(path, "rb") as file:
+                        content = file.read()
+                except OSError:
+                    content = None
+                yield pd.DataFrame({"path": [path], "content": pd.Series([content], dtype=object)})
+
+    return paths.select("path").mapInPandas(run, "path string, content binary")
+
+
 def enriched(contents: DataFrame) -> DataFrame:
     """path and the decode-derived columns of rows (path, content).
 

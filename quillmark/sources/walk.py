@@ -13,6 +13,8 @@ from ..functions.columns import file_name, is_image_path
 from ..functions.hashing import hash_file
 
 SCANNED = "path string, size long, mtime long"
+#: The driver lists folders until it knows so many; the rest is listed by tasks.
+FOLDERS = 256
 
 
 def _entries(folder: str, recursive: bool) -> Iterator[os.DirEntry]:
@@ -31,11 +33,20 @@ def _entries(folder: str, recursive: bool) -> Iterator[os.DirEntry]:
         return
 
 
+def _folders(folder: str) -> list[str]:
+    try:
+        with os.scandir(folder) as found:
+            return sorted(e.path for e in found if e.is_dir(follow_symlinks=False))
+    except OSError:
+        return []
+
+
 def walk_images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """path, size and mtime of the image files below a folder that all executors see.
 
-    The driver lists only the first level; each sub-folder is walked by a task of its own. Hidden files
-    count, links do not; files from before 1970 are skipped.
+    The tree is taken apart level by level until there are FOLDERS folders, so that a single deep
+    root is many tasks too; each folder found is walked by a task. Hidden files count, links do not;
+    files from before 1970 are skipped.
     """
 
     def rows(folder: str, deep: bool) -> Iterator[tuple]:
@@ -48,11 +59,13 @@ def walk_images(spark: SparkSession, root: str, recursive: bool = True) -> DataF
                 yield entry.path, info.st_size, int(info.st_mtime)
 
     root = root.rstrip("/") or "/"
-    try:
-        folders = [e.path for e in os.scandir(root) if e.is_dir(follow_symlinks=False)] if recursive else []
-    except OSError:
-        folders = []
-    found = spark.createDataFrame(list(rows(root, False)), SCANNED)
+    folders, flat = [root], []
+    while recursive and folders and len(folders) < FOLDERS and len(flat) < FOLDERS:
+        flat += folders  # their own files only
+        folders = [below for folder in folders for below in _folders(folder)]
+    if not recursive:
+        folders, flat = [], [root]
+    found = spark.createDataFrame([r for folder in flat for r in rows(folder, False)], SCANNED)
     if folders:
         parts = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), 1000))
 

@@ -8,7 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import clamp_rating, is_image_path
 from ..operators import annotate
+from ..operators.query import paths_needing_enrichment
 from ..sources.catalog import Catalog, CommitConflict, Store
+from ..sources.images import enriched, with_contents
 
 #: seq orders operations; op: rate, comment, orient, tag, untag; value: null or '' clears.
 OPS = "seq long, op string, content_hash string, value string"
@@ -32,13 +34,35 @@ def apply_ops(catalog: Catalog, ops: DataFrame) -> Catalog:
     number = F.expr("try_cast(value AS BIGINT)")
     for op, table, column, value in (("rate", "ratings", "rating", F.when(number > 0, clamp_rating(number))), ("comment", "comments", "body", F.col("value")), ("orient", "orientations", "orientation", number)):
         catalog = annotate.apply_changes(catalog, table, ops.filter(F.col("op") == op).select("seq", "content_hash", value.alias(column), F.col("seq").alias("updated_at")))
-    tags = annotate.latest(ops.filter("op IN ('tag', 'untag')").withColumn("fold", annotate.ascii_fold(annotate.trimmed("value"))), ["content_hash", "fold"])
-    # Names of tags are a user's vocabulary: few, whatever the number of operations.
-    for row in tags.groupBy("fold").agg(F.min_by("value", "seq").alias("name")).orderBy("fold").collect():
-        mine = tags.filter(F.col("fold") == row["fold"])
-        catalog = annotate.apply_tag(catalog, row["name"], mine.filter("op = 'tag'"))
-        catalog = annotate.remove_tag(catalog, row["name"], mine.filter("op = 'untag'"))
-    return catalog
+    tags = ops.filter("op IN ('tag', 'untag')").select("seq", "content_hash", annotate.trimmed("value").alias("name"), (F.col("op") == "tag").alias("applied"))
+    return annotate.change_tags(catalog, tags)
+
+
+def accepted(folder: str, ops: DataFrame) -> int:
+    """Append operations to the folder that run_oplog reads; how many were taken.
+
+    Returning means that the operations are stored and will be applied once, not that they have been.
+    """
+    before = ops.count()
+    ops.write.mode("append").parquet(folder)
+    return before
+
+
+def run_enrichment(store: Store, size: int = 64) -> int:
+    """Decode files that wait for it, a batch and a snapshot at a time, until none is left.
+
+    Returns how many were done. What cannot be decoded is marked with 0 x 0 and does not come back.
+    """
+    done = 0
+    while True:
+        catalog = store.open()
+        queue = paths_needing_enrichment(catalog, size)
+        names = queue.select("path")
+        n = names.count()
+        if not n:
+            return done
+        store.commit(annotate.set_enrichment(catalog, enriched(with_contents(names))))
+        done += n
 
 
 def run_oplog(spark: SparkSession, source: str, store: Store, checkpoint: str) -> StreamingQuery:
