@@ -77,6 +77,15 @@ def rows_of(batches: Iterable[pa.RecordBatch], *columns: str, step: int = 512) -
             yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
 
 
+def internal(df: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with every column but those used under an internal name, and these names by the old ones.
+
+    Helper columns of an operator cannot clash with what the caller's table holds besides.
+    """
+    names = {c: c if c in used else f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 #: 64-bit words of the bitmap that marks keys: its size is fixed, whatever the input.
 BITMAP_WORDS = 1 << 18
 

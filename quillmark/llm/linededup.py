@@ -19,7 +19,8 @@ it, which costs a row for each place however large the group.
 Defined results: a null text stays null and has no line; blank lines are neither compared nor
 deleted; rows equal in doc_id and text are one document (both keep the same lines); rows that share
 a doc_id only are ordered by a hash of their text; a null doc_id comes first. Runs never cross
-documents, but may repeat inside one. Words are what white space (of ASCII) separates. Other columns pass through unchanged.
+documents, but may repeat inside one. Words are what white space (of ASCII) separates. Other columns pass through unchanged,
+whatever their names; those called n_lines or n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, marked, materialize
+from .common import documents, internal, marked, materialize
 from .winnow import bound
 
 K, W = 2, 2
@@ -105,8 +106,13 @@ def repeated_lines(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     return later.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """docs with their later repeated runs deleted from text; n_lines and n_removed are added."""
+def dedup_lines(docs: DataFrame, k: int = K, w: int = W, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with their later repeated runs deleted from text; n_lines and n_removed are added.
+
+    The added columns are named by ``counts``; columns of docs of these names are replaced.
+    """
+    columns = [c for c in docs.columns if c not in counts]
+    docs, names = internal(docs.select(*columns), "doc_id", "text")
     gone = materialize(repeated_lines(docs, k, w).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone")), "lines-gone")
     # Texts that lose nothing are not shuffled.
     seen = marked(docs.withColumn("_text_hash", F.xxhash64("text")), "_text_hash", gone.select(F.col("_hash").alias("_text_hash")))
@@ -121,8 +127,8 @@ def dedup_lines(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
 
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(bound(parts, without))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    out = joined.select(*[F.col(c) for c in docs.columns if c != "text"], text.alias("text"), n_lines.cast("bigint").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    told = joined.select(*[(text if n == "text" else F.col(n)).alias(n) for n in docs.columns], n_lines.cast("bigint").alias("_n"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("_r"))
+    return told.toDF(*names, *counts)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
