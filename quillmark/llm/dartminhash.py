@@ -35,11 +35,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.components import components
-from .common import SpanHasher, blocks, documents, map_arrow, marked, materialize, mix64, rows_of
+from .common import SpanHasher, blocks, documents, internal, map_arrow, marked, materialize, mix64, rows_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -51,6 +51,8 @@ DART_BYTES = 8192
 LOOSE_TEXTS = 48
 #: Any other bucket is compared in blocks of so many texts.
 BLOCK_TEXTS = 256
+#: Or, where these are long, of so many bytes (each code point counts as four).
+BLOCK_TEXT_BYTES = 8 << 20
 
 
 def grams(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +146,7 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-BAND_ROWS = "doc_id long, t1 long, t2 long, bands array<long>"
+BAND_ROWS = "doc_id long, t1 long, t2 long, bytes long, bands array<long>"
 
 
 def _band_batches(n: int):
@@ -161,7 +163,8 @@ def _band_batches(n: int):
             lists: list = [[]] * len(block)
             for i, keys in zip(have.tolist(), bands.tolist(), strict=True):
                 lists[i] = keys
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in block], pa.int64()) for i in range(3)), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "t1", "t2", "bands"])
+            sizes = [4 * len(r[3]) for r in block]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in block], pa.int64()) for i in range(3)), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "t1", "t2", "bytes", "bands"])
 
     return run
 
@@ -249,10 +252,13 @@ def near_classes(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY) ->
     nodes = each.groupBy("t1", "t2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twins")).alias("h"), F.sum("twins").alias("copies"))
     nodes = materialize(nodes.select("t1", "t2", F.col("h.doc_id").alias("head"), F.col("h.twins").alias("twins"), "copies", F.monotonically_increasing_id().alias("node")), "near-nodes")
     of_node = rows.join(nodes, ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("head")))
-    places = materialize(of_node.select("node", F.explode("bands").alias("band")).distinct(), "near-places")
+    places = materialize(of_node.select("node", "bytes", F.explode("bands").alias("band")).distinct(), "near-places")
 
-    first = F.min("node").over(Window.partitionBy("band"))
-    stars = materialize(places.select("node", first.alias("center")).filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
+    # A band's first text is a minimum with partial results, and only bands of several texts are met:
+    # the join is of two written tables, which adaptive execution splits where a band is hot.
+    centers = places.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("other")).filter("center != other").select("band", "center")
+    centers = materialize(centers, "near-centers")
+    stars = materialize(places.select("band", "node").join(centers, "band").filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """(node, text) of the wanted nodes: texts are read again rather than carried along."""
@@ -270,11 +276,11 @@ def near_classes(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY) ->
     roots = materialize(components(links), "near-roots")
 
     # Buckets that still hold several components, and their members.
-    labelled = places.join(wanted, "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    labelled = places.join(wanted, "node").join(roots, "node", "left").select("band", "node", "bytes", F.coalesce("root", "node").alias("root"))
     labelled = materialize(labelled, "near-labelled")
-    held = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("band")
-    mixed = held.agg(F.sum("held").alias("size"), F.max(F.struct("held", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
-    mixed = mixed.filter("roots > 1 and size > 2").select("band", "size", F.col("most.root").alias("main"), (F.col("size") - F.col("most.held")).alias("outside"))
+    held = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("held"), F.sum("bytes").alias("bytes")).groupBy("band")
+    mixed = held.agg(F.sum("held").alias("size"), F.sum("bytes").alias("all_bytes"), F.max(F.struct("held", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
+    mixed = mixed.filter("roots > 1 and size > 2").select("band", "size", "all_bytes", F.col("most.root").alias("main"), (F.col("size") - F.col("most.held")).alias("outside"))
     members = materialize(labelled.join(materialize(mixed, "near-mixed"), "band"), "near-members")
     small = members.filter(F.col("outside") <= LOOSE_TEXTS)
     loose = small.filter("root != main").select("band", F.col("node").alias("x"), F.col("root").alias("root_x"))
@@ -283,9 +289,10 @@ def near_classes(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY) ->
     # What is linked so far is known by its roots: only new links can need further rounds.
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(proved(pairs, texts))
 
-    # Larger buckets: blocks of texts, every pair of blocks a row, its texts fetched by node.
+    # Larger buckets: blocks of texts, every pair of blocks a row, its texts fetched by node. A block is
+    # bounded by texts and by bytes (but for a single longer text).
     large = members.filter(F.col("outside") > LOOSE_TEXTS)
-    parts = F.ceil(F.col("size") / BLOCK_TEXTS).cast("int")
+    parts = F.greatest(F.ceil(F.col("size") / BLOCK_TEXTS), F.ceil(F.col("all_bytes") / BLOCK_TEXT_BYTES)).cast("int")
     dealt = large.select("band", "node", "root", parts.alias("parts"), F.pmod(F.xxhash64("node", "band"), parts).cast("int").alias("part"))
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("low"), F.greatest(p, F.col("part")).alias("high")))
     spread = dealt.select("band", "node", "root", F.explode(meets).alias("m")).join(texts, "node")
@@ -310,6 +317,8 @@ def one_of_each(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY) -> D
     # The rows that go, and those that stand several times: the others are never shuffled.
     special = told.groupBy("doc_id", "t1", "t2").agg(F.max("first").alias("_first")).withColumnsRenamed({"doc_id": "_id", "t1": "_t1", "t2": "_t2"})
     special = materialize(special, "near-special")
+    columns = docs.columns
+    docs, _ = internal(docs, "doc_id", "text")
     keyed = docs.withColumn("_h1", F.xxhash64("text")).withColumn("_h2", F.xxhash64(F.lit(1), "text"))
     seen = marked(keyed, "_h1", special.select(F.col("_t1").alias("_h1")))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_t1")) & (F.col("_h2") == F.col("_t2"))
@@ -318,7 +327,7 @@ def one_of_each(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY) -> D
     if not special.filter("_first").isEmpty():
         once = other.join(special.filter("_first"), on, "left_semi").dropDuplicates(["doc_id", "_h1", "_h2"])
         out = out.unionByName(once.select(*docs.columns))
-    return out
+    return out.toDF(*columns)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
