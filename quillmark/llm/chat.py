@@ -1,4 +1,4 @@
-"""Multi-party chat formatting by perspective rotation.
+r"""Multi-party chat formatting by perspective rotation.
 
 A conversation is rendered once for every participant: that speaker's messages become the
 assistant's, everyone else's become a user's, with the speaker's name, and the mask marks exactly the
@@ -15,6 +15,11 @@ Places come from sorted ranges of all messages, however many one conversation or
 of a conversation meet its participants by a join, which adaptive execution splits for a hot
 conversation; nothing is gathered but the messages of one part. Only DataFrame functions are used.
 
+What a speaker writes cannot end a message or begin another: in texts and roles a backslash is put
+before the bar of every ``<|`` (and of ``<\|``, ``<\\|`` ...), so that ``<|`` stands in a rendering only
+where the format puts it; in roles, line ends are written ``\n`` and backslashes ``\\``. ``unescaped`` undoes it,
+and a rendering can be parsed back to its messages.
+
 Defined results: rows equal in all four columns are one message; a null text is empty; a null role is
 the participant `unknown`; messages without a turn come last, in segments of their own (-1); rows
 without conv_id form one conversation; a conversation of instructions only has no rendering. Other
@@ -23,6 +28,8 @@ columns are ignored. Mask offsets count code points of the row's text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +43,26 @@ SEGMENT = 64
 PART_ROWS = 256
 
 
+def escaped(text: Column) -> Column:
+    """text without the format's own marks: one more backslash before the bar that follows a ``<``."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+
+
+def escaped_role(role: Column) -> Column:
+    """A role as one line of its own."""
+    plain = F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    return escaped(plain)
+
+
+def unescaped(text: str) -> str:
+    """What a speaker wrote, from its rendering."""
+    return re.sub(r"<(\\*)\\\|", r"<\1|", text)
+
+
 def _piece(role: Column, speaker: Column) -> tuple[Column, Column]:
     """What stands before a message's text, and whether it is to be learned."""
     own = role == speaker
-    head = F.when(own, F.lit("<|assistant|>\n")).when(role.isin(*NON_SPEAKERS), F.concat(F.lit("<|"), role, F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user|> "), role, F.lit(":\n")))
+    head = F.when(own, F.lit("<|assistant|>\n")).when(role.isin(*NON_SPEAKERS), F.concat(F.lit("<|"), role, F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user|> "), escaped_role(role), F.lit(":\n")))
     return head, own
 
 
@@ -63,7 +86,8 @@ def perspectives(table: DataFrame) -> DataFrame:
     speakers = materialize(speakers, "speakers")
     seen = rows.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
     head, own = _piece(F.col("role"), F.col("perspective"))
-    item = F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text", head.alias("head"), own.alias("own"))
+    # Ordered by what was said, shown as escaped.
+    item = F.struct(F.col("turn").isNull().alias("late"), "turn", "role", F.col("text").alias("said"), head.alias("head"), own.alias("own"), escaped(F.col("text")).alias("text"))
     groups = seen.groupBy("conv_id", "perspective", "segment", "part").agg(F.sort_array(F.collect_list(item)).alias("items"))
     whole = lambda x: F.concat(x["head"], x["text"], F.lit(END + "\n"))
     size = lambda x: F.char_length(whole(x)).cast("bigint")
