@@ -43,8 +43,6 @@ BLOCK = 16
 FRAME = 1000
 #: Rows of the schedule that its task holds at once.
 SCHEDULE_ROWS = 20_000
-#: Sources are a listed set: their weights are parameters, kept on the driver.
-MAX_SOURCES = 100_000
 
 
 def shares(weights: dict, frame: int = FRAME) -> dict:
@@ -116,37 +114,40 @@ def framed_schedule(target: dict, blocks: dict, frame: int) -> Iterator[tuple]:
             yield s, k, k // slots[s] * len(order) + at[s][k % slots[s]]
 
 
-def _schedule(spark: SparkSession, target: dict, blocks: dict, frame: int | None) -> DataFrame:
-    """The schedule as a table, streamed by one task."""
-    shared = spark.sparkContext.broadcast((target, blocks))
+def _schedule(sizes: DataFrame, weights: dict | None, block: int, frame: int | None) -> DataFrame:
+    """The schedule as a table, streamed by one task from the table (source, n) of sources.
+
+    The task holds an entry for each source, of which none passes through the driver.
+    """
+    shared = sizes.sparkSession.sparkContext.broadcast(weights or {})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _ in batches:
-            found = exact_schedule(*shared.value) if frame is None else framed_schedule(*shared.value, frame)
-            while part := list(itertools.islice(found, SCHEDULE_ROWS)):
-                columns = list(zip(*part, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["_ps", "_pb", "_slot"])
+        n = {s: k for batch in batches for s, k in zip(batch.column("source").to_pylist(), batch.column("n").to_pylist(), strict=True)}
+        given = shared.value
+        mean = math.fsum(given.values()) / len(given) if given else 0.0
+        target = {s: given.get(s, mean) if given else math.sqrt(k) for s, k in n.items()}
+        blocks = {s: -(-k // block) for s, k in n.items()}
+        found = exact_schedule(target, blocks) if frame is None else framed_schedule(target, blocks, frame)
+        while n and (part := list(itertools.islice(found, SCHEDULE_ROWS))):
+            columns = list(zip(*part, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["_ps", "_pb", "_slot"])
+
+    return map_arrow(sizes.coalesce(1), run, "_ps string, _pb long, _slot long")
+
 
-    return map_arrow(spark.range(0, 1, 1, 1), run, "_ps string, _pb long, _slot long")
+PLACES = ("mix_slot", "mix_place")
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame: int | None = None, places: tuple[str, str] = PLACES) -> DataFrame:
     """docs with mix_slot and mix_place: the schedule's slot and the place inside its block.
 
-    Ordering by both gives the mixed sequence.
+    Ordering by both gives the mixed sequence. The added columns are named by ``places``.
     """
     spark = docs.sparkSession
-    sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    if weights:
-        mean = math.fsum(weights.values()) / len(weights)
-        target = {s: weights.get(s, mean) for s in sizes}
-    else:
-        target = {s: math.sqrt(n) for s, n in sizes.items()}
-    if not all(0 < w < math.inf for w in target.values()):
+    if not all(0 < w < math.inf for w in (weights or {}).values()):
         raise ValueError("weights must be positive")
-    schedule = materialize(_schedule(spark, target, {s: -(-n // block) for s, n in sizes.items()}, frame), "mix-schedule")
+    sizes = materialize(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "mix-sources")
+    schedule = materialize(_schedule(sizes, weights, block, frame), "mix-schedule")
 
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Internal names: no column of docs can clash, and those that the caller drops are never shuffled.
@@ -167,15 +168,16 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame:
     ranked = rows.withColumn("_nth", nth).join(slots, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     found = ranked.withColumn("_rank", F.col("_start") + F.col("_nth"))
     slot = F.element_at("_slots", (F.floor(F.col("_rank") / block) - F.col("_first") + 1).cast("int"))
-    others = [F.col(n).alias(c) for c, n in names.items() if c not in ("mix_slot", "mix_place")]
-    return found.select(*others, slot.cast("bigint").alias("mix_slot"), (F.col("_rank") % block).cast("bigint").alias("mix_place"))
+    others = {c: n for c, n in names.items() if c not in places}
+    return found.select(*others.values(), slot.cast("bigint").alias("_at"), (F.col("_rank") % block).cast("bigint").alias("_in")).toDF(*others, *places)
 
 
 def mixed_order(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
     """docs, with rows and files in the mixed order: ranges of slots, sorted inside."""
-    placed = mix(docs, weights, block)
-    columns = [c for c in docs.columns if c not in ("mix_slot", "mix_place")]
-    return placed.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*columns)
+    # Names that docs does not have: its own columns stay, whatever they are called.
+    longest = max(map(len, docs.columns))
+    places = ("_" * (longest + 1), "_" * (longest + 2))
+    return mix(docs, weights, block, places=places).repartitionByRange(*places).sortWithinPartitions(*places).select(*docs.columns)
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
