@@ -10,10 +10,11 @@ on text length.
 Gates and states use the rational sigmoid 1/2 + x / (2 + 2|x|) and x / (1 + |x|): both are bounded,
 monotone and smooth enough for training, and cost three vector operations.
 
-Training is backpropagation through time with Adam, in numpy on the driver, over a bounded sample:
-about SAMPLE_ROWS labelled documents for each language (chosen by a hash of doc_id) and at most
-SAMPLE_CHARS consecutive code points of each, from a place that the hash picks. It is deterministic.
-Only text and non-null lang of documents whose crc32(doc_id as text) mod 5 is not 0 are learned from.
+Training is backpropagation through time with Adam, in numpy on the driver, over a bounded sample: the
+whole texts of the SAMPLE_ROWS labelled documents of each language that a hash of doc_id and text puts
+first; batches are windows drawn from everywhere in them. It is deterministic: the sample is ordered,
+not what partitions happen to return. Only text and non-null lang of documents with a doc_id whose
+crc32(doc_id as text) mod 5 is not 0 are learned from.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or if there is nothing
 to learn from. Other columns are never read; repeated rows are labelled alike.
@@ -26,7 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, map_arrow, rows_of
@@ -34,8 +35,7 @@ from .common import documents, map_arrow, rows_of
 UNKNOWN = "und"
 WINDOW = 64
 HIDDEN = 8
-SAMPLE_ROWS = 300
-SAMPLE_CHARS = 1500
+SAMPLE_ROWS = 200
 STEPS, BATCH, RATE = 150, 96, 0.02
 #: Windows labelled at once.
 COLUMNS = 2048
@@ -192,22 +192,22 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, steps: int = STEPS) -> LanguageReader | None:
-    """A reader trained on a bounded sample of the labelled documents; None if there are none."""
-    usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, steps: int = STEPS) -> LanguageReader | None:
+    """A reader trained on ``rows`` labelled documents of each language; None if there are none."""
+    usable = docs.filter(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     langs = sorted(counts)
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30))
     share = F.lit(0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, rows / n) * (1 << 30))).otherwise(share)
-    spare = F.greatest(F.char_length("text") - chars, F.lit(0)) + 1
-    start = (F.pmod(F.xxhash64(F.lit("start"), "doc_id"), spare) + 1).cast("int")
-    sample = usable.filter(draw < share).select("lang", F.substring(F.col("text"), start, F.lit(chars)).alias("text"), draw.alias("draw"))
-    # About rows * languages are drawn; the limit holds the bound whatever the doc_ids are.
-    got = sorted(sample.limit(2 * rows * len(langs)).collect(), key=lambda r: (r["lang"], r["draw"], r["text"]))
+        # Twice as many as needed, so that the order decides which rows, and few are sorted.
+        share = F.when(F.col("lang") == lang, int(min(1.0, 2 * rows / n) * (1 << 30))).otherwise(share)
+    sample = usable.filter(draw < share).select("lang", draw.alias("draw"), "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    # Rank limits keep at most ``rows`` rows of a language and task before anything is shuffled.
+    got = sorted(sample.withColumn("place", place).filter(F.col("place") <= rows).collect(), key=lambda r: (r["lang"], r["place"]))
     datas = [r["text"].encode() for r in got]
     if not any(datas):
         return None
