@@ -10,22 +10,25 @@ minima need no second key. They are built by doubling (spans of 1, 2, 4 ... w gr
 text of n code points costs n * log2(w) comparisons.
 
 Defined results: a null text counts as empty; an empty text has no fingerprint; a text shorter
-than k is one gram; with fewer than w grams all of them form the one window. Texts may hold up to
-2**27 code points. Rows that share a doc_id are ordered by text, rows without one come last.
+than k is one gram; with fewer than w grams all of them form the one window. A text of 2**27 code
+points or more raises an error (its grams, eight bytes each, come near what one array of the JVM can
+hold). Rows that share a doc_id are ordered by text, rows without one come last.
 Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import documents
 
 K, W = 20, 16
+#: A doc_id with fewer rows is never cut by text; sampled texts for each part that others are cut into.
+HOT_ROWS, SAMPLED = 1000, 50
 POS_BITS = 27
 POS = (1 << POS_BITS) - 1
 
@@ -47,7 +50,8 @@ def grams(text: Column, k: int = K, first: Column | int = 0) -> Column:
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.shiftleft(F.shiftrightunsigned(gram(i), POS_BITS + 1), POS_BITS).bitwiseOR(place(i)))
 
     none = F.array().cast("array<bigint>")
-    return F.when(n == 0, none).otherwise(bound(F.encode(text, "UTF-32"), packed))
+    long = F.raise_error(F.lit("a text has 2**27 code points or more")).cast("array<bigint>")
+    return F.when(n == 0, none).when(n > POS, long).otherwise(bound(F.encode(text, "UTF-32"), packed))
 
 
 def minima(packed: Column, w: int = W) -> Column:
@@ -110,18 +114,45 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     return docs.select("doc_id", F.char_length(text).cast("bigint").alias("n_chars"), F.transform(selected(text, k, w), lambda p: F.struct(position(p).alias("pos"), hash_of(p).alias("hash"))).alias("fingerprint"))
 
 
+def _text_bounds(rows: DataFrame, hot: dict, share: int) -> dict:
+    """Texts that cut the rows of each hot doc_id into parts of about ``share``, from a bounded sample.
+
+    Only where rows are cut depends on the sample, as with Spark's own range partitioning.
+    """
+    if not hot:
+        return {}
+    parts = {i: -(-n // share) for i, n in hot.items()}
+    fraction = min(1.0, SAMPLED * sum(parts.values()) / sum(hot.values()))
+    mine = reduce(Column.__or__, [F.col("doc_id").eqNullSafe(F.lit(i).cast("bigint")) for i in hot])
+    seen: dict = {i: [] for i in hot}
+    for r in rows.filter(mine).select("doc_id", F.substring("text", 1, 256).alias("text")).sample(fraction, 1).collect():
+        seen[r["doc_id"]].append(r["text"])
+    bounds = {}
+    for i, texts in seen.items():
+        texts.sort(key=lambda t: t.encode())
+        bounds[i] = sorted({texts[len(texts) * p // parts[i]] for p in range(1, parts[i])} if texts else (), key=lambda t: t.encode())
+    return {i: b for i, b in bounds.items() if b}
+
+
 def with_next(docs: DataFrame, carry: dict[str, Column], per_partition: int = 4) -> DataFrame:
     """docs(doc_id, text) with ``own``: the carried columns, and ``next``: those of the row that
     follows in descending doc_id (after the last: the first).
 
     Documents are dealt into ranges of doc_id whose bounds are approximate quantiles, and ordered
-    inside each range. A range's last row finds its successor as a copied guest row: the head of
-    the range below. Text is shuffled once, and no window spans the whole table.
+    inside each range; an id that many rows share is cut by text as well. A range's last row finds its
+    successor as a copied guest row: the head of the range below. Text is shuffled once, and no window
+    spans the whole table or all rows of one id.
     """
     spark = docs.sparkSession
     ranges = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("bigint"), [i / ranges for i in range(1, ranges)], F.lit(10 * ranges)).alias("cuts")).first()["cuts"]
-    cuts = sorted(set(cuts or []))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    told = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], F.lit(10 * ranges)).alias("cuts"), F.count(F.lit(1)).alias("n")).first()
+    # A doc_id (or its absence) with more rows than a range should have is cut by text as well.
+    share = max(HOT_ROWS, told["n"] // ranges)
+    # Such an id is a quantile, so that only these few are counted.
+    listed = rows.filter(F.col("doc_id").isNull() | F.col("doc_id").isin(sorted(set(told["cuts"] or []))))
+    hot = {r["doc_id"]: r["n"] for r in listed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > share).collect()}
+    cuts = sorted({*(told["cuts"] or []), *(x for i in hot if i is not None for x in (i - 1, i))})
     wide = max(1, math.isqrt(len(cuts)))
     groups = [cuts[i : i + wide] for i in range(0, len(cuts), wide)] or [[0]]
     heads_of = F.array(*[F.lit(g[0]).cast("bigint") for g in groups])
@@ -130,13 +161,18 @@ def with_next(docs: DataFrame, carry: dict[str, Column], per_partition: int = 4)
     # Two short searches instead of one over all bounds.
     coarse = F.size(F.filter(heads_of, below))
     place = F.when(coarse == 0, 0).otherwise((coarse - 1) * wide + F.size(F.filter(F.element_at(inner, F.greatest(coarse, F.lit(1))), below)))
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("doc_id").isNull(), -1).otherwise(place).cast("int").alias("range"))
+    place = F.when(F.col("doc_id").isNull(), -1).otherwise(place).cast("int") * (2 * ranges)
+    for doc_id, bounds in _text_bounds(rows, hot, share).items():
+        mine = F.col("doc_id").eqNullSafe(F.lit(doc_id).cast("bigint"))
+        place = place + F.when(mine, F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("text")))).otherwise(0)
+    dealt = rows.withColumn("range", place)
 
     # At most one head for each range: bounded by the number of ranges.
     heads = sorted((r["range"], r["head"]) for r in dealt.groupBy("range").agg(F.max("doc_id").alias("head")).collect())[::-1]
-    guests = [(heads[(i + 1) % len(heads)][1], r) for i, (r, _) in enumerate(heads)]
-    schema = T.StructType([T.StructField("head", T.LongType()), T.StructField("to", T.IntegerType())])
-    guest = dealt.join(F.broadcast(spark.createDataFrame(guests, schema)), F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("to").alias("range"), F.lit(True).alias("guest"))
+    guests = [(head, r, heads[i - 1][0]) for i, (r, head) in enumerate(heads)]
+    at_head = F.broadcast(spark.createDataFrame(guests, "head long, from int, to int"))
+    found = dealt.join(at_head, (F.col("range") == F.col("from")) & F.col("doc_id").eqNullSafe(F.col("head")))
+    guest = found.groupBy("head", "to").agg(F.max("text").alias("text")).select(F.col("head").alias("doc_id"), "text", F.col("to").alias("range"), F.lit(True).alias("guest"))
 
     packed = F.struct(*[c.alias(n) for n, c in carry.items()])
     together = dealt.withColumn("guest", F.lit(False)).unionByName(guest).repartition("range").select("doc_id", "text", "range", "guest", packed.alias("own"))
