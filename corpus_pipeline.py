@@ -21,9 +21,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of lines go; so do documents of which nothing else is left."""
-    found = linededup.dedup_lines(docs)
-    left = found.filter((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
-    return left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text"))).select(*docs.columns)
+    # Names that the table does not have: its own columns stay, whatever they are called.
+    n_lines, n_removed = (f"{'_' * (1 + max(map(len, docs.columns)))}{n}" for n in ("lines", "removed"))
+    found = linededup.dedup_lines(docs, counts=(n_lines, n_removed))
+    left = found.filter((F.col(n_removed) == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
+    return left.withColumn("n_chars", F.when(F.col(n_removed) == 0, F.col("n_chars")).otherwise(F.char_length("text"))).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
