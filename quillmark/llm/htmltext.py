@@ -2,8 +2,8 @@
 
 A page is parsed into a tree of elements (unclosed paragraphs, list items and cells end where the
 next begins; stray end tags are ignored; what is cut off ends at the page's end). Each element has
-characters C, tags T, characters in links LC and link tags LT, over its subtree. Its composite text
-density is
+characters C, tags T, characters in links LC and link tags LT, over its subtree; the text of an element
+whose role is told by name counts as in links. Its composite text density is
 
     C/T * log(C/LC * T/LT) / log(log(C/NC * LC + LCb/Cb * C + e))
 
@@ -11,18 +11,20 @@ with NC the characters outside links and LCb, Cb those of the body (zeros count
 score near zero, running text by its characters for each tag. The *density sum* of an element is the
 sum over its children; the maximum-sum element is the core of the main text. The threshold is the
 lowest density on the path from the body to it: going down from the body, every element that reaches
-it contributes the maximum-sum element of its subtree. The smallest element that holds all of these
-(or the article or main element around them) is the main text; whatever lies in it is kept, however
-short and however many links it has, but for elements whose role is told by name: navigation, headers
-of the page, footers, sidebars, notices, adverts, forms, scripts, styles and comment sections. A class
-or role tells it by a whole token that is made of ROLES and words for boxes alone ("top-menu", but not
-"side-effects"), an id likewise, and only that of a container: headings and sections have anchors.
+it contributes the maximum-sum element of its subtree. The smallest element that holds all of these is
+the main text. Names only break ties: of the elements on the path, which all reach the threshold, an
+article or main element that adds no more text than was found, or one that adds little but the title,
+stands for it. Whatever lies in the main text is kept, however short and however many links it has, but
+for elements whose role is told by name: navigation, headers of the page, footers, sidebars, notices,
+adverts, forms, scripts, styles and comment sections. A class or role tells it by a whole token that is
+made of ROLES and words for boxes alone ("top-menu", but not "side-effects"), an id likewise, and only
+that of a container: headings and sections have anchors.
 
 Inside the main text, character references are decoded, white space becomes one space, and blocks are
 joined by line ends in page order.
 
-Defined results: null or empty html, or a page without main text, has an empty text. Rows are
-independent, whatever their order or repetition; other columns than page_id, url and html are
+Defined results: null or empty html, or a page without main text, has an empty text; a page in which
+nothing has a positive density (links alone) has no main text. Rows are independent, whatever their order or repetition; other columns than page_id, url and html are
 ignored.
 """
 
@@ -66,6 +68,8 @@ ROLES = frozenset(
 BOXES = frozenset("area bar block body bottom box button buttons container content group header holder inner item items left link links list main outer page panel primary right row secondary section site top wrap wrapper".split())
 #: Elements whose id may tell a role.
 CONTAINERS = frozenset("div ul ol dl table tbody tr td".split())
+#: Characters by which a larger element may exceed what density has found.
+TIE = 100
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -73,13 +77,13 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "role", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "kids", "titles")
+    __slots__ = ("tag", "role", "children", "parent", "chars", "tags", "link_chars", "link_tags", "noise", "density", "total", "best", "kids", "titles")
 
     def __init__(self, tag: str, role: bool, parent: Node | None):
         self.tag, self.role, self.parent = tag, role, parent
         self.children: list = []  # of Node and str
-        self.kids: list[Node] = []  # children that may hold main text
-        self.chars = self.tags = self.link_chars = self.link_tags = self.titles = 0
+        self.kids: list[Node] = []  # children that show text
+        self.chars = self.tags = self.link_chars = self.link_tags = self.noise = self.titles = 0
         self.density = self.total = 0.0
         self.best: Node = self
 
@@ -162,7 +166,7 @@ def parse(page: str) -> Node:
 
 
 def _nodes(root: Node) -> list[Node]:
-    """Elements that may hold main text, parents before children."""
+    """Elements that show text, parents before children."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -192,24 +196,39 @@ def measure(nodes: list[Node]) -> None:
             node.tags += c.tags + 1
             node.link_chars += c.link_chars
             node.link_tags += c.link_tags + (c.tag == "a")
+            node.noise += c.noise
             node.titles += c.titles + (c.tag == "h1")
-        if node.tag == "a":
+        if _dropped(node):
+            node.noise = node.link_chars = node.chars
+            node.link_tags = max(1, node.tags)
+        elif node.tag == "a":
             node.link_chars = node.chars
     body = nodes[0]
     share = body.link_chars / max(1, body.chars)
     for node in reversed(nodes):
-        c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, max(1, node.link_tags)
-        if c:
-            base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-            node.density = c / t * max(0.0, math.log(max(1.0, c / max(1, lc) * t / lt) + (lc == 0) * (math.e - 1)) / base)
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
         node.total = sum(k.density for k in node.kids)
         node.best = max([node, *(k.best for k in node.kids)], key=lambda n: n.total)
-        if not node.total and node.density:
+        if not node.best.total and node.density:
             node.best = node
 
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite text density; share: the part of the body's characters that is in links."""
+    if not chars:
+        return 0.0
+    tags, link_tags = max(1, tags), max(1, link_tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
+    odds = max(1.0, chars / max(1, link_chars) * tags / link_tags) + (link_chars == 0) * (math.e - 1)
+    return chars / tags * max(0.0, math.log(odds) / base)
+
+
 def _seen(node: Node) -> list[Node]:
-    return [c for c in node.children if isinstance(c, Node) and not _dropped(c)]
+    return [c for c in node.children if isinstance(c, Node) and c.tag not in RAW and c.tag != "head"]
+
+
+def _plain(node: Node) -> int:
+    return node.chars - node.noise
 
 
 def _path(node: Node) -> list[Node]:
@@ -239,11 +258,11 @@ def main_element(root: Node) -> Node | None:
             body = c
     nodes = _nodes(body)
     measure(nodes)
-    if not body.chars:
-        return None
     core = body.best
     way = _path(core)
     threshold = min(n.density for n in way[way.index(body) :])
+    if not core.density and not core.total:
+        return None
     found, stack = {id(core): core}, [body]
     while stack:
         node = stack.pop()
@@ -255,7 +274,7 @@ def main_element(root: Node) -> Node | None:
     for n in found.values():
         whole = _around(whole, n)
     for n in reversed(_path(core)):
-        if n.tag in ("article", "main") and (n.tag == "main" or n.chars * 2 >= whole.chars):
+        if n.tag in ("article", "main") and (n.tag == "main" or _plain(n) * 2 >= _plain(whole)) and _plain(n) <= 2 * max(_plain(m) for m in found.values()) + TIE:
             return n
     # A text run or an inline element stands for the block around it.
     while whole is not body and whole.tag not in BLOCKS or whole.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li"):
@@ -269,7 +288,7 @@ def _with_title(element: Node, body: Node) -> Node:
     """The element, or the one around it that adds little but the title (h1)."""
     if not element.titles and element.tag != "h1":
         up = element
-        while up is not body and up.parent.chars <= 1.25 * element.chars + 100:
+        while up is not body and _plain(up.parent) <= 1.25 * _plain(element) + TIE:
             up = up.parent
             if up.titles:
                 return up
