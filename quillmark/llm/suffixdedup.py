@@ -1,31 +1,35 @@
-"""Removal of byte strings that occur more than once, by blockwise suffix buckets.
+"""Removal of byte strings that occur more than once, by blockwise sorted suffix buckets.
 
 Every suffix that starts a string of LENGTH bytes inside its document is put in a bucket: the
 smallest hash among the K-byte grams of that string (rightmost where hashes tie) is its anchor, and
-the bucket is (anchor hash, distance o from the start to the anchor). Equal strings have equal
-anchors at equal distances, so only suffixes of one bucket can tie over LENGTH bytes.
-
-The suffixes of one anchor start at a contiguous range of distances. They are not sorted one by one:
-
-* An anchor whose hash is unique has no tie. An anchor whose whole *context* (the bytes that its
-  suffixes cover) occurs again has nothing but ties. Both are settled by counting.
-* For the rest, the cover sample: every BLOCK distances, counted from the anchor. All suffixes of a
-  bucket stand at the same distance, so this sample meets each of them within BLOCK bytes, as a
-  difference cover does for suffixes whose places are unrelated. Two names are precomputed for each
-  sampled block: of the bytes common to its strings (``core``) and of all their bytes (``full``). A
-  core that is unique breaks every tie of its block; one that always has the same full name proves
-  them all.
-* Only blocks that the sample leaves open are resolved suffix by suffix: a row for each distance,
-  counted within its bucket. These are the ends of repeated passages, two for each.
-
-Ranks are 64-bit hashes, compared only within an anchor's own 64-bit hash, rather than places in a
-sorted list: equality over LENGTH bytes is all that removal asks for, and counting spreads over
-tasks (with partial counts) however many suffixes share a bucket, where sorting a hot bucket would
-not. Memory is bounded by one context, at most 2 * LENGTH bytes, for each row.
+the bucket is the anchor's hash. Equal strings have equal anchors at equal distances, so only suffixes
+of one bucket, at one distance from their anchors, can tie over LENGTH bytes.
+
+The suffixes of one anchor start at a contiguous range of distances; the bytes that they cover are the
+anchor's *context*, at most 2 * LENGTH bytes.
+
+1. Nothing is sorted that needs no place in an order: an anchor whose hash is unique has no tie, and one
+   whose whole context occurs again has nothing but ties. Both are settled by counting.
+2. The others are sorted bucket by bucket. A task takes whole buckets until it holds a block of some
+   megabytes, and sorts their suffixes: by bucket, distance and first bytes, and longer ties by the
+   ranks of a difference cover's samples, which are made once for the block (``covers``). Neighbours in
+   this order that are equal over LENGTH bytes are what is looked for. Memory is a few words for each
+   byte of the block, however long the ties.
+3. A bucket of more than BUCKET contexts (a passage of which very many documents hold the edge) is not
+   given to one task. Its suffixes are cut into blocks of BLOCK distances; each block of a context has
+   two names, of the bytes common to its strings (``core``) and of all their bytes (``full``). A core
+   that is unique breaks every tie of its block; one that always has the same full name proves them
+   all; blocks that stay open are named suffix by suffix. Names are counted with partial results, so a
+   bucket may hold a third of all documents.
+
+Contexts and large buckets' strings are told apart by 64-bit names, contexts by BLAKE2; what is sorted
+is compared byte by byte. Rows of a key that very many rows share are joined by broadcast: such keys are
+at most HOT_KEYS, whatever the table.
 
 Defined results: a null text counts as empty; matches never cross documents; a document of fewer
 than LENGTH bytes keeps all; rows equal in doc_id and text are two places of the same string. Other
-columns are ignored. All operations are linear in the places of repeated strings; no pairs are made.
+columns are ignored. All operations are linear in the places of repeated strings (sorting adds a
+logarithm of a block's size); no pairs are made.
 """
 
 from __future__ import annotations
@@ -39,13 +43,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SpanHasher, blocks, documents, map_arrow, materialize, mix64, rows_of
+from .covers import tied
 
 LENGTH = 400
 K = 32
 BLOCK = 16
 PLACE = (1 << 32) - 1
-#: Parts of each context's join with its places.
-SALTS = 8
+#: Contexts of a bucket that one task sorts, and bytes of buckets that it sorts at once.
+BUCKET, SORTED_BYTES = 4096, 2 << 20
+#: A key of more rows than HOT_ROWS and a HOT_KEYS-th of the table is met by broadcast.
+HOT_ROWS, HOT_KEYS = 1000, 50_000
 #: Words of the fixed-size bitmap that tells which documents have something to remove.
 BITMAP_WORDS = 1 << 18
 
@@ -90,8 +97,9 @@ def anchors_of(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(begin)) - 1
     lo, hi, anchor, number = begin[first], begin[last], anchor[first], number[first]
-    context = mix64(hasher.spans(lo, hi + length), 1)
-    return number, anchor - starts[number], prints[anchor], anchor - hi, anchor - lo, context
+    whole = data.tobytes()
+    names = b"".join(hashlib.blake2b(whole[x:y], digest_size=8).digest() for x, y in zip(lo.tolist(), (hi + length).tolist(), strict=True))
+    return number, anchor - starts[number], prints[anchor], anchor - hi, anchor - lo, np.frombuffer(names, np.uint64)
 
 
 def _anchor_batches(length: int, k: int):
@@ -106,22 +114,26 @@ def _anchor_batches(length: int, k: int):
     return run
 
 
-EDGES = "cid long, print long, n long, doc_id long, tid long, anchor long, omin int, omax int, first_block int, cores array<long>, fulls array<long>, bytes binary"
+EDGES = "cid long, print long, n long, large boolean, doc_id long, tid long, anchor long, omin int, omax int, first_block int, cores array<long>, fulls array<long>, bytes binary"
 
 
 def _edge_batches(length: int):
-    """Contexts with their bytes and the names of their cover sample."""
-    names = ["cid", "print", "n", "doc_id", "tid", "anchor", "omin", "omax", "first_block", "cores", "fulls", "bytes"]
-    kinds = [pa.int64()] * 6 + [pa.int32()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
+    """Contexts with their bytes and, in large buckets, the names of their blocks."""
+    names = ["cid", "print", "n", "large", "doc_id", "tid", "anchor", "omin", "omax", "first_block", "cores", "fulls", "bytes"]
+    kinds = [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(rows_of(batches, "doc_id", "tid", "text", "edges", step=64), lambda r: len(r[2]) + 1600 * len(r[3])):
             out = [[] for _ in names]
             for doc_id, tid, text, edges in block:
                 data = text.encode()
-                hasher = SpanHasher(np.frombuffer(data, np.uint8))
+                hasher = SpanHasher(np.frombuffer(data, np.uint8)) if any(e["large"] for e in edges) else None
                 for e in edges:
                     a, omin, omax = e["anchor"], e["omin"], e["omax"]
+                    if not e["large"]:
+                        for column, value in zip(out, (e["cid"], e["print"], e["n"], False, doc_id, tid, a, omin, omax, 0, [], [], data[a - omax : a - omin + length]), strict=True):
+                            column.append(value)
+                        continue
                     first, last = omin // BLOCK, omax // BLOCK
                     low = np.arange(first, last + 1, dtype=np.int64) * BLOCK
                     high = low + BLOCK - 1
@@ -131,7 +143,7 @@ def _edge_batches(length: int):
                     full = np.zeros(len(low), np.uint64)
                     full[whole] = mix64(hasher.spans(a - high[whole], a - low[whole] + length), 2)
                     fulls = [int(x) if w else None for x, w in zip(_signed(full), whole, strict=True)]
-                    for column, value in zip(out, (e["cid"], e["print"], e["n"], doc_id, tid, a, omin, omax, first, _signed(mix64(core, 3)).tolist(), fulls, data[a - omax : a - omin + length]), strict=True):
+                    for column, value in zip(out, (e["cid"], e["print"], e["n"], True, doc_id, tid, a, omin, omax, first, _signed(mix64(core, 3)).tolist(), fulls, data[a - omax : a - omin + length]), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
@@ -163,45 +175,108 @@ def _suffix_batches(length: int):
     return run
 
 
+STARTS = "doc_id long, tid long, first long, last long"
+
+
+def _bucket_batches(length: int):
+    """Ranges of starts that tie, from rows sorted by bucket: whole buckets, a block of them at a time."""
+
+    def sorted_block(rows: list[tuple]) -> pa.RecordBatch:
+        cid, prints, n, doc_id, tid, anchor, low, high = (np.array([-1 if r[i] is None else r[i] for r in rows], np.int64) for i in range(8))
+        _, bucket = np.unique(prints, return_inverse=True)
+        number, distance = tied([r[8] for r in rows], low, high, bucket, length)
+        mine = n[number] == 1  # other contexts are removed as a whole
+        number, distance = number[mine], distance[mine]
+        order = np.lexsort([distance, number])
+        number, distance = number[order], distance[order]
+        new = np.ones(len(number), bool)
+        new[1:] = (number[1:] != number[:-1]) | (distance[1:] != distance[:-1] + 1)
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(number))[: len(head)] - 1
+        of = number[head]
+        ids = pa.array([rows[i][3] for i in of.tolist()], pa.int64())
+        return pa.RecordBatch.from_arrays([ids, pa.array(tid[of]), pa.array(anchor[of] - distance[tail]), pa.array(anchor[of] - distance[head])], names=["doc_id", "tid", "first", "last"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, seen = 0, None
+        for row in rows_of(batches, "cid", "print", "n", "doc_id", "tid", "anchor", "omin", "omax", "bytes"):
+            if row[0] == seen:
+                continue  # the document stands twice
+            if held and row[1] != held[-1][1] and size >= SORTED_BYTES:
+                yield sorted_block(held)
+                held, size = [], 0
+            held.append(row)
+            size += len(row[8])
+            seen = row[0]
+        if held:
+            yield sorted_block(held)
+
+    return run
+
+
+def met(rows: DataFrame, table: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """rows joined with table, which has each key once and says how many rows have it.
+
+    Rows of a hot key are joined where they are. rows and table are written tables.
+    """
+    limit = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot = table.filter(F.col(times) > limit)
+    if hot.isEmpty():
+        return rows.join(table, keys)
+    told = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    cold = told.filter("_hot IS NULL").drop("_hot").join(table.filter(F.col(times) <= limit), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys).select(*cold.columns))
+
+
 def repeated_starts(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """(doc_id, tid, first, last): ranges of starts whose string of this length occurs elsewhere.
 
     docs: doc_id, tid (a hash of the text), text.
     """
     found = materialize(map_arrow(docs, _anchor_batches(length, k), ANCHORS), "anchors")
-    shared = materialize(found.groupBy("print").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("print"), "anchor-prints")
-    found = materialize(found.join(shared, "print"), "anchors-shared")
+    shared = materialize(found.groupBy("print").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "anchor-prints")
+    found = materialize(met(found, shared, ["print"], "times").drop("times"), "anchors-shared")
 
     key = ["print", "omin", "omax", "context"]
     one = [F.first(c).alias(c) for c in ("doc_id", "tid", "anchor")]
     contexts = materialize(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *one).withColumn("cid", F.monotonically_increasing_id()), "contexts")
-    # Many documents may share one context: its places are dealt over SALTS parts of the join.
-    again = contexts.filter("n > 1").select(*key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    again = materialize(again, "contexts-again")
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tid", "anchor"), F.lit(SALTS)).cast("int"))
-    copied = salted.join(again, [*key, "salt"]).select("doc_id", "tid", (F.col("anchor") - F.col("omax")).alias("first"), (F.col("anchor") - F.col("omin")).alias("last"))
-
-    # Contexts that differ around the same anchor hash: the cover sample decides, block by block.
-    varied = materialize(contexts.groupBy("print").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("print"), "varied")
-    edges = contexts.join(varied, "print").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("cid", "print", "n", "anchor", "omin", "omax")).alias("edges"))
+    again = materialize(contexts.filter("n > 1").select(*key, "n"), "contexts-again")
+    copied = met(found, again, key, "n").select("doc_id", "tid", (F.col("anchor") - F.col("omax")).alias("first"), (F.col("anchor") - F.col("omin")).alias("last"))
+
+    # Contexts that differ around the same anchor hash have to be sorted.
+    varied = materialize(contexts.groupBy("print").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "varied")
+    edges = met(contexts, varied, ["print"], "times").withColumn("large", F.col("times") > BUCKET)
+    edges = edges.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("cid", "print", "n", "large", "anchor", "omin", "omax")).alias("edges"))
     held = docs.filter(F.octet_length("text") >= length).join(_renamed(edges), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("tid") == F.col("_tid")))
     edges = materialize(map_arrow(held.select("doc_id", "tid", "text", "edges"), _edge_batches(length), EDGES), "edges")
 
-    sample = edges.select("cid", "print", "n", "doc_id", "tid", "anchor", "omin", "omax", "first_block", F.posexplode(F.arrays_zip("cores", "fulls")).alias("at", "name")).select("cid", "print", "n", "doc_id", "tid", "anchor", "omin", "omax", (F.col("first_block") + F.col("at")).alias("block"), F.col("name.cores").alias("core"), F.col("name.fulls").alias("full"))
+    buckets = edges.filter("not large").select("cid", "print", "n", "doc_id", "tid", "anchor", "omin", "omax", "bytes")
+    resolved = map_arrow(buckets.repartition("print").sortWithinPartitions("print", "cid"), _bucket_batches(length), STARTS)
+    found = copied.unionByName(resolved)
+    large = edges.filter("large")
+    return found if large.isEmpty() else found.unionByName(_large_buckets(large, contexts, length))
+
+
+def _large_buckets(edges: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
+    """As repeated_starts, for the contexts of large buckets: names of blocks, then of open suffixes, are counted."""
+    cells = F.posexplode(F.arrays_zip("cores", "fulls")).alias("at", "name")
+    sample = edges.select("cid", "print", "n", "doc_id", "tid", "anchor", "first_block", cells).select("cid", "print", "n", "doc_id", "tid", "anchor", (F.col("first_block") + F.col("at")).alias("block"), F.col("name.cores").alias("core"), F.col("name.fulls").alias("full"))
+    sample = materialize(sample, "cover-sample")
     # A row of documents that stands twice has its contexts twice: different contexts are what counts.
     differ = [F.min("cid").alias("one"), F.max("cid").alias("other")]
     counted = sample.groupBy("print", "block", "core").agg(*differ, F.count(F.lit(1)).alias("times"), F.count("full").alias("known"), F.min("full").alias("least"), F.max("full").alias("most"))
-    ties = materialize(counted.filter("one != other").select("print", "block", "core", ((F.col("times") == F.col("known")) & (F.col("least") == F.col("most"))).alias("proved")), "cover-ties")
-    tied = materialize(sample.join(ties, ["print", "block", "core"]).select("cid", "n", "doc_id", "tid", "anchor", "block", "proved"), "cover-tied")
+    ties = materialize(counted.filter("one != other").select("print", "block", "core", "times", ((F.col("times") == F.col("known")) & (F.col("least") == F.col("most"))).alias("proved")), "cover-ties")
+    tied_blocks = materialize(met(sample, ties, ["print", "block", "core"], "times").select("cid", "n", "doc_id", "tid", "anchor", "block", "proved"), "cover-tied")
     low = F.col("block") * BLOCK
-    proved = tied.filter("proved and n = 1").select("doc_id", "tid", (F.col("anchor") - low - BLOCK + 1).alias("first"), (F.col("anchor") - low).alias("last"))
+    proved = tied_blocks.filter("proved and n = 1").select("doc_id", "tid", (F.col("anchor") - low - BLOCK + 1).alias("first"), (F.col("anchor") - low).alias("last"))
 
-    opened = tied.filter("not proved").groupBy("cid").agg(F.collect_set("block").alias("open"))
+    opened = tied_blocks.filter("not proved").groupBy("cid").agg(F.collect_set("block").alias("open"))
     suffixes = materialize(map_arrow(edges.join(opened, "cid").select("cid", "print", "n", "omin", "omax", "bytes", "open"), _suffix_batches(length), SUFFIXES), "suffixes")
-    equal = materialize(suffixes.groupBy("print", "o", "name").agg(*differ).filter("one != other").select("print", "o", "name"), "suffix-ties")
-    resolved = suffixes.filter("n = 1").join(equal, ["print", "o", "name"]).groupBy("cid").agg(F.collect_set("o").alias("os"))
+    equal = materialize(suffixes.groupBy("print", "o", "name").agg(*differ, F.count(F.lit(1)).alias("times")).filter("one != other").select("print", "o", "name", "times"), "suffix-ties")
+    resolved = met(suffixes, equal, ["print", "o", "name"], "times").filter("n = 1").groupBy("cid").agg(F.collect_set("o").alias("os"))
     resolved = contexts.join(resolved, "cid").select("doc_id", "tid", F.explode("os").alias("o"), "anchor").select("doc_id", "tid", (F.col("anchor") - F.col("o")).alias("first"), (F.col("anchor") - F.col("o")).alias("last"))
-    return copied.unionByName(proved).unionByName(resolved)
+    return proved.unionByName(resolved)
 
 
 def _renamed(df: DataFrame) -> DataFrame:
