@@ -252,7 +252,8 @@ def near_classes(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY) ->
     nodes = each.groupBy("t1", "t2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twins")).alias("h"), F.sum("twins").alias("copies"))
     nodes = materialize(nodes.select("t1", "t2", F.col("h.doc_id").alias("head"), F.col("h.twins").alias("twins"), "copies", F.monotonically_increasing_id().alias("node")), "near-nodes")
     of_node = rows.join(nodes, ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("head")))
-    places = materialize(of_node.select("node", "bytes", F.explode("bands").alias("band")).distinct(), "near-places")
+    banded = materialize(of_node.select("node", "bytes", "bands").distinct(), "near-places")
+    places = banded.select("node", "bytes", F.explode("bands").alias("band"))
 
     # A band's first text is a minimum with partial results, and only bands of several texts are met:
     # the join is of two written tables, which adaptive execution splits where a band is hot.
@@ -283,8 +284,12 @@ def near_classes(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY) ->
     mixed = mixed.filter("roots > 1 and size > 2").select("band", "size", "all_bytes", F.col("most.root").alias("main"), (F.col("size") - F.col("most.held")).alias("outside"))
     members = materialize(labelled.join(materialize(mixed, "near-mixed"), "band"), "near-members")
     small = members.filter(F.col("outside") <= LOOSE_TEXTS)
-    loose = small.filter("root != main").select("band", F.col("node").alias("x"), F.col("root").alias("root_x"))
-    pairs = loose.join(small.select("band", "node", "root"), "band").filter("root != root_x").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    # A pair is made once: in the first band that both texts have, and from one side.
+    small = materialize(small.join(banded.select("node", "bands"), "node").select("band", "node", "root", "main", "bands"), "near-small")
+    loose = small.filter("root != main").select(F.col("band").alias("_band"), F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("bands").alias("bands_x"))
+    once = (F.element_at(F.array_intersect("bands_x", "bands"), 1) == F.col("band")) & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("node")))
+    pairs = loose.join(small, (F.col("_band") == F.col("band")) & (F.col("root") != F.col("root_x")) & once)
+    pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
     pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "near-pairs")
     # What is linked so far is known by its roots: only new links can need further rounds.
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(proved(pairs, texts))
