@@ -339,5 +339,29 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_copies", "first")
 
 
+#: Every pair of texts that share a gram, compared exactly; doc_ids are taken as unique.
+OP2_SQL = r"""
+WITH RECURSIVE
+texts AS (SELECT text, min(doc_id) AS id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text),
+worded AS (SELECT id, list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '') AS w FROM texts),
+grams AS (
+  SELECT id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS gram
+  FROM worded WHERE len(w) > 0),
+weighted AS (SELECT id, gram, count(*) AS c FROM grams GROUP BY id, gram),
+totals AS (SELECT id, sum(c) AS n FROM weighted GROUP BY id),
+shared AS (
+  SELECT a.id AS a, b.id AS b, sum(least(a.c, b.c)) AS i
+  FROM weighted a JOIN weighted b ON a.gram = b.gram AND a.id < b.id GROUP BY a.id, b.id),
+alike AS (
+  SELECT s.a, s.b FROM shared s JOIN totals x ON x.id = s.a JOIN totals y ON y.id = s.b
+  WHERE s.i >= 0.8 * (x.n + y.n - s.i) - 1e-9),
+links AS (SELECT a AS u, b AS v FROM alike UNION ALL SELECT b, a FROM alike),
+reach(u, v) AS (SELECT id, id FROM texts UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+classes AS (SELECT u AS id, min(v) AS class_id FROM reach GROUP BY u)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(t.copies, 1) AS n_copies, coalesce(c.class_id, d.doc_id) = d.doc_id AS first
+FROM documents d LEFT JOIN texts t ON t.text = d.text LEFT JOIN classes c ON c.id = t.id
+"""
+
 QUERIES = {"op2_near_dedup": op2_near_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_near_dedup": OP2_SQL}

@@ -165,5 +165,38 @@ LEFT JOIN counted c ON c.doc_id = d.doc_id AND c.text = d.text
 LEFT JOIN rebuilt r ON r.doc_id = d.doc_id AND r.text = d.text
 """
 
-QUERIES = {"op5_line_dedup": op5_line_dedup}
-ORACLES = {"op5_line_dedup": OP5_SQL}
+#: The whole rule: runs of three lines, and shorter ones of more than 50 words.
+PASSAGES_SQL = r"""
+WITH docs AS (SELECT DISTINCT doc_id, text FROM documents),
+lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM docs),
+full_lines AS (
+  SELECT doc_id, text, trim(line, ' ') AS line, len(regexp_extract_all(line, '\S+')) AS words, pos,
+         row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS nr
+  FROM lines WHERE trim(line, ' ') <> ''),
+ahead AS (
+  SELECT *, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3, lead(words, 1) OVER w AS words2, lead(pos, 1) OVER w AS pos2, lead(pos, 2) OVER w AS pos3
+  FROM full_lines WINDOW w AS (PARTITION BY doc_id, text ORDER BY nr)),
+runs AS (
+  SELECT doc_id, text, nr, 3 AS size, line || chr(10) || line2 || chr(10) || line3 AS run, [pos, pos2, pos3] AS places FROM ahead WHERE line3 IS NOT NULL
+  UNION ALL SELECT doc_id, text, nr, 2, line || chr(10) || line2, [pos, pos2] FROM ahead WHERE words + words2 > 50
+  UNION ALL SELECT doc_id, text, nr, 1, line, [pos] FROM ahead WHERE words > 50),
+placed AS (SELECT *, row_number() OVER (PARTITION BY size, run ORDER BY doc_id, nr) AS place FROM runs),
+gone AS (SELECT DISTINCT doc_id, text, unnest(places) AS pos FROM placed WHERE place > 1),
+counted AS (SELECT doc_id, text, count(*) AS n_removed FROM gone GROUP BY doc_id, text),
+rebuilt AS (
+  SELECT l.doc_id, l.text, string_agg(l.line, chr(10) ORDER BY l.pos) AS kept
+  FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.text = g.text AND l.pos = g.pos GROUP BY l.doc_id, l.text)
+SELECT d.doc_id,
+       CASE WHEN c.n_removed IS NULL THEN d.text ELSE coalesce(r.kept, '') END AS text,
+       CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines,
+       coalesce(c.n_removed, 0)::BIGINT AS n_removed
+FROM documents d
+LEFT JOIN counted c ON c.doc_id = d.doc_id AND c.text = d.text
+LEFT JOIN rebuilt r ON r.doc_id = d.doc_id AND r.text = d.text
+"""
+
+#: OP5_SQL states the rule of the first round, without passages of one or two lines.
+QUERIES = {"op5_line_dedup": op5_line_dedup, "line_passages": op5_line_dedup}
+ORACLES = {"op5_line_dedup": OP5_SQL, "line_passages": PASSAGES_SQL}

@@ -208,5 +208,19 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(documents(spark, sf_dir))
 
 
-QUERIES = {"op4_fingerprints": op4_fingerprints}
-ORACLES: dict[str, str] = {}
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: sizes and edited texts. Fingerprints are tested against a plain version."""
+    return op4_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITS_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n FROM documents),
+followed AS (
+  SELECT *, coalesce(lead(text) OVER w, first(text) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS after
+  FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, text DESC))
+SELECT doc_id, n AS n_chars, sha256(substr(text, 1, n - n // 3) || substr(after, 1, n // 3)) AS edited_sha256 FROM followed
+"""
+
+QUERIES = {"op4_fingerprints": op4_fingerprints, "edited_texts": edited_texts}
+ORACLES = {"edited_texts": EDITS_SQL}
