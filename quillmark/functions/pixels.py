@@ -109,6 +109,66 @@ def encode_png(image: np.ndarray) -> bytes:
     return PNG + png_chunk(b"IHDR", header) + png_chunk(b"IDAT", zlib.compress(rows)) + png_chunk(b"IEND", b"")
 
 
+#: Channels of the PNG colour types that are decoded (fixed values).
+CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+
+
+def decode_png(png: bytes) -> np.ndarray | None:
+    """height x width x channels of a PNG of 8 bits a channel that is not interlaced; None otherwise."""
+    if png[:8] != PNG or len(png) < 33:
+        return None
+    width, height, depth, colour, _, _, interlaced = struct.unpack_from(">IIBBBBB", png, 16)
+    if depth != 8 or interlaced or colour not in CHANNELS or not width or not height:
+        return None
+    at, parts = 8, []
+    while at + 8 <= len(png):
+        size, kind = struct.unpack_from(">I4s", png, at)
+        if kind == b"IDAT":
+            parts.append(png[at + 8 : at + 8 + size])
+        at += 12 + size
+    step = CHANNELS[colour]
+    row = width * step
+    try:
+        data = zlib.decompress(b"".join(parts))
+    except zlib.error:
+        return None
+    if len(data) < height * (row + 1):
+        return None
+    lines = np.frombuffer(data, np.uint8, height * (row + 1)).reshape(height, row + 1)
+    out = np.zeros((height, row), np.uint8)
+    above = np.zeros(row, np.uint8)
+    for y in range(height):
+        kind, line = int(lines[y, 0]), lines[y, 1:]
+        if kind > 4:
+            return None
+        if kind == 1:
+            line = line.reshape(width, step).cumsum(axis=0, dtype=np.uint64).astype(np.uint8).ravel()
+        elif kind == 2:
+            line = line + above
+        elif kind:
+            line = _unfiltered(line, above, step, kind)
+        out[y] = above = line
+    return out.reshape(height, width, step)
+
+
+def _unfiltered(line: np.ndarray, above: np.ndarray, step: int, kind: int) -> np.ndarray:
+    """A line of filter 3 (the mean of left and above) or 4 (whichever of the neighbours is nearest)."""
+    left, up, corner = [0] * step, above.tolist(), [0] * step
+    out = []
+    for i, x in enumerate(line.tolist()):
+        c = i % step
+        a, b = left[c], up[i]
+        if kind == 3:
+            guess = (a + b) // 2
+        else:
+            p = a + b - corner[c]
+            guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - corner[c]), 2, corner[c]))[2]
+            corner[c] = b
+        left[c] = (x + guess) & 255
+        out.append(left[c])
+    return np.array(out, np.uint8)
+
+
 def transformed(rasters: DataFrame, longest: int | None = None) -> DataFrame:
     """Rows (path, data, width, height, stride, orientation, crop x, y, w, h): oriented, cropped, shrunk.
 

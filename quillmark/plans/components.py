@@ -32,13 +32,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_written(spark: SparkSession) -> int:
-    """Delete the intermediate tables of this process, once no result that reads them is needed."""
+def written_so_far() -> int:
+    """How many intermediate tables this process keeps: a mark for clear_written."""
+    return len(_written)
+
+
+def clear_written(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the intermediate tables that were written since a mark, but for the last ``keep``.
+
+    Only once no result that reads them is needed; without a mark, all of this process.
+    """
     conf = spark.sparkContext._jsc.hadoopConfiguration()
+    end = len(_written) - keep
     gone = 0
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in _written[since:end]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         gone += bool(path.getFileSystem(conf).delete(path, True))
+    del _written[since:end]
     return gone
 
 

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import camera_label, exif_seconds, exif_text, orientation_or_null
+from ..functions.pixels import decode_png, gradient_hash
 
 # EXIF tags.
 MAKE, MODEL, ORIENTATION, DATE_TIME, EXIF_FOLDER, DATE_ORIGINAL = 0x010F, 0x0110, 0x0112, 0x0132, 0x8769, 0x9003
+WIDTH, HEIGHT = 0x0100, 0x0101
+# Brands of ISO media files that hold pictures.
+BRANDS = {b"avif": "AVIF", b"avis": "AVIF", b"heic": "HEIF", b"heix": "HEIF", b"hevc": "HEIF", b"mif1": "HEIF", b"msf1": "HEIF"}
 #: JPEG markers that carry the picture's size.
 SIZE_MARKERS = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
 
@@ -70,6 +76,66 @@ def _jpeg(data: bytes) -> dict | None:
     return None
 
 
+def _png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    at = 8
+    while at + 8 <= len(data):
+        (size,) = struct.unpack_from(">I", data, at)
+        yield data[at + 4 : at + 8], data[at + 8 : at + 8 + size]
+        at += 12 + size
+
+
+def _riff_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    at = 12
+    while at + 8 <= len(data):
+        (size,) = struct.unpack_from("<I", data, at + 4)
+        yield data[at : at + 4], data[at + 8 : at + 8 + size]
+        at += 8 + size + size % 2
+
+
+def _exif(chunks: Iterator[tuple[bytes, bytes]], kind: bytes) -> dict:
+    return next(({"exif": part} for name, part in chunks if name == kind), {})
+
+
+def _tiff(data: bytes) -> dict | None:
+    """The first folder's size; the file is its own EXIF block."""
+    order = "<" if data[:2] == b"II" else ">"
+    (at,) = struct.unpack_from(order + "I", data, 4)
+    (count,) = struct.unpack_from(order + "H", data, at)
+    size: dict = {}
+    for i in range(count):
+        tag, kind, _, value = struct.unpack_from(order + "HHI4s", data, at + 2 + 12 * i)
+        if tag in (WIDTH, HEIGHT) and kind in (3, 4):
+            size[tag] = struct.unpack(order + ("H" if kind == 3 else "I"), value[: 2 if kind == 3 else 4])[0]
+    return {"format": "TIFF", "width": size[WIDTH], "height": size[HEIGHT], "exif": data} if len(size) == 2 else None
+
+
+def _boxes(data: bytes) -> dict | None:
+    """The largest picture that an ISO media file tells of (thumbnails and tiles are smaller)."""
+    sizes = []
+
+    def walk(at: int, end: int) -> None:
+        while at + 8 <= end:
+            size, kind = struct.unpack_from(">I4s", data, at)
+            head = 8
+            if size == 1:
+                (size,) = struct.unpack_from(">Q", data, at + 8)
+                head = 16
+            stop = end if size == 0 else min(end, at + size)
+            if kind == b"ispe":
+                sizes.append(struct.unpack_from(">II", data, at + head + 4))
+            elif kind in (b"meta", b"iprp", b"ipco"):
+                walk(at + head + (4 if kind == b"meta" else 0), stop)
+            if stop <= at:
+                return
+            at = stop
+
+    walk(0, len(data))
+    if not sizes:
+        return None
+    width, height = max(sizes, key=lambda s: s[0] * s[1])
+    return {"format": BRANDS[data[8:12]], "width": width, "height": height}
+
+
 def probe(data: bytes) -> dict | None:
     """format, width, height and exif of a file's bytes; None if it is no image that is known."""
     try:
@@ -77,7 +143,11 @@ def probe(data: bytes) -> dict | None:
             return _jpeg(data)
         if data[:8] == b"\x89PNG\r\n\x1a\n" and data[12:16] == b"IHDR":
             width, height = struct.unpack_from(">II", data, 16)
-            return {"format": "PNG", "width": width, "height": height}
+            return {"format": "PNG", "width": width, "height": height} | _exif(_png_chunks(data), b"eXIf")
+        if data[:4] in (b"II*\0", b"MM\0*"):
+            return _tiff(data)
+        if data[4:8] == b"ftyp" and data[8:12] in BRANDS:
+            return _boxes(data)
         if data[:6] in (b"GIF87a", b"GIF89a"):
             width, height = struct.unpack_from("<HH", data, 6)
             return {"format": "GIF", "width": width, "height": height}
@@ -92,7 +162,7 @@ def probe(data: bytes) -> dict | None:
                 width, height = 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
             else:
                 width, height = (v & 0x3FFF for v in struct.unpack_from("<HH", data, 26))
-            return {"format": "WebP", "width": width, "height": height}
+            return {"format": "WebP", "width": width, "height": height} | _exif(_riff_chunks(data), b"EXIF")
     except struct.error:
         pass
     return None
@@ -114,11 +184,20 @@ def with_contents(paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInPandas(run, "path string, content binary")
 
 
+def pixel_hash(png: bytes) -> int | None:
+    """The perceptual hash of a PNG's pixels, without alpha."""
+    image = decode_png(png)
+    if image is None:
+        return None
+    rgb = np.ascontiguousarray(image[:, :, :3] if image.shape[2] > 2 else np.repeat(image[:, :, :1], 3, axis=2))
+    return gradient_hash(rgb.tobytes(), rgb.shape[1], rgb.shape[0])
+
+
 def enriched(contents: DataFrame) -> DataFrame:
     """path and the decode-derived columns of rows (path, content).
 
-    A file that cannot be read as an image gets 0 x 0, which also marks it as done. phash is null:
-    pixels are not decoded here.
+    A file that cannot be read as an image gets 0 x 0, which also marks it as done. phash is that of the
+    pixels where they can be decoded here (PNG of 8 bits a channel, not interlaced), else null.
     """
 
     def run(frames):
@@ -128,8 +207,8 @@ def enriched(contents: DataFrame) -> DataFrame:
                 found = probe(bytes(content)) if content is not None else None
                 exif = exif_fields((found or {}).get("exif", b""))
                 seen = found or {"width": 0, "height": 0, "format": None}
-                out.append((path, seen["width"], seen["height"], seen["format"], exif.get("make"), exif.get("model"), exif.get("original", exif.get("changed")), exif.get("orientation")))
-            yield pd.DataFrame(out, columns=["path", "width", "height", "format", "make", "model", "taken", "orientation"]).astype({"orientation": "Int64"})
+                out.append((path, seen["width"], seen["height"], seen["format"], exif.get("make"), exif.get("model"), exif.get("original", exif.get("changed")), exif.get("orientation"), pixel_hash(bytes(content)) if seen["format"] == "PNG" else None))
+            yield pd.DataFrame(out, columns=["path", "width", "height", "format", "make", "model", "taken", "orientation", "phash"]).astype({"orientation": "Int64", "phash": "Int64"})
 
-    raw = contents.select("path", "content").mapInPandas(run, "path string, width long, height long, format string, make string, model string, taken string, orientation long")
-    return raw.select("path", F.lit(None).cast("bigint").alias("phash"), "width", "height", "format", exif_seconds("taken").alias("date_taken"), camera_label(exif_text("make"), exif_text("model")).alias("camera"), orientation_or_null("orientation").alias("orientation"))
+    raw = contents.select("path", "content").mapInPandas(run, "path string, width long, height long, format string, make string, model string, taken string, orientation long, phash long")
+    return raw.select("path", "phash", "width", "height", "format", exif_seconds("taken").alias("date_taken"), camera_label(exif_text("make"), exif_text("model")).alias("camera"), orientation_or_null("orientation").alias("orientation"))
