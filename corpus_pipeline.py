@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import dartminhash, langid, linededup, pfair, pieces
 from quillmark.llm.common import documents, materialize
+from quillmark.plans.components import clear_written, written_so_far
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +61,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
+    mark = written_so_far()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # The stage is stored: what it and the one before it wrote on the way is not needed any more.
+        clear_written(spark, mark, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
