@@ -184,5 +184,37 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc_id", "source", "mix_slot", "mix_place")
 
 
-QUERIES = {"op6_mix": op6_mix}
-ORACLES: dict[str, str] = {}
+def mix_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slots that the mixed documents stand in: source, number of documents and the last one's place."""
+    rows = op6_mix(spark, sf_dir)
+    return rows.groupBy("mix_slot", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.max("mix_place").alias("last_place"))
+
+
+#: The schedule slot by slot, in whole numbers: a square root's double times 2**52 is one.
+SLOTS_SQL = """
+WITH RECURSIVE sizes AS (
+  SELECT source, n, row_number() OVER (ORDER BY source NULLS LAST) AS i, (n + 15) // 16 AS n_blocks, (sqrt(n::DOUBLE) * 4503599627370496)::HUGEINT AS part
+  FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)),
+given AS (
+  SELECT list(part ORDER BY i) AS parts, list(n_blocks ORDER BY i) AS n_blocks, sum(part)::HUGEINT AS whole, range(1, count(*) + 1) AS all_sources
+  FROM sizes),
+steps AS (
+  SELECT 0::BIGINT AS next_slot, list_transform(all_sources, lambda i: 0::BIGINT) AS done, NULL::BIGINT AS i, NULL::BIGINT AS k, NULL::BIGINT AS slot FROM given
+  UNION ALL
+  SELECT slot + 1, list_transform(all_sources, lambda j: done[j] + CASE WHEN j = pick THEN 1 ELSE 0 END), pick, done[pick], slot
+  FROM (
+    SELECT *, list_sort(list_transform(list_filter(waiting, lambda w: w.release <= slot), lambda w: {'deadline': w.deadline, 'i': w.i}))[1].i AS pick
+    FROM (
+      SELECT *, greatest(next_slot, list_min(list_transform(waiting, lambda w: w.release)))::BIGINT AS slot
+      FROM (
+        SELECT next_slot, done, all_sources,
+          list_transform(list_filter(all_sources, lambda j: done[j] < n_blocks[j]), lambda j: {
+            'release': (done[j]::HUGEINT * whole) // parts[j], 'deadline': ((done[j] + 1)::HUGEINT * whole + parts[j] - 1) // parts[j], 'i': j}) AS waiting
+        FROM (SELECT next_slot, done FROM steps), given)
+      WHERE len(waiting) > 0)))
+SELECT slot AS mix_slot, source, least(16, n - 16 * k)::BIGINT AS n_docs, (least(16, n - 16 * k) - 1)::BIGINT AS last_place
+FROM steps JOIN sizes USING (i)
+"""
+
+QUERIES = {"op6_mix": op6_mix, "mix_slots": mix_slots}
+ORACLES = {"mix_slots": SLOTS_SQL}

@@ -348,5 +348,31 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir), digest=True)
 
 
+#: Every string of 400 bytes (800 hexadecimal digits) by its MD5; texts are cut into blocks of 400 starts, so that each is a short string's part.
+OP10_SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n_bytes
+  FROM documents),
+cut AS (
+  SELECT rid, n_bytes, b, substr(h, b * 800 + 1, 1600) AS part
+  FROM (SELECT *, unnest(range(0, (n_bytes + 399) // 400)) AS b FROM docs)),
+starts AS (
+  SELECT rid, b * 400 + i AS pos, md5(substr(part, 2 * i + 1, 800)) AS string
+  FROM (SELECT *, unnest(range(0, 400)) AS i FROM cut) WHERE b * 400 + i + 400 <= n_bytes),
+often AS (SELECT string FROM starts GROUP BY string HAVING count(*) > 1),
+repeated AS (SELECT rid, pos FROM starts SEMI JOIN often USING (string)),
+marked AS (SELECT *, coalesce(pos - lag(pos) OVER w > 400, TRUE) AS opens FROM repeated WINDOW w AS (PARTITION BY rid ORDER BY pos)),
+numbered AS (SELECT rid, pos, count_if(opens) OVER (PARTITION BY rid ORDER BY pos) AS span FROM marked),
+spans AS (SELECT rid, min(pos) AS s, max(pos) + 400 AS e FROM numbered GROUP BY rid, span),
+gaps AS (
+  SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS s, s AS e FROM spans
+  UNION ALL SELECT rid, coalesce(max(e), 0), n_bytes FROM docs LEFT JOIN spans USING (rid) GROUP BY rid, n_bytes),
+kept AS (SELECT rid, string_agg(substr(h, 2 * s + 1, 2 * (e - s)), '' ORDER BY s, e) AS kept FROM gaps JOIN docs USING (rid) GROUP BY rid),
+told AS (SELECT rid, sum(e - s) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(kept)) AS kept_sha256
+FROM docs JOIN kept USING (rid) LEFT JOIN told USING (rid)
+"""
+
 QUERIES = {"op10_suffix_dedup": op10_suffix_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_suffix_dedup": OP10_SQL}
