@@ -135,39 +135,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-#: Every run of three non-blank lines, its first place, and what is left of each text.
+#: Every run of three non-blank lines or of more than 50 words, its first place, and what is left of each text.
 OP5_SQL = r"""
 WITH docs AS (SELECT DISTINCT doc_id, text FROM documents),
-lines AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
-  FROM docs),
-full_lines AS (
-  SELECT doc_id, text, trim(line, ' ') AS line, pos, row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS nr
-  FROM lines WHERE trim(line, ' ') <> ''),
-runs AS (
-  SELECT doc_id, text, pos AS at1, lead(pos, 1) OVER w AS at2, lead(pos, 2) OVER w AS at3, nr,
-         line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS run
-  FROM full_lines WINDOW w AS (PARTITION BY doc_id, text ORDER BY nr)),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, nr) AS place FROM runs WHERE run IS NOT NULL),
-gone AS (
-  SELECT DISTINCT doc_id, text, unnest([at1, at2, at3]) AS pos FROM placed WHERE place > 1),
-counted AS (SELECT doc_id, text, count(*) AS n_removed FROM gone GROUP BY doc_id, text),
-rebuilt AS (
-  SELECT l.doc_id, l.text, string_agg(l.line, chr(10) ORDER BY l.pos) AS kept
-  FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.text = g.text AND l.pos = g.pos GROUP BY l.doc_id, l.text)
-SELECT d.doc_id,
-       CASE WHEN c.n_removed IS NULL THEN d.text ELSE coalesce(r.kept, '') END AS text,
-       CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines,
-       coalesce(c.n_removed, 0)::BIGINT AS n_removed
-FROM documents d
-LEFT JOIN counted c ON c.doc_id = d.doc_id AND c.text = d.text
-LEFT JOIN rebuilt r ON r.doc_id = d.doc_id AND r.text = d.text
-"""
-
-#: The whole rule: runs of three lines, and shorter ones of more than 50 words.
-PASSAGES_SQL = r"""
-WITH docs AS (SELECT DISTINCT doc_id, text FROM documents),
 lines AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM docs),
@@ -197,6 +167,5 @@ LEFT JOIN counted c ON c.doc_id = d.doc_id AND c.text = d.text
 LEFT JOIN rebuilt r ON r.doc_id = d.doc_id AND r.text = d.text
 """
 
-#: OP5_SQL states the rule of the first round, without passages of one or two lines.
-QUERIES = {"op5_line_dedup": op5_line_dedup, "line_passages": op5_line_dedup}
-ORACLES = {"op5_line_dedup": OP5_SQL, "line_passages": PASSAGES_SQL}
+QUERIES = {"op5_line_dedup": op5_line_dedup}
+ORACLES = {"op5_line_dedup": OP5_SQL}

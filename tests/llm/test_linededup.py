@@ -16,16 +16,20 @@ def hash64(text: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def brute(rows, run):
+def brute(rows, run=3, words=50):
+    """rows with later copies of runs of at least ``run`` lines or of more than ``words`` words deleted."""
     docs = sorted({(d, t) for d, t, *_ in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0, hash64(r[1])))
     seen, gone = set(), {}
     for d, t in docs:
         full = [(i, x.strip(" ")) for i, x in enumerate(t.split("\n")) if x.strip(" ")]
-        for s in range(len(full) - run + 1):
-            key = tuple(x for _, x in full[s : s + run])
-            if key in seen:
-                gone.setdefault((d, t), set()).update(i for i, _ in full[s : s + run])
-            seen.add(key)
+        for s in range(len(full)):
+            for n in range(1, min(run, len(full) - s) + 1):
+                part = full[s : s + n]
+                if n == run or sum(len(re.findall(r"\S+", x, re.A)) for _, x in part) > words:
+                    key = tuple(x for _, x in part)
+                    if key in seen:
+                        gone.setdefault((d, t), set()).update(i for i, _ in part)
+                    seen.add(key)
     out = []
     for d, t, *rest in rows:
         left = gone.get((d, t), set())
@@ -65,21 +69,9 @@ def test_empty_table(spark):
     assert linededup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def whole_brute(rows, run=3, words=50):
-    """Later copies of runs of at least ``run`` lines or of more than ``words`` words."""
-    docs = sorted({(d, t) for d, t, *_ in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0, hash64(r[1])))
-    seen, gone = set(), {}
-    for d, t in docs:
-        full = [(i, x.strip(" ")) for i, x in enumerate(t.split("\n")) if x.strip(" ")]
-        for s in range(len(full)):
-            for n in range(1, min(run, len(full) - s) + 1):
-                part = full[s : s + n]
-                if n == run or sum(len(re.findall(r"\S+", x, re.A)) for _, x in part) > words:
-                    key = tuple(x for _, x in part)
-                    if key in seen:
-                        gone.setdefault((d, t), set()).update(i for i, _ in part)
-                    seen.add(key)
-    return sorted((d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get((d, t), ())), len(gone.get((d, t), ()))) for d, t, *_ in rows)
+def whole_brute(rows):
+    """(doc_id, text, lines deleted) by the operator's default rule."""
+    return sorted((d, t, gone) for d, t, *_, gone in brute(rows))
 
 
 def test_passages_of_one_or_two_lines_go_by_their_words(spark):

@@ -34,7 +34,7 @@ def test_stages_equal_plain_versions(spark, tmp_path):
             want = [r for r in want if score[r[0]][0] != "und" and score[r[0]][1] >= 0.4]
             assert {r[0] for r in extra}.isdisjoint(r[0] for r in want) and len(want) > 190
         elif name == "lines":
-            plain = lines([(r[0], r[1], *r[2:]) for r in want], 3)
+            plain = lines([(r[0], r[1], *r[2:]) for r in want])
             want = [(d, t, lang, source, len(t) if gone else n) for d, t, lang, source, n, _, gone in plain if not gone or t.strip()]
         elif name == "near duplicates":
             first: dict = {}
