@@ -10,22 +10,25 @@ on text length.
 Gates and states use the rational sigmoid 1/2 + x / (2 + 2|x|) and x / (1 + |x|): both are bounded,
 monotone and smooth enough for training, and cost three vector operations.
 
-Training is backpropagation through time with Adam, in numpy on the driver, over a bounded sample: the
-whole texts of the SAMPLE_ROWS labelled documents of each language that a hash of doc_id and text puts
-first; batches are windows drawn from everywhere in them. It is deterministic: the sample is ordered,
-not what partitions happen to return. Only text and non-null lang of documents with a doc_id whose
-crc32(doc_id as text) mod 5 is not 0 are learned from.
-
-Defined results: `und` with score 0 for a null text, a text without a letter, or if there is nothing
-to learn from. Other columns are never read; repeated rows are labelled alike.
+Training is backpropagation through time with Adam, in numpy on the driver, over a bounded sample: of
+the SAMPLE_LANGS most frequent languages (ties by name) the SAMPLE_ROWS labelled documents each that a
+hash of doc_id and text puts first, and of each text SAMPLE_WINDOWS windows, or all if it has no more,
+drawn on the executors from the whole text: at most some megabytes a language reach the driver. It is
+deterministic: the sample is ordered, not what partitions happen to return. Only text and non-null lang
+of documents with a doc_id whose crc32(doc_id as text) mod 5 is not 0 are learned from.
+
+Defined results: `und` with score 0 for a null text, a text without a letter (Unicode category L; numbers
+such as one half or Roman numerals are none), or if there is nothing to learn from. Of equally likely
+languages the first by name wins. Other columns are never read; repeated rows are labelled alike. One
+text is held at once with some 10 bytes for each of its bytes.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,10 +39,16 @@ UNKNOWN = "und"
 WINDOW = 64
 HIDDEN = 8
 SAMPLE_ROWS = 200
+SAMPLE_LANGS = 256
+SAMPLE_WINDOWS = 1024
 STEPS, BATCH, RATE = 150, 96, 0.02
 #: Windows labelled at once.
 COLUMNS = 2048
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter of Unicode: numbers written as ½, ² or Ⅷ are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 class GatedReader:
@@ -192,27 +201,37 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _drawn(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(lang, place, windows): SAMPLE_WINDOWS windows from everywhere in each text, or all of it."""
+    for frame in batches:
+        cut = []
+        for draw, text in zip(frame["draw"], frame["text"], strict=True):
+            rows, _ = _windows([text.encode()])
+            if len(rows) > SAMPLE_WINDOWS:
+                rows = rows[np.sort(np.random.default_rng(int(draw)).choice(len(rows), SAMPLE_WINDOWS, replace=False))]
+            cut.append(rows.tobytes())
+        yield pd.DataFrame({"lang": frame["lang"], "place": frame["place"], "windows": cut})
+
+
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, steps: int = STEPS) -> LanguageReader | None:
     """A reader trained on ``rows`` labelled documents of each language; None if there are none."""
-    usable = docs.filter(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usable = docs.filter(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGS).collect()
     if not counts:
         return None
-    langs = sorted(counts)
+    langs = sorted(r["lang"] for r in counts)
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        # Twice as many as needed, so that the order decides which rows, and few are sorted.
-        share = F.when(F.col("lang") == lang, int(min(1.0, 2 * rows / n) * (1 << 30))).otherwise(share)
-    sample = usable.filter(draw < share).select("lang", draw.alias("draw"), "text")
+    # Twice as many as needed, so that the order decides which rows, and few are sorted.
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 2 * rows / r["n"]) * (1 << 30))) for r in counts], "lang string, share long")
+    sample = usable.withColumn("draw", draw).join(F.broadcast(shares), "lang").filter(F.col("draw") < F.col("share")).select("lang", "draw", "text")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
     # Rank limits keep at most ``rows`` rows of a language and task before anything is shuffled.
-    got = sorted(sample.withColumn("place", place).filter(F.col("place") <= rows).collect(), key=lambda r: (r["lang"], r["place"]))
-    datas = [r["text"].encode() for r in got]
-    if not any(datas):
+    ordered = sample.withColumn("place", place).filter(F.col("place") <= rows)
+    got = sorted(ordered.mapInPandas(_drawn, "lang string, place int, windows binary").collect(), key=lambda r: (r["lang"], r["place"]))
+    if not any(r["windows"] for r in got):
         return None
-    windows, owner = _windows(datas)
-    labels = np.array([langs.index(r["lang"]) for r in got])[owner]
+    windows = np.frombuffer(b"".join(bytes(r["windows"]) for r in got), np.uint8).reshape(-1, WINDOW)
+    labels = np.repeat([langs.index(r["lang"]) for r in got], [len(r["windows"]) // WINDOW for r in got])
     present = sorted(set(labels.tolist()))
     reader = LanguageReader([langs[i] for i in present])
     reader.train(windows, np.searchsorted(present, labels), steps)
@@ -226,7 +245,7 @@ def _batches(reader: LanguageReader | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(held: list[tuple]) -> pa.RecordBatch:
             lang, score = [UNKNOWN] * len(held), [0.0] * len(held)
-            know = [i for i, r in enumerate(held) if reader and r[2] and _LETTER.search(r[2])]
+            know = [i for i, r in enumerate(held) if reader and has_letter(r[2])]
             if know:
                 found = pooled(reader, [held[i][2].encode() for i in know])
                 best = found.argmax(axis=1)
@@ -261,7 +280,7 @@ def accepted(docs: DataFrame, reader: LanguageReader | None, least: float = 0.4)
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column("text").to_pylist()
-                know = [i for i, t in enumerate(texts) if reader and t and _LETTER.search(t)]
+                know = [i for i, t in enumerate(texts) if reader and has_letter(t)]
                 keep = np.zeros(len(texts), bool)
                 if know:
                     keep[know] = pooled(reader, [texts[i].encode() for i in know]).max(axis=1) >= least

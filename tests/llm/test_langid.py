@@ -81,6 +81,21 @@ def test_undetermined_and_long_texts(spark, reader):
     assert got[4].lang_pred == "en" and got[5].lang_pred in reader.langs
 
 
+@pytest.mark.parametrize("text", ["½ ² ① Ⅷ", "٣٤ ೬ 〇 ㊿", "\u0301 _ 12", " \n\t", "№ % ∑ 🙂"])
+def test_numbers_and_marks_are_no_letters(spark, reader, text):
+    rows = spark.createDataFrame([(1, text.replace("№", ""), "en", "", 0), (2, text + " ʼa", "en", "", 0)], SCHEMA)
+    got = {r.doc_id: r for r in langid.predict(rows, reader).collect()}
+    assert (got[1].lang_pred, got[1].score) == ("und", 0) and got[2].lang_pred in reader.langs
+    assert {r.doc_id for r in langid.accepted(rows, reader, 0.0).collect()} == {2}
+
+
+def test_many_languages_and_long_texts_bound_the_sample(spark, monkeypatch):
+    rows = [(i, f"some words {i} of no language", f"x{i}", "", 0) for i in range(10_000)] + [(20_000 + i, f"the {i} of and " * 3000, "en", "", 0) for i in range(40)] + [(30_000 + i, f"le {i} un des " * 3000, "fr", "", 0) for i in range(40)]
+    monkeypatch.setattr(langid, "SAMPLE_LANGS", 8)
+    found = langid.learn(spark.createDataFrame(rows, SCHEMA), steps=5)
+    assert len(found.langs) == 8 and {"en", "fr"} <= set(found.langs)
+
+
 def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert langid.learn(empty) is None
