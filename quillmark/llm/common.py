@@ -21,13 +21,13 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write df to the folder that driver and executors share, and read it again.
 
     Cuts the lineage so that a lost executor costs only its own tasks, and gives later joins
     plain scans below their exchanges, which adaptive execution can split where a key is hot.
     """
-    return written(df, name)
+    return written(df, name, *by)
 
 
 #: Rows of an Arrow batch: long texts make a batch of Spark's default size too large.
