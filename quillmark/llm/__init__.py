@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("langid", "dartminhash", "htmltext", "winnow", "linededup", "pfair", "topk", "chat", "pieces", "suffixdedup", "merkle", "urlfilter")
+MODULES = ("langid", "dartminhash", "htmltext", "winnow", "linededup", "pfair", "topk", "chat", "pieces", "suffixdedup", "merkle", "cobuckets", "urlfilter")
 
 
 def _parts() -> list:
