@@ -51,16 +51,19 @@ def _enrichment(c):
 @register("image_headers", "SELECT path, CASE doc_id % 4 WHEN 0 THEN 'PNG' WHEN 1 THEN 'GIF' WHEN 2 THEN 'BMP' END AS format, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 + doc_id % 200 END AS width, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 + doc_id % 100 END AS height FROM own")
 def _headers(c):
     """Headers of three formats, and bytes that are none, as the enrichment reads them."""
-    width, height = F.col("doc_id") % 200 + 1, F.col("doc_id") % 100 + 1
+    return images.enriched(_own(c).select("path", _header_bytes(F.col("doc_id")).alias("content"))).select("path", "format", "width", "height")
+
+
+def _header_bytes(number: Column) -> Column:
+    width, height = number % 200 + 1, number % 100 + 1
     big = lambda x: F.unhex(F.lpad(F.hex(x), 8, "0"))
     little = lambda x, n: F.substring(F.concat(F.unhex(F.lpad(F.hex(x), 2, "0")), F.unhex(F.lit("00" * n))), 1, n)
     raw = lambda text: F.unhex(F.lit(text))
     png = F.concat(raw("89504e470d0a1a0a0000000d49484452"), big(width), big(height), raw("0802000000"))
     gif = F.concat(raw("474946383961"), little(width, 2), little(height, 2))
     bmp = F.concat(raw("424d" + "00" * 16), little(width, 4), little(height, 4), raw("00" * 4))
-    kind = F.col("doc_id") % 4
-    content = F.when(kind == 0, png).when(kind == 1, gif).when(kind == 2, bmp).otherwise(F.encode(F.lit("no image"), "UTF-8"))
-    return images.enriched(_own(c).select("path", content.alias("content"))).select("path", "format", "width", "height")
+    kind = number % 4
+    return F.when(kind == 0, png).when(kind == 1, gif).when(kind == 2, bmp).otherwise(F.encode(F.lit("no image"), "UTF-8"))
 
 
 @register("image_paths", "SELECT path || ext AS path, ext IN ('.JPG', '.x.heic', '.svg') AS is_image, regexp_extract(lower(ext), '([^.]*)$', 1) AS kind FROM (SELECT path, ['.JPG', '.x.heic', '.svg', '.txt', '.jpg~'][1 + doc_id % 5] AS ext FROM own)")
@@ -143,7 +146,7 @@ def _ops(c: Catalog) -> DataFrame:
     return _own(c).select(F.col("doc_id").alias("seq"), op.alias("op"), "content_hash", value.alias("value"))
 
 
-@register("oplog_apply", _OPS + """
+_OPS_STATE = _OPS + """
 SELECT 'rating' AS section, content_hash, rating::VARCHAR AS value FROM ratings WHERE content_hash NOT IN (SELECT content_hash FROM last WHERE op = 'rate')
 UNION ALL SELECT 'rating', content_hash, least(value::INT, 5)::VARCHAR FROM last WHERE op = 'rate' AND value::INT > 0
 UNION ALL SELECT 'comment', content_hash, body FROM comments WHERE content_hash NOT IN (SELECT content_hash FROM last WHERE op = 'comment')
@@ -151,9 +154,16 @@ UNION ALL SELECT 'comment', content_hash, value FROM last WHERE op = 'comment'
 UNION ALL SELECT 'orientation', content_hash, turned::VARCHAR FROM orientations WHERE content_hash NOT IN (SELECT content_hash FROM last WHERE op = 'orient')
 UNION ALL SELECT 'orientation', content_hash, value FROM last WHERE op = 'orient' AND value::INT > 1
 UNION ALL SELECT 'tag', content_hash, fold FROM tagged ANTI JOIN (SELECT content_hash, lower(value) AS fold FROM last WHERE op = 'untag') USING (content_hash, fold)
-UNION ALL SELECT 'tag', content_hash, lower(value) FROM last WHERE op = 'tag' AND (content_hash, lower(value)) NOT IN (SELECT (content_hash, fold) FROM tagged)""")
+UNION ALL SELECT 'tag', content_hash, lower(value) FROM last WHERE op = 'tag' AND (content_hash, lower(value)) NOT IN (SELECT (content_hash, fold) FROM tagged)"""
+
+
+@register("oplog_apply", _OPS_STATE)
 def _oplog(c):
-    after = oplog.apply_ops(c, _ops(c))
+    return op_state(oplog.apply_ops(c, _ops(c)))
+
+
+def op_state(after: Catalog) -> DataFrame:
+    """What an operation log acts on: ratings, comments, orientations and tags as rows of text."""
     tags = after.file_tags.join(after.tags, F.col("tag_id") == F.col("id")).select("content_hash", fn.ascii_fold("name").alias("value"))
     parts = {"rating": after.ratings.select("content_hash", F.col("rating").cast("string").alias("value")), "comment": after.comments.select("content_hash", F.col("body").alias("value")), "orientation": after.orientations.select("content_hash", F.col("orientation").cast("string").alias("value")), "tag": tags}
     return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("section"), "content_hash", "value") for name, rows in parts.items()])

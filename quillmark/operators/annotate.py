@@ -23,13 +23,17 @@ class UniqueViolation(ValueError):
 
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
-    """old with new's rows in place of those of equal keys; columns in keep stay as they were."""
+    """old with new's rows in place of those of equal keys; columns in keep stay as they were.
+
+    Written as a union, so that a filter on the keys reaches the scans of both.
+    """
     names = old.columns
-    new = new.select(*[F.col(c).alias(f"n_{c}") for c in names], F.lit(True).alias("n_is"))
-    on = [F.col(k) == F.col(f"n_{k}") for k in keys]
-    joined = old.withColumn("o_is", F.lit(True)).join(new, on, "full_outer")
-    pick = lambda c: F.when(F.col("n_is") & (F.col("o_is") if c in keep else F.lit(False)), F.col(c)).when(F.col("n_is"), F.col(f"n_{c}")).otherwise(F.col(c))
-    return joined.select(*[pick(c).alias(c) for c in names])
+    stay = old.join(new.select(*keys), keys, "left_anti")
+    if keep:
+        had = old.select(*keys, *[F.col(c).alias(f"o_{c}") for c in keep], F.lit(True).alias("o_is"))
+        pick = lambda c: F.when(F.col("o_is"), F.col(f"o_{c}")).otherwise(F.col(c)).alias(c) if c in keep else F.col(c)
+        new = new.join(had, keys, "left").select(*[pick(c) for c in names])
+    return stay.select(*names).unionByName(new.select(*names))
 
 
 def latest(ops: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -66,7 +70,7 @@ def upsert_files(catalog: Catalog, records: DataFrame) -> Catalog:
     fresh = records.join(catalog.files.select("path"), "path", "left_anti").select(*SCHEMAS["files"].names)
     known = records.join(catalog.files.select("path"), "path", "left_semi").select(*SCHEMAS["files"].names)
     fresh = next_ids(catalog.files, fresh.drop("id"), F.col("path"))
-    return catalog.with_tables(files=merged(catalog.files, known, ["path"], keep=["id"]).unionByName(conform(fresh, "files")))
+    return catalog.with_rows("files", merged(catalog.files, known, ["path"], keep=["id"]).unionByName(conform(fresh, "files")), records.select("path"))
 
 
 def relink_paths(catalog: Catalog, moves: DataFrame) -> Catalog:
@@ -75,15 +79,15 @@ def relink_paths(catalog: Catalog, moves: DataFrame) -> Catalog:
     if not taken.isEmpty():
         raise UniqueViolation("a new path is taken")
     m = moves.select(F.col("old").alias("m_old"), F.col("new").alias("m_new"), F.col("mtime").alias("m_mtime"))
-    joined = catalog.files.join(m, F.col("path") == F.col("m_old"), "left")
-    hit = F.col("m_new").isNotNull()
-    return catalog.with_tables(files=joined.withColumns({"path": F.coalesce("m_new", "path"), "mtime": F.when(hit, F.col("m_mtime")).otherwise(F.col("mtime")), "missing": F.col("missing") & ~hit}).select(*SCHEMAS["files"].names))
+    files, hit = catalog.files, F.col("path") == F.col("m_old")
+    moved = files.join(m, hit).withColumns({"path": F.col("m_new"), "mtime": F.col("m_mtime"), "missing": F.lit(False)}).select(*files.columns)
+    return catalog.with_rows("files", files.join(m, hit, "left_anti").unionByName(moved), moves.select("old").union(moves.select("new")))
 
 
 def mark_missing(catalog: Catalog, paths: DataFrame) -> Catalog:
     gone = paths.select("path").distinct().withColumn("gone", F.lit(True))
     files = catalog.files.join(gone, "path", "left").withColumn("missing", F.col("missing") | F.coalesce("gone", F.lit(False)))
-    return catalog.with_tables(files=files)
+    return catalog.with_rows("files", files, paths.select("path"))
 
 
 def set_enrichment(catalog: Catalog, enriched: DataFrame) -> Catalog:
@@ -91,7 +95,7 @@ def set_enrichment(catalog: Catalog, enriched: DataFrame) -> Catalog:
     new = enriched.select(F.col("path").alias("e_path"), *[F.col(c).alias(f"e_{c}") for c in ENRICHMENT_COLUMNS])
     joined = catalog.files.join(new, F.col("path") == F.col("e_path"), "left")
     hit = F.col("e_path").isNotNull()
-    return catalog.with_tables(files=joined.withColumns({c: F.when(hit, F.col(f"e_{c}")).otherwise(F.col(c)) for c in ENRICHMENT_COLUMNS}))
+    return catalog.with_rows("files", joined.withColumns({c: F.when(hit, F.col(f"e_{c}")).otherwise(F.col(c)) for c in ENRICHMENT_COLUMNS}), enriched.select("path"))
 
 
 # --- tags ----------------------------------------------------------------------------------
@@ -106,7 +110,7 @@ def ensure_tags(catalog: Catalog, names: list[str] | DataFrame, trim: bool = Tru
     new = names.groupBy(ascii_fold("name").alias("fold")).agg(F.min(F.struct("seq", "name")).alias("one")).select("fold", "one.*")
     new = new.join(catalog.tags.select(ascii_fold("name").alias("fold")), "fold", "left_anti")
     added = next_ids(catalog.tags, new.select("seq", "name"), F.col("seq")).select("id", "name")
-    return catalog.with_tables(tags=catalog.tags.unionByName(added))
+    return catalog.with_rows("tags", catalog.tags.unionByName(added), added.select("id"))
 
 
 def _tag_id(catalog: Catalog, name: str) -> DataFrame:
@@ -118,12 +122,12 @@ def apply_tag(catalog: Catalog, name: str, hashes: list[str] | DataFrame, now: i
     catalog = ensure_tags(catalog, [name])
     new = _values(catalog, hashes).distinct().crossJoin(F.broadcast(_tag_id(catalog, name.strip())))
     new = conform(new.withColumn("created_at", F.lit(now)), "file_tags").join(catalog.file_tags, ["content_hash", "tag_id"], "left_anti")
-    return catalog.with_tables(file_tags=catalog.file_tags.unionByName(conform(new, "file_tags")))
+    return catalog.with_rows("file_tags", catalog.file_tags.unionByName(conform(new, "file_tags")), _values(catalog, hashes))
 
 
 def remove_tag(catalog: Catalog, name: str, hashes: list[str] | DataFrame) -> Catalog:
     gone = _values(catalog, hashes).crossJoin(F.broadcast(_tag_id(catalog, name.strip())))
-    return catalog.with_tables(file_tags=catalog.file_tags.join(gone, ["content_hash", "tag_id"], "left_anti"))
+    return catalog.with_rows("file_tags", catalog.file_tags.join(gone, ["content_hash", "tag_id"], "left_anti"), gone.select("content_hash"))
 
 
 def change_tags(catalog: Catalog, changes: DataFrame, now: int = 0) -> Catalog:
@@ -138,7 +142,7 @@ def change_tags(catalog: Catalog, changes: DataFrame, now: int = 0) -> Catalog:
     last = latest(folded, ["content_hash", "fold"]).join(ids, "fold").select("content_hash", "tag_id", "applied")
     kept = catalog.file_tags.join(last.filter(~F.col("applied")), ["content_hash", "tag_id"], "left_anti")
     new = last.filter("applied").join(catalog.file_tags, ["content_hash", "tag_id"], "left_anti").withColumn("created_at", F.lit(now))
-    return catalog.with_tables(file_tags=kept.unionByName(conform(new, "file_tags")))
+    return catalog.with_rows("file_tags", kept.unionByName(conform(new, "file_tags")), last.select("content_hash"))
 
 
 def delete_tag(catalog: Catalog, name: str) -> Catalog:
@@ -179,7 +183,7 @@ def apply_changes(catalog: Catalog, table: str, changes: DataFrame) -> Catalog:
     for v in values:
         present = present & F.col(v).isNotNull()
     kept = catalog.table(table).join(last.select("content_hash"), "content_hash", "left_anti")
-    return catalog.with_tables(**{table: kept.unionByName(conform(last.filter(present), table))})
+    return catalog.with_rows(table, kept.unionByName(conform(last.filter(present), table)), last.select("content_hash"))
 
 
 def _one(catalog: Catalog, table: str, content_hash: str, now: int, **values) -> Catalog:
@@ -217,19 +221,19 @@ def rekey(catalog: Catalog, old: str, new: str) -> Catalog:
 
     Orientation and crop of the old content go: they are part of the new pixels.
     """
+    both = catalog.spark.createDataFrame([(old,), (new,)], "content_hash string")
+    for table in ("orientations", "crops"):
+        catalog = catalog.with_rows(table, catalog.table(table).filter(F.col("content_hash") != old), both)
     if old == new:
-        return catalog.with_tables(**{t: catalog.table(t).filter(F.col("content_hash") != old) for t in ("orientations", "crops")})
-    changed = {}
+        return catalog
     for table in ("ratings", "comments", "file_tags", "collection_items"):
         rows, others = catalog.table(table), [k for k in KEYS[table] if k != "content_hash"]
         moved = rows.filter(F.col("content_hash") == old).withColumn("content_hash", F.lit(new))
         stay = rows.filter(F.col("content_hash") != old)
         # Only rows of the new content can be displaced; of their sizes the optimizer knows best.
         gone = moved.select("content_hash", *others)
-        changed[table] = stay.join(gone, ["content_hash", *others], "left_anti").unionByName(moved)
-    for table in ("orientations", "crops"):
-        changed[table] = catalog.table(table).filter(F.col("content_hash") != old)
-    return catalog.with_tables(**changed)
+        catalog = catalog.with_rows(table, stay.join(gone, ["content_hash", *others], "left_anti").unionByName(moved), both)
+    return catalog
 
 
 # --- collections ---------------------------------------------------------------------------
@@ -237,7 +241,8 @@ def rekey(catalog: Catalog, old: str, new: str) -> Catalog:
 
 def _append_collection(catalog: Catalog, name: str, kind: str, query: str | None, now: int) -> Catalog:
     row = catalog.spark.createDataFrame([(name, kind, query, now)], "name string, kind string, query string, created_at long")
-    return catalog.with_tables(collections=catalog.collections.unionByName(conform(next_ids(catalog.collections, row, F.col("name")), "collections")))
+    added = conform(next_ids(catalog.collections, row, F.col("name")), "collections")
+    return catalog.with_rows("collections", catalog.collections.unionByName(added), added.select("id"))
 
 
 def create_smart_collection(catalog: Catalog, name: str, query: Query, now: int = 0) -> Catalog:
@@ -249,7 +254,8 @@ def create_catalog(catalog: Catalog, name: str, now: int = 0) -> Catalog:
 
 
 def rename_collection(catalog: Catalog, collection_id: int, name: str) -> Catalog:
-    return catalog.with_tables(collections=catalog.collections.withColumn("name", F.when(F.col("id") == collection_id, F.lit(name)).otherwise(F.col("name"))))
+    rows = catalog.collections.withColumn("name", F.when(F.col("id") == collection_id, F.lit(name)).otherwise(F.col("name")))
+    return catalog.with_rows("collections", rows, catalog.spark.createDataFrame([(collection_id,)], "id long"))
 
 
 def delete_collection(catalog: Catalog, collection_id: int) -> Catalog:
@@ -264,25 +270,27 @@ def add_to_catalog(catalog: Catalog, collection_id: int, hashes: list[str] | Dat
     top = mine.agg(F.coalesce(F.max("position") + 1, F.lit(0)).alias("top")).first()["top"]
     placed = ranked(new, F.col("ord"), F.col("content_hash"), name="n")
     added = placed.select(F.lit(collection_id).alias("collection_id"), "content_hash", (F.col("n") + (top - 1)).alias("position"))
-    return catalog.with_tables(collection_items=catalog.collection_items.unionByName(conform(added, "collection_items")))
+    return catalog.with_rows("collection_items", catalog.collection_items.unionByName(conform(added, "collection_items")), _values(catalog, hashes))
 
 
 def remove_from_catalog(catalog: Catalog, collection_id: int, hashes: list[str] | DataFrame) -> Catalog:
     """Positions are not closed up; files and annotations stay."""
     gone = _values(catalog, hashes).distinct().withColumn("collection_id", F.lit(collection_id).cast("bigint"))
-    return catalog.with_tables(collection_items=catalog.collection_items.join(gone, ["collection_id", "content_hash"], "left_anti"))
+    return catalog.with_rows("collection_items", catalog.collection_items.join(gone, ["collection_id", "content_hash"], "left_anti"), gone.select("content_hash"))
 
 
 def set_catalog_order(catalog: Catalog, collection_id: int, hashes: list[str] | DataFrame) -> Catalog:
     """Listed contents (a list without repeats, or rows of ord from 0 and content_hash) get their places
     as positions; the others keep theirs, which may tie with new ones."""
-    joined = catalog.collection_items.join(_ordered(catalog, hashes).withColumnRenamed("ord", "new"), "content_hash", "left")
-    return catalog.with_tables(collection_items=joined.withColumn("position", F.when(F.col("collection_id") == collection_id, F.coalesce("new", "position")).otherwise(F.col("position"))))
+    places = _ordered(catalog, hashes).withColumnRenamed("ord", "new")
+    joined = catalog.collection_items.join(places, "content_hash", "left")
+    rows = joined.withColumn("position", F.when(F.col("collection_id") == collection_id, F.coalesce("new", "position")).otherwise(F.col("position")))
+    return catalog.with_rows("collection_items", rows, places.select("content_hash"))
 
 
 def set_meta(catalog: Catalog, key: str, value: str) -> Catalog:
     new = catalog.spark.createDataFrame([(key, value)], SCHEMAS["meta"])
-    return catalog.with_tables(meta=merged(catalog.meta, new, ["key"]))
+    return catalog.with_rows("meta", merged(catalog.meta, new, ["key"]), new.select("key"))
 
 
 def trash_others(catalog: Catalog, clusters: DataFrame, trashed: DataFrame) -> Catalog:

@@ -172,8 +172,10 @@ def paths_under(catalog: Catalog, root: str) -> DataFrame:
     return present(catalog).filter(in_subtree("path", root)).select("path")
 
 
-def paths_needing_enrichment(catalog: Catalog, limit: int) -> DataFrame:
-    return present(catalog).filter(F.col("width").isNull()).select("id", "path").orderBy("id").limit(limit)
+def paths_needing_enrichment(catalog: Catalog, limit: int | None = None) -> DataFrame:
+    """id and path of present files that were not decoded yet; with a limit the first by id."""
+    waiting = present(catalog).filter(F.col("width").isNull()).select("id", "path")
+    return waiting if limit is None else waiting.orderBy("id").limit(limit)
 
 
 def tags_for_hash(catalog: Catalog, content_hash: str) -> DataFrame:

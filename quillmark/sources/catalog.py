@@ -1,8 +1,10 @@
 """The catalogue: ten tables, read from and committed to immutable snapshots.
 
-A snapshot's tables are Parquet folders of their own; ``_log/<n>.json`` names those of version n and is
-created exclusively, so that of two writers who start from one version exactly one commits. Readers
-pin a version when they open it. Nothing is overwritten.
+A snapshot's tables are manifests of sorted segments (``segments``); ``_log/<n>.json`` names those of
+version n and is created exclusively, so that of two writers who start from one version exactly one
+commits. Readers pin a version when they open it. Nothing is overwritten. A commit writes what changed:
+tables that no transition touched keep their manifest, and of a touched one only the segments that own a
+changed key are written again.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schema import CURRENT_VERSION, SCHEMAS, conform, tables_at
+from . import segments
+from .schema import CURRENT_VERSION, SCHEMAS, SORT_KEYS, conform, tables_at
+from .segments import Segment
 
 
 class CommitConflict(RuntimeError):
@@ -28,11 +32,17 @@ Table = DataFrame | Callable[[], DataFrame]
 
 @dataclass(frozen=True)
 class Catalog:
-    """Tables by name. A table may be given as a function: it is planned when it is first used."""
+    """Tables by name. A table may be given as a function: it is planned when it is first used.
+
+    origin is the store that the catalogue was opened from. changed has the tables that differ from that
+    version: the keys (as DataFrames of one column) that may differ, or None for the whole table.
+    """
 
     spark: SparkSession
     tables: dict[str, Table] = field(default_factory=dict)
     version: int = 0
+    origin: str | None = None
+    changed: dict[str, list[DataFrame] | None] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         found = self.tables[name]
@@ -46,7 +56,15 @@ class Catalog:
         raise AttributeError(name)
 
     def with_tables(self, **tables: Table) -> Catalog:
-        return replace(self, tables=self.tables | {n: conform(t, n) if isinstance(t, DataFrame) else t for n, t in tables.items()})
+        made = {n: conform(t, n) if isinstance(t, DataFrame) else t for n, t in tables.items()}
+        return replace(self, tables=self.tables | made, changed=self.changed | dict.fromkeys(tables))
+
+    def with_rows(self, table: str, rows: DataFrame, keys: DataFrame) -> Catalog:
+        """The table after a change of no other rows than those of the keys (of its sort key, one column)."""
+        known = self.changed.get(table, [])
+        name = SORT_KEYS[table]
+        keys = keys.toDF(name).select(F.col(name).cast(SCHEMAS[table][name].dataType))
+        return replace(self, tables=self.tables | {table: conform(rows, table)}, changed=self.changed | {table: None if known is None else [*known, keys]})
 
     def meta_value(self, key: str) -> str | None:
         row = self.meta.filter(F.col("key") == key).select("value").first()
@@ -60,20 +78,20 @@ def empty(spark: SparkSession) -> Catalog:
     return Catalog(spark, {name: partial(spark.createDataFrame, [], schema) for name, schema in SCHEMAS.items()})
 
 
-def migrated(catalog: Catalog, tables: dict[str, DataFrame], version: int) -> Catalog:
+def migrated(catalog: Catalog, tables: dict[str, Table], version: int) -> Catalog:
     """A catalogue from tables of an older version: later tables are empty, later columns defaulted."""
     if version > CURRENT_VERSION:
         raise ValueError(f"schema version {version} is newer than {CURRENT_VERSION}")
     known = set(tables_at(version))
-    kept = {n: conform(df, n) for n, df in tables.items() if n in known}
+    kept = {n: conform(t, n) if isinstance(t, DataFrame) else t for n, t in tables.items() if n in known}
     return replace(catalog, tables=empty(catalog.spark).tables | kept)
 
 
 class Store:
     """A folder of snapshots on any file system that Spark writes to."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, per_file: int = segments.SEGMENT_ROWS):
+        self.spark, self.root, self.per_file = spark, root.rstrip("/"), per_file
         self._jvm = spark.sparkContext._jvm
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path(root).getFileSystem(conf)
@@ -81,6 +99,18 @@ class Store:
     def _path(self, text: str):
         return self._jvm.org.apache.hadoop.fs.Path(text)
 
+    def _json(self, name: str):
+        stream = self._fs.open(self._path(f"{self.root}/{name}"))
+        try:
+            return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        finally:
+            stream.close()
+
+    def _put(self, name: str, value) -> None:
+        stream = self._fs.create(self._path(f"{self.root}/{name}"), False)
+        stream.write(json.dumps(value).encode())
+        stream.close()
+
     def versions(self) -> list[int]:
         log = self._path(f"{self.root}/_log")
         if not self._fs.exists(log):
@@ -88,39 +118,53 @@ class Store:
         names = [s.getPath().getName() for s in self._fs.listStatus(log)]
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
+    def entry(self, version: int) -> dict:
+        """What the log says of a version: its schema, and a manifest (or, of old, a folder) for each table."""
+        return self._json(f"_log/{version}.json")
+
+    def manifest(self, name: str) -> list[Segment]:
+        return [Segment(**s) for s in self._json(name)]
+
+    def _table(self, name: str, path: str) -> DataFrame:
+        if not path.endswith(".json"):
+            return self.spark.read.parquet(f"{self.root}/{path}")
+        return segments.read(self.spark, self.manifest(path), SCHEMAS[name], self.root)
+
     def open(self, version: int | None = None) -> Catalog:
         """The latest (or a given) version; an empty catalogue if nothing was committed."""
         found = self.versions()
         if not found and version in (None, 0):
             return empty(self.spark)
         number = found[-1] if version is None else version
-        stream = self._fs.open(self._path(f"{self.root}/_log/{number}.json"))
-        try:
-            entry = json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-        finally:
-            stream.close()
-        read = {n: self.spark.read.parquet(f"{self.root}/{p}") for n, p in entry["tables"].items()}
-        return replace(migrated(empty(self.spark), read, entry["schema"]), version=number)
+        entry = self.entry(number)
+        read = {n: partial(self._table, n, p) for n, p in entry["tables"].items()}
+        return replace(migrated(empty(self.spark), read, entry["schema"]), version=number, origin=self.root, changed={})
+
+    def _written(self, catalog: Catalog, name: str, before: str | None) -> str:
+        """The manifest of a table in the next version; before: its manifest in the one that the catalogue came from."""
+        keys = catalog.changed.get(name, [])
+        if before and not keys and keys is not None:
+            return before
+        folder, key = f"data/{name}", SORT_KEYS[name]
+        if before and keys is not None:
+            found = segments.rewrite(self.manifest(before), catalog.table(name), key, reduce(DataFrame.unionByName, keys), self.root, folder, self.per_file)
+        else:
+            found = segments.write(catalog.table(name), key, f"{folder}/{uuid.uuid4().hex}", self.root, self.per_file)
+        path = f"{folder}/{uuid.uuid4().hex}.json"
+        self._put(path, [s.to_json() for s in found])
+        return path
 
     def commit(self, catalog: Catalog) -> Catalog:
         """Write a new version on top of the one that the catalogue came from."""
-        folder, number = uuid.uuid4().hex, catalog.version + 1
-        paths = {}
-        for name in SCHEMAS:
-            df = catalog.table(name)
-            paths[name] = f"data/{folder}/{name}"
-            # Sorted ranges of paths let subtree filters skip files and row groups.
-            laid = df.repartitionByRange("path").sortWithinPartitions("path") if name == "files" else df
-            laid.write.parquet(f"{self.root}/{paths[name]}")
-        entry = json.dumps({"schema": CURRENT_VERSION, "tables": paths}).encode()
+        number = catalog.version + 1
+        old = self.entry(catalog.version)["tables"] if catalog.origin == self.root and catalog.version else {}
+        paths = {n: self._written(catalog, n, p if (p := old.get(n, "")).endswith(".json") else None) for n in SCHEMAS}
         try:
-            stream = self._fs.create(self._path(f"{self.root}/_log/{number}.json"), False)
+            self._put(f"_log/{number}.json", {"schema": CURRENT_VERSION, "tables": paths})
         except Exception as error:
             if "already exists" in str(error) or "FileAlreadyExists" in str(error):
                 raise CommitConflict(f"version {number} exists") from error
             raise
-        stream.write(entry)
-        stream.close()
         return self.open(number)
 
     def backup_to(self, destination: str, version: int | None = None) -> Catalog:

@@ -50,6 +50,8 @@ KEYS = {
     "orientations": ["content_hash"],
     "crops": ["content_hash"],
 }
+#: The column that a table's segments are sorted by.
+SORT_KEYS = {name: "content_hash" if "content_hash" in keys else keys[0] for name, keys in KEYS.items()}
 #: Tables that each schema version adds; a version without a table changes nothing that is stored.
 VERSIONS: list[list[str]] = [["meta", "files", "tags", "file_tags", "ratings", "collections", "collection_items"], ["comments"], ["orientations"], ["crops"], []]
 CURRENT_VERSION = len(VERSIONS)

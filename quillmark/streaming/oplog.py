@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.columns import clamp_rating, is_image_path
 from ..operators import annotate
 from ..operators.query import paths_needing_enrichment
+from ..plans.components import written
 from ..sources.catalog import Catalog, CommitConflict, Store
 from ..sources.images import enriched, with_contents
 
@@ -48,25 +51,28 @@ def accepted(folder: str, ops: DataFrame) -> int:
     return before
 
 
-def run_enrichment(store: Store, size: int = 64) -> int:
-    """Decode files that wait for it, a batch and a snapshot at a time, until none is left.
+def run_enrichment(store: Store, size: int | None = None, contents: Callable[[DataFrame], DataFrame] = with_contents) -> int:
+    """Decode files that wait for it, up to ``size`` (a segment's rows) of them in a snapshot, until none is left.
 
-    Returns how many were done. What cannot be decoded is marked with 0 x 0 and does not come back.
+    Returns how many were done. What cannot be decoded is marked with 0 x 0 and does not come back. Files
+    are taken in the order of their paths, so a snapshot rewrites the segments of neighbouring files only,
+    and each segment about once. contents gives (path, content) of rows with a path.
     """
     done = 0
     while True:
         catalog = store.open()
-        queue = paths_needing_enrichment(catalog, size)
-        names = queue.select("path")
+        waiting = paths_needing_enrichment(catalog).select("path")
+        names = written(waiting.orderBy("path").limit(size or store.per_file), "enrichment")
         n = names.count()
         if not n:
             return done
-        store.commit(annotate.set_enrichment(catalog, enriched(with_contents(names))))
+        # Written first: the commit asks for keys and rows, and each file is decoded once.
+        store.commit(annotate.set_enrichment(catalog, written(enriched(contents(names)), "enriched")))
         done += n
 
 
-def run_oplog(spark: SparkSession, source: str, store: Store, checkpoint: str) -> StreamingQuery:
-    """Apply operations that arrive as Parquet files, a snapshot for each micro-batch.
+def run_oplog(spark: SparkSession, source: str, store: Store, checkpoint: str, files: int = 1000) -> StreamingQuery:
+    """Apply operations that arrive as Parquet files, a snapshot for each micro-batch of at most ``files``.
 
     A batch that was committed before a failure is recognised by its number in meta and skipped:
     every operation takes effect once.
@@ -86,7 +92,7 @@ def run_oplog(spark: SparkSession, source: str, store: Store, checkpoint: str) -
             finally:
                 ops.unpersist()
 
-    stream = spark.readStream.schema(OPS).parquet(source)
+    stream = spark.readStream.schema(OPS).option("maxFilesPerTrigger", files).parquet(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
