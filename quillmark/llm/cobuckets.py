@@ -45,8 +45,9 @@ from .common import documents, map_arrow, materialize, mix64
 BUCKETS = 600
 #: Bits of the Bloom filter, a power of two, and how many each key sets.
 SLOTS, PROBES = 1 << 25, 4
-#: Files with so many times the rows of a mean file, and at least HOT_ROWS, are sorted in ranges.
-HOT, HOT_ROWS = 4, 20_000
+#: Files with so many times the rows of a mean file, and at least HOT_ROWS, are sorted in ranges; so is
+#: any file of more than RANGE_ROWS.
+HOT, HOT_ROWS, RANGE_ROWS = 4, 20_000, 4_000_000
 #: Rows of a row group.
 GROUP_ROWS = 1 << 16
 
@@ -248,7 +249,7 @@ def write_numbered(rows: DataFrame, columns: list[str], key: str, folder: str, c
     inner = [f"c{i}" for i in range(len(columns))]
     first = inner[columns.index(key)]
     order = ["_number", first, *[c for c in inner if c != first]]
-    limit = max(HOT_ROWS, HOT * -(-sum(counts.values()) // len(counts)))
+    limit = min(RANGE_ROWS, max(HOT_ROWS, HOT * -(-sum(counts.values()) // len(counts))))
     hot = sorted(n for n, many in counts.items() if many > limit)
     tasks = max(1, min(len(counts), int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
