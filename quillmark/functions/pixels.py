@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import jpeg
+
 PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -56,20 +58,34 @@ def crop(image: np.ndarray, rect: tuple[float, float, float, float]) -> np.ndarr
     return part if part.shape[0] and part.shape[1] else None
 
 
+def lanczos(size: int, new: int) -> np.ndarray:
+    """new x size weights of the windowed sine of three lobes; its support grows with the ratio."""
+    ratio = size / new
+    wide = max(ratio, 1.0)
+    out = np.zeros((new, size))
+    for i in range(new):
+        centre = (i + 0.5) * ratio
+        left = min(max(int(np.floor(centre - 3 * wide)), 0), size - 1)
+        right = min(max(int(np.ceil(centre + 3 * wide)), left + 1), size)
+        x = (np.arange(left, right) - (centre - 0.5)) / wide
+        row = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+        out[i, left:right] = row / row.sum()
+    return out
+
+
 def gradient_hash(rgb: bytes, width: int, height: int) -> int | None:
-    """64-bit difference hash: each of 8 x 8 cells against its right neighbour, as a signed integer."""
+    """64-bit difference hash as a signed integer: each of 8 x 8 grey cells against its right neighbour.
+
+    Grey is a whole-number mean with the weights of the sRGB primaries; the picture is resampled to 9 x 8
+    cells, rows first, and a bit is set where the right cell is the brighter one, first cell lowest.
+    """
     if len(rgb) != width * height * 3 or not rgb:
         return None
-    image = np.frombuffer(rgb, np.uint8).reshape(height, width, 3).astype(np.float64)
-    grey = image @ [0.2126, 0.7152, 0.0722]
-    rows = (np.arange(8 * 8) // 8 * height // 8, np.arange(9) * width // 9)
-    cells = np.empty((8, 9))
-    for i in range(8):
-        for j in range(9):
-            a, b = i * height // 8, max(i * height // 8 + 1, (i + 1) * height // 8)
-            c, d = rows[1][j], max(rows[1][j] + 1, (j + 1) * width // 9)
-            cells[i, j] = grey[a:b, c:d].mean()
-    bits = (cells[:, 1:] > cells[:, :-1] + 1e-9).ravel()
+    image = np.frombuffer(rgb, np.uint8).reshape(height, width, 3).astype(np.int64)
+    grey = image @ np.array([2126, 7152, 722]) // 10000
+    cells = lanczos(height, 8) @ grey @ lanczos(width, 9).T
+    cells = np.clip(np.floor(cells + 0.5), 0, 255)
+    bits = (cells[:, 1:] > cells[:, :-1]).ravel()
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little", signed=True)
 
 
@@ -102,7 +118,7 @@ def add_text_chunks(png: bytes, entries: list[tuple[str, str]]) -> bytes | None:
 
 
 def encode_png(image: np.ndarray) -> bytes:
-    """Lossless; JPEG would need an encoder that is not installed."""
+    """Lossless."""
     height, width, channels = image.shape
     rows = np.concatenate([np.zeros((height, 1), np.uint8), image.reshape(height, -1)], axis=1).tobytes()
     header = struct.pack(">IIBBBBB", width, height, 8, 6 if channels == 4 else 2, 0, 0, 0)
@@ -191,3 +207,49 @@ def transformed(rasters: DataFrame, longest: int | None = None) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "data", "width", "height"])
 
     return rasters.mapInPandas(run, "path string, data binary, width long, height long")
+
+
+def baked(rasters: DataFrame) -> DataFrame:
+    """path and content of rows (path, data, width, height): files of upright rasters by their paths' endings.
+
+    ``jpg`` and ``jpeg`` (in any case) are JPEG of quality 90 without alpha, all others PNG. Null content
+    for malformed rasters.
+    """
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                image = None if r.data is None else raster(bytes(r.data), int(r.width), int(r.height))
+                kind = r.path.rsplit(".", 1)[-1].lower()
+                out.append(None if image is None else jpeg.encode(image) if kind in ("jpg", "jpeg") else encode_png(image))
+            yield pd.DataFrame({"path": frame["path"], "content": pd.Series(out, dtype=object)})
+
+    return rasters.select("path", "data", "width", "height").mapInPandas(run, "path string, content binary")
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """Rasters (path, data in RGBA, width, height) of rows (path, content): PNG and JPEG; null data for others."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                image = None if content is None else pixels_of(bytes(content))
+                out.append((path, None if image is None else as_rgba(image).tobytes(), 0 if image is None else image.shape[1], 0 if image is None else image.shape[0]))
+            yield pd.DataFrame(out, columns=["path", "data", "width", "height"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, data binary, width long, height long")
+
+
+def pixels_of(content: bytes) -> np.ndarray | None:
+    """Samples of a PNG or JPEG as they are stored; None for anything else."""
+    return jpeg.decode(content) if content[:2] == b"\xff\xd8" else decode_png(content)
+
+
+def as_rgba(image: np.ndarray) -> np.ndarray:
+    """Samples of 1 to 4 channels (grey, grey and alpha, colour, colour and alpha) as RGBA."""
+    depth = image.shape[2]
+    colour = image[:, :, :3] if depth > 2 else np.repeat(image[:, :, :1], 3, axis=2)
+    alpha = image[:, :, -1:] if depth in (2, 4) else np.full_like(image[:, :, :1], 255)
+    return np.ascontiguousarray(np.concatenate([colour, alpha], axis=2))

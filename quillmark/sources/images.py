@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import camera_label, exif_seconds, exif_text, orientation_or_null
-from ..functions.pixels import decode_png, gradient_hash
+from ..functions.pixels import as_rgba, gradient_hash, orient, pixels_of
 
 # EXIF tags.
 MAKE, MODEL, ORIENTATION, DATE_TIME, EXIF_FOLDER, DATE_ORIGINAL = 0x010F, 0x0110, 0x0112, 0x0132, 0x8769, 0x9003
 WIDTH, HEIGHT = 0x0100, 0x0101
 # Brands of ISO media files that hold pictures.
 BRANDS = {b"avif": "AVIF", b"avis": "AVIF", b"heic": "HEIF", b"heix": "HEIF", b"hevc": "HEIF", b"mif1": "HEIF", b"msf1": "HEIF"}
+#: Formats of which pixels are decoded.
+DECODED = ("JPEG", "PNG")
 #: JPEG markers that carry the picture's size.
 SIZE_MARKERS = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
 
@@ -184,12 +186,14 @@ def with_contents(paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInPandas(run, "path string, content binary")
 
 
-def pixel_hash(png: bytes) -> int | None:
-    """The perceptual hash of a PNG's pixels, without alpha."""
-    image = decode_png(png)
+def pixel_hash(content: bytes, orientation: int | None = None) -> int | None:
+    """The perceptual hash of a PNG's or JPEG's upright pixels, without alpha."""
+    image = pixels_of(content)
     if image is None:
         return None
-    rgb = np.ascontiguousarray(image[:, :, :3] if image.shape[2] > 2 else np.repeat(image[:, :, :1], 3, axis=2))
+    rgb = as_rgba(image)[:, :, :3]
+    turned = orient(rgb, orientation) if orientation else None
+    rgb = np.ascontiguousarray(rgb if turned is None else turned)
     return gradient_hash(rgb.tobytes(), rgb.shape[1], rgb.shape[0])
 
 
@@ -197,7 +201,7 @@ def enriched(contents: DataFrame) -> DataFrame:
     """path and the decode-derived columns of rows (path, content).
 
     A file that cannot be read as an image gets 0 x 0, which also marks it as done. phash is that of the
-    pixels where they can be decoded here (PNG of 8 bits a channel, not interlaced), else null.
+    upright pixels where they can be decoded here (JPEG; PNG of 8 bits a channel, not interlaced), else null.
     """
 
     def run(frames):
@@ -207,7 +211,7 @@ def enriched(contents: DataFrame) -> DataFrame:
                 found = probe(bytes(content)) if content is not None else None
                 exif = exif_fields((found or {}).get("exif", b""))
                 seen = found or {"width": 0, "height": 0, "format": None}
-                out.append((path, seen["width"], seen["height"], seen["format"], exif.get("make"), exif.get("model"), exif.get("original", exif.get("changed")), exif.get("orientation"), pixel_hash(bytes(content)) if seen["format"] == "PNG" else None))
+                out.append((path, seen["width"], seen["height"], seen["format"], exif.get("make"), exif.get("model"), exif.get("original", exif.get("changed")), exif.get("orientation"), pixel_hash(bytes(content), exif.get("orientation")) if seen["format"] in DECODED else None))
             yield pd.DataFrame(out, columns=["path", "width", "height", "format", "make", "model", "taken", "orientation", "phash"]).astype({"orientation": "Int64", "phash": "Int64"})
 
     raw = contents.select("path", "content").mapInPandas(run, "path string, width long, height long, format string, make string, model string, taken string, orientation long, phash long")
