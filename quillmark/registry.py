@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import edit_queries, pixel_queries, store_queries  # noqa: F401 - register their queries
+from . import edit_queries, index_queries, pixel_queries, store_queries  # noqa: F401 - register their queries
 from . import queries as _queries
 
 

@@ -9,7 +9,6 @@ changed key are written again.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -21,11 +20,10 @@ from pyspark.sql import functions as F
 from . import segments
 from .schema import CURRENT_VERSION, SCHEMAS, SORT_KEYS, conform, tables_at
 from .segments import Segment
+from .versions import CommitConflict, Versioned
 
 
-class CommitConflict(RuntimeError):
-    """Another writer has committed the next version."""
-
+__all__ = ["Catalog", "CommitConflict", "Store", "empty", "from_testdata", "migrated"]
 
 Table = DataFrame | Callable[[], DataFrame]
 
@@ -87,40 +85,12 @@ def migrated(catalog: Catalog, tables: dict[str, Table], version: int) -> Catalo
     return replace(catalog, tables=empty(catalog.spark).tables | kept)
 
 
-class Store:
-    """A folder of snapshots on any file system that Spark writes to."""
+class Store(Versioned):
+    """A folder of snapshots."""
 
     def __init__(self, spark: SparkSession, root: str, per_file: int = segments.SEGMENT_ROWS):
-        self.spark, self.root, self.per_file = spark, root.rstrip("/"), per_file
-        self._jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._path(root).getFileSystem(conf)
-
-    def _path(self, text: str):
-        return self._jvm.org.apache.hadoop.fs.Path(text)
-
-    def _json(self, name: str):
-        stream = self._fs.open(self._path(f"{self.root}/{name}"))
-        try:
-            return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-        finally:
-            stream.close()
-
-    def _put(self, name: str, value) -> None:
-        stream = self._fs.create(self._path(f"{self.root}/{name}"), False)
-        stream.write(json.dumps(value).encode())
-        stream.close()
-
-    def versions(self) -> list[int]:
-        log = self._path(f"{self.root}/_log")
-        if not self._fs.exists(log):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(log)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
-
-    def entry(self, version: int) -> dict:
-        """What the log says of a version: its schema, and a manifest (or, of old, a folder) for each table."""
-        return self._json(f"_log/{version}.json")
+        super().__init__(spark, root)
+        self.per_file = per_file
 
     def manifest(self, name: str) -> list[Segment]:
         return [Segment(**s) for s in self._json(name)]
@@ -159,12 +129,7 @@ class Store:
         number = catalog.version + 1
         old = self.entry(catalog.version)["tables"] if catalog.origin == self.root and catalog.version else {}
         paths = {n: self._written(catalog, n, p if (p := old.get(n, "")).endswith(".json") else None) for n in SCHEMAS}
-        try:
-            self._put(f"_log/{number}.json", {"schema": CURRENT_VERSION, "tables": paths})
-        except Exception as error:
-            if "already exists" in str(error) or "FileAlreadyExists" in str(error):
-                raise CommitConflict(f"version {number} exists") from error
-            raise
+        self.publish(number, {"schema": CURRENT_VERSION, "tables": paths})
         return self.open(number)
 
     def backup_to(self, destination: str, version: int | None = None) -> Catalog:
