@@ -7,24 +7,33 @@ whose role is told by name counts as in links. Its composite text density is
 
     C/T * log(C/LC * T/LT) / log(log(C/NC * LC + LCb/Cb * C + e))
 
-with NC the characters outside links and LCb, Cb those of the body (zeros count as one). Link lists
-score near zero, running text by its characters for each tag. The *density sum* of an element is the
-sum over its children; the maximum-sum element is the core of the main text. The threshold is the
-lowest density on the path from the body to it: going down from the body, every element that reaches
-it contributes the maximum-sum element of its subtree. The smallest element that holds all of these is
-the main text. Names only break ties: of the elements on the path, which all reach the threshold, an
-article or main element that adds no more text than was found, or one that adds little but the title,
-stands for it. Whatever lies in the main text is kept, however short and however many links it has, but
-for elements whose role is told by name: navigation, headers of the page, footers, sidebars, notices,
-adverts, forms, scripts, styles and comment sections. A class or role tells it by a whole token that is
-made of ROLES and words for boxes alone ("top-menu", but not "side-effects"), an id likewise, and only
-that of a container: headings and sections have anchors.
+with NC the characters outside links and LCb, Cb those of the body (zeros count as one); names play no
+part in it. Link lists score near zero, running text by its characters for each tag. The *density sum* of
+an element is the sum over those of its children that are denser than the body, the page's own threshold;
+inline elements are text of theirs.
+
+1. The core is the element of the largest density sum. The body, whose sum holds that of the whole page's
+   parts, is the core only if no part has more than all others together. Without any sum (no child is
+   denser than the body) the densest element is the core.
+2. Going up from the core, below the body, every element joins that is denser than the body and at least
+   KEPT times as dense as the core; so sections come together, and the page's frame stays outside.
+3. Other elements of the page that are as dense, and hold an element with SHARE of the core's density sum,
+   contribute that element: articles in several parts.
+4. An element around the main part that adds little but the title (h1) stands for it.
+
+The result are these subtrees in page order. Names choose nothing; they take away: an element whose role is
+told by name is neither a core nor a part, and goes where it lies inside of one. These are navigation,
+headers of the page, footers, sidebars, notices, adverts, forms, scripts, styles and comment sections. A
+class or role tells it by a whole token that is made of ROLES and words for boxes alone ("top-menu", but
+not "side-effects"), an id likewise, and only that of a container: headings and sections have anchors.
+Words that articles use too (MAYBE: "share", "discussion") tell it only of elements that are links for the
+most part, or hold nothing but controls.
 
 Inside the main text, character references are decoded, white space becomes one space, and blocks are
 joined by line ends in page order.
 
 Defined results: null or empty html, or a page without main text, has an empty text; a page in which
-nothing has a positive density (links alone) has no main text. Rows are independent, whatever their order or repetition; other columns than page_id, url and html are
+nothing has a positive density (links alone) has no main text. One page is held at once. Rows are independent, whatever their order or repetition; other columns than page_id, url and html are
 ignored.
 """
 
@@ -62,12 +71,18 @@ SCOPES = frozenset("article section main div table td th ul ol body html aside n
 INLINE = frozenset("b i em strong a span u s small big font code sub sup mark label cite q abbr tt kbd var time".split())
 #: Words of class, id and role that tell an element's part in the page.
 ROLES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager sidebar side aside widget footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended trending comment comments commentlist disqus reply replies respond discussion contentinfo complementary search skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager sidebar aside widget footer foot masthead topbar toolbar cookie cookies consent gdpr notification popup modal overlay newsletter signup login comment comments commentlist disqus reply replies contentinfo".split()
 )
+#: Words that tell a role of links and controls only.
+MAYBE = frozenset("promotion banner side notice notices alert subscribe subscription share sharing social related recommended trending respond discussion complementary search skip".split())
 #: Words that tell no role, but stand beside one.
 BOXES = frozenset("area bar block body bottom box button buttons container content group header holder inner item items left link links list main outer page panel primary right row secondary section site top wrap wrapper".split())
 #: Elements whose id may tell a role.
 CONTAINERS = frozenset("div ul ol dl table tbody tr td".split())
+#: How dense an element must be, compared with the core, to join the main text.
+KEPT = 0.5
+#: The part of the core's density sum that a further subtree needs.
+SHARE = 0.25
 #: Characters by which a larger element may exceed what density has found.
 TIE = 100
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
@@ -77,45 +92,48 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "role", "children", "parent", "chars", "tags", "link_chars", "link_tags", "noise", "density", "total", "best", "kids", "titles")
+    __slots__ = ("tag", "role", "maybe", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "kids", "titles")
 
-    def __init__(self, tag: str, role: bool, parent: Node | None):
-        self.tag, self.role, self.parent = tag, role, parent
+    def __init__(self, tag: str, role: bool, parent: Node | None, maybe: bool = False):
+        self.tag, self.role, self.parent, self.maybe = tag, role, parent, maybe
         self.children: list = []  # of Node and str
         self.kids: list[Node] = []  # children that show text
-        self.chars = self.tags = self.link_chars = self.link_tags = self.noise = self.titles = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.titles = 0
         self.density = self.total = 0.0
         self.best: Node = self
 
 
-def _tells(value: str) -> bool:
+def _tells(value: str, names: frozenset) -> bool:
     """Whether a token of the value names a role, and nothing else."""
     for token in value.split():
         words = {w.lower() for w in _WORDS.findall(token)}
-        if not ROLES.isdisjoint(words) and words <= ROLES | BOXES:
+        if not names.isdisjoint(words) and words <= ROLES | MAYBE | BOXES:
             return True
     return False
 
 
-def _has_role(tag: str, attributes: str) -> bool:
-    """Whether names tell that the element is not part of the main text."""
+def _has_role(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether names tell that the element is not part of the main text, or may not be."""
     if tag in BOILERPLATE or tag in RAW:
-        return True
+        return True, False
     if not attributes or attributes.isspace():
-        return False
+        return False, False
+    maybe = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif (name in ("class", "role") and tag not in ("html", "body", "article", "main", "p", "h1") or name == "id" and tag in CONTAINERS) and _tells(value):
-            return True
+                return True, False
+        elif name in ("class", "role") and tag not in ("html", "body", "article", "main", "p", "h1") or name == "id" and tag in CONTAINERS:
+            if _tells(value, ROLES):
+                return True, False
+            maybe = maybe or _tells(value, MAYBE)
         elif name in ("class", "id") and tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(w.lower() for w in _WORDS.findall(value)):
-            return True
-    return False
+            return True, False
+    return False, maybe
 
 
 def parse(page: str) -> Node:
@@ -153,7 +171,8 @@ def parse(page: str) -> Node:
             if up.tag in SCOPES:
                 break
             up = up.parent
-        child = Node(tag, _has_role(tag, attributes), node)
+        role, maybe = _has_role(tag, attributes)
+        child = Node(tag, role, node, maybe)
         node.children.append(child)
         if tag in OPAQUE:
             end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
@@ -177,7 +196,7 @@ def _nodes(root: Node) -> list[Node]:
 
 
 def _dropped(node: Node) -> bool:
-    if node.role:
+    if node.role or node.maybe and 2 * node.link_chars >= node.chars:
         return True
     if node.tag == "header":
         up = node.parent
@@ -188,7 +207,7 @@ def _dropped(node: Node) -> bool:
 
 
 def measure(nodes: list[Node]) -> None:
-    """Counts, densities and density sums of elements that come parents first."""
+    """Counts, densities and density sums of elements that come parents first, the body before all."""
     for node in reversed(nodes):
         node.chars = sum(len(_SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
         for c in node.kids:
@@ -196,21 +215,16 @@ def measure(nodes: list[Node]) -> None:
             node.tags += c.tags + 1
             node.link_chars += c.link_chars
             node.link_tags += c.link_tags + (c.tag == "a")
-            node.noise += c.noise
             node.titles += c.titles + (c.tag == "h1")
-        if _dropped(node):
-            node.noise = node.link_chars = node.chars
-            node.link_tags = max(1, node.tags)
-        elif node.tag == "a":
+        if node.tag == "a":
             node.link_chars = node.chars
     body = nodes[0]
     share = body.link_chars / max(1, body.chars)
     for node in reversed(nodes):
         node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
-        node.total = sum(k.density for k in node.kids)
-        node.best = max([node, *(k.best for k in node.kids)], key=lambda n: n.total)
-        if not node.best.total and node.density:
-            node.best = node
+    for node in reversed(nodes):
+        node.total = sum(k.density for k in node.kids if k.density > body.density and k.tag not in INLINE)
+        node.best = max([node, *(k.best for k in node.kids if not _dropped(k))], key=lambda n: n.total)
 
 
 def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
@@ -228,27 +242,39 @@ def _seen(node: Node) -> list[Node]:
 
 
 def _plain(node: Node) -> int:
-    return node.chars - node.noise
-
-
-def _path(node: Node) -> list[Node]:
-    path = []
-    while node is not None:
-        path.append(node)
-        node = node.parent
-    return path[::-1]
+    return node.chars - node.link_chars
 
 
-def _around(a: Node, b: Node) -> Node:
-    """The smallest element that holds both."""
-    above = set(map(id, _path(a)))
-    while id(b) not in above:
-        b = b.parent
-    return b
+def _standing(nodes: list[Node]) -> list[Node]:
+    """Elements that no name takes away, with all around them."""
+    gone: set[int] = set()
+    out = []
+    for node in nodes:
+        if id(node.parent) in gone or _dropped(node):
+            gone.add(id(node))
+        else:
+            out.append(node)
+    return out
 
 
-def main_element(root: Node) -> Node | None:
-    """The element of the main text, None if the page has no text."""
+def _core(body: Node, standing: list[Node]) -> Node | None:
+    """The element of the largest density sum, or the densest where no child is denser than the body."""
+    if not standing:
+        return None
+    if body.best.total:
+        part = max((k.best for k in body.kids if not _dropped(k)), key=lambda n: n.total, default=body)
+        around = part
+        while around.parent is not body and around is not body:
+            around = around.parent
+        others = body.total - (around.density if around.density > body.density else 0)
+        return part if part is not body and part.total >= others and part.total else body
+    # Of equally dense ones the innermost: parents come first.
+    densest = max(reversed(standing), key=lambda n: n.density)
+    return densest if densest.density else None
+
+
+def main_elements(root: Node) -> list[Node]:
+    """The subtrees of the main text in page order; none if the page has no text."""
     body = root
     for c in _seen(root):
         if c.tag == "html":
@@ -258,30 +284,34 @@ def main_element(root: Node) -> Node | None:
             body = c
     nodes = _nodes(body)
     measure(nodes)
-    core = body.best
-    way = _path(core)
-    threshold = min(n.density for n in way[way.index(body) :])
-    if not core.density and not core.total:
-        return None
-    found, stack = {id(core): core}, [body]
-    while stack:
-        node = stack.pop()
-        if node.density >= threshold and node.density:
-            found[id(node.best)] = node.best
-        if id(node) not in found:
-            stack.extend(node.kids)
-    whole = core
-    for n in found.values():
-        whole = _around(whole, n)
-    for n in reversed(_path(core)):
-        if n.tag in ("article", "main") and (n.tag == "main" or _plain(n) * 2 >= _plain(whole)) and _plain(n) <= 2 * max(_plain(m) for m in found.values()) + TIE:
-            return n
-    # A text run or an inline element stands for the block around it.
-    while whole is not body and whole.tag not in BLOCKS or whole.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li"):
-        if whole is body:
-            break
+    standing = _standing(nodes)
+    core = _core(body, standing)
+    if core is None:
+        return []
+    whole, up = core, core
+    while up is not body and up.parent is not body:
+        up = up.parent
+        if up.density >= KEPT * core.density and up.density > body.density:
+            whole = up
+    # An inline element stands for the block around it.
+    while whole is not body and whole.tag not in BLOCKS:
         whole = whole.parent
-    return _with_title(whole, body)
+    whole = _with_title(whole, body)
+    inside: set[int] = set()
+    around = whole
+    while around is not None:
+        inside.add(id(around))
+        around = around.parent
+    found, taken = [], set()
+    for node in standing:
+        if node is whole or id(node.parent) in taken:
+            taken.add(id(node))
+            if node is whole:
+                found.append(node)
+        elif id(node) not in inside and node.density >= KEPT * core.density and node.best.total and node.best.total >= SHARE * core.total:
+            taken.add(id(node))
+            found.append(node.best)
+    return found
 
 
 def _with_title(element: Node, body: Node) -> Node:
@@ -333,8 +363,7 @@ def text_of(element: Node) -> str:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    element = main_element(parse(page))
-    return text_of(element) if element is not None else ""
+    return "\n".join(t for t in map(text_of, main_elements(parse(page))) if t)
 
 
 TEXTS = "page_id long, url string, text string, n_chars long"

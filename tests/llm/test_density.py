@@ -35,9 +35,10 @@ def plain(tree):
         return c / t * max(0.0, math.log(odds) / math.log(c / max(1, c - lc) * lc + share * c + math.e))
 
     out = []
+    page = density(tree)
 
     def walk(node):
-        out.append((*counts(node), density(node), sum(density(k) for k in node[1] if not isinstance(k, str))))
+        out.append((*counts(node), density(node), sum(density(k) for k in node[1] if not isinstance(k, str) and density(k) > page and k[0] not in ("b", "span", "a"))))
         for k in node[1]:
             if not isinstance(k, str):
                 walk(k)
@@ -83,11 +84,86 @@ def test_pages_without_any_name():
     assert htmltext.main_text(page) == "\n".join(["Title", *[WORDS] * 5])
 
 
-def test_without_density_there_is_no_main_text(monkeypatch):
-    pages = [PAGE.format(f"<p>{WORDS}</p>" * n) for n in (1, 3, 9)] + [f"<article><h1>T</h1><p>{WORDS}</p></article>", f"<main><p>{WORDS}</p></main>"]
-    with_it = [htmltext.main_text(p) for p in pages]
-    monkeypatch.setattr(htmltext, "density", lambda *counts: 0.0)
-    assert all(with_it) and not any(htmltext.main_text(p) for p in pages)
+def plain_core(tree):
+    """Path of the core of a tree without names: largest sum of parts, by recursion over (tag, children)."""
+    told = plain(tree)
+    places, at = {}, iter(range(len(told)))
+
+    def walk(node, path):
+        places[path] = told[next(at)]
+        for i, k in enumerate(node[1]):
+            if not isinstance(k, str):
+                walk(k, (*path, i))
+
+    walk(tree, ())
+    density, total = ({p: v[i] for p, v in places.items()} for i in (4, 5))
+    if not any(total.values()):
+        best = max(density.values())
+        return max(p for p in density if density[p] == best) if best else None
+    parts = [p for p in places if p]
+    if not parts:
+        return ()
+    part = max(sorted(parts), key=lambda p: total[p])
+    others = total[()] - (density[part[:1]] if density[part[:1]] > density[()] else 0)
+    return part if total[part] and total[part] >= others else ()
+
+
+def test_core_of_small_trees():
+    rng = random.Random(4)
+    found = set()
+    for _ in range(400):
+        tree = grown(rng)
+        root = built(tree)
+        nodes = htmltext._nodes(root)
+        htmltext.measure(nodes)
+        core = htmltext._core(root, htmltext._standing(nodes))
+        want = plain_core(tree)
+        if want is None:
+            assert core is None
+            continue
+        node = root
+        for i in want:
+            node = node.children[i]
+        assert core is node or (round(core.total, 9), round(core.density, 9)) == (round(node.total, 9), round(node.density, 9))
+        found.add(len(want))
+    assert len(found) > 2
+
+
+def _pages():
+    import pyarrow.parquet as pq
+
+    from ..conftest import DATA
+
+    return [p for p in pq.read_table(f"{DATA}/pages.parquet").column("html").to_pylist() if p]
+
+
+def test_density_finds_what_names_are_not_needed_for(monkeypatch):
+    """Ablations on the whole table: without names few pages change, without density most do."""
+    pages = _pages()
+    whole = [htmltext.main_text(p) for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(htmltext, "ROLES", frozenset())
+        m.setattr(htmltext, "MAYBE", frozenset())
+        m.setattr(htmltext, "BOILERPLATE", frozenset({"head"}))
+        assert sum(htmltext.main_text(p) != w for p, w in zip(pages, whole)) < len(pages) / 10
+    for formula in (lambda *counts: 0.0, lambda *counts: 1.0):
+        with monkeypatch.context() as m:
+            m.setattr(htmltext, "density", formula)
+            assert sum(htmltext.main_text(p) != w for p, w in zip(pages, whole)) > len(pages) / 2
+
+
+def test_words_of_articles_tell_a_role_of_links_only():
+    long = " ".join(["word"] * 60)
+    kept = {f"<section class='discussion'><h2>Discussion</h2><p>{long}</p></section>": f"Discussion\n{long}", f"<section class='search'><p>{long}</p></section>": long, "<div class='share'><p>Price of one share was ten.</p></div>": "Price of one share was ten.", "<div class='share'><a href=1>Send</a> <a href=2>Post</a></div>": "", "<div class='related'><a href=1>Another story</a></div>": ""}
+    for inside, text in kept.items():
+        page = f"<body><nav><a href=1>x</a></nav><article><h1>T</h1><p>{long}</p>{inside}<p>{long}</p></article></body>"
+        assert htmltext.main_text(page) == "\n".join(x for x in ("T", long, text, long) if x)
+
+
+def test_parts_of_one_article_come_together():
+    part = f"<p>{WORDS}</p>" * 4
+    for page in (f"<body><nav><a href=1>Home</a></nav><section>{part}</section><section>{part}</section><footer>Imprint</footer></body>", f"<body><div><a href=1>Home</a> <a href=2>News</a></div><div class='page'><div>{part}</div><div>{part}</div></div></body>"):
+        assert htmltext.main_text(page) == "\n".join([WORDS] * 8)
 
 
 def test_an_article_is_not_taken_by_its_name_alone():
