@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -433,8 +434,6 @@ def _backup(c):
 
 
 def _fresh(root: str) -> str:
-    from uuid import uuid4
-
     return f"{root}/{uuid4().hex}"
 
 
@@ -471,8 +470,10 @@ def _export_collections(c):
 
 @register("import_document", "SELECT 'tag' AS section, content_hash AS place, fold AS value FROM tagged UNION ALL SELECT 'rating', content_hash, rating::VARCHAR FROM ratings UNION ALL SELECT 'comment', content_hash, body FROM comments UNION ALL SELECT 'item ' || c.name, i.content_hash, (row_number() OVER (PARTITION BY c.id ORDER BY i.position, i.content_hash) - 1)::VARCHAR FROM collections c JOIN collection_items i ON i.collection_id = c.id")
 def _import_document(c):
-    """The whole export, read into an empty catalogue."""
-    document = export.parse_export(c.spark, export.export_json(c))
+    """The whole export as one file, read into an empty catalogue in ranges of 16 KB."""
+    path = f"{shared_folder(c.spark)}/export-{uuid4().hex}.json"
+    export.write_export(c, path)
+    document = export.read_export(c.spark, path, 1 << 14)
     new = export.import_export(catalog.empty(c.spark), document)
     tags = new.file_tags.join(new.tags, F.col("tag_id") == F.col("id")).select(F.lit("tag").alias("section"), F.col("content_hash").alias("place"), fn.ascii_fold("name").alias("value"))
     ratings = new.ratings.select(F.lit("rating").alias("section"), F.col("content_hash").alias("place"), F.col("rating").cast("string").alias("value"))

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import uuid
+from functools import reduce
+
+import pandas as pd
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.columns import ascii_fold, sidecar_path, xml_escape
-from ..plans.components import written
+from ..plans.components import shared_folder, written
+from ..sources import json_split
 from ..sources.catalog import Catalog
 from ..sources.schema import conform
+from ..sources.shared_files import located, replacing
 from . import annotate
 
 EXPORT_VERSION = 2
@@ -28,6 +36,8 @@ EXPORT = StructType(
         StructField("collections", _list(name=StringType(), kind=StringType(), query=StringType(), items=ArrayType(StringType()))),
     ]
 )
+#: The document's lists, in their order.
+SECTIONS = ("file_tags", "ratings", "comments", "collections")
 #: Replaces a name as toolkit in sidecars.
 TOOLKIT = "quillmark"
 
@@ -61,60 +71,78 @@ def export_rows(catalog: Catalog) -> DataFrame:
     return out
 
 
+def export_lines(catalog: Catalog) -> DataFrame:
+    """The document's text as rows (part, step, place, line), which follow each other in this order."""
+    rows = export_rows(catalog)
+    number = reduce(lambda found, it: F.when(F.col("section") == it[1], it[0]).otherwise(found), enumerate(SECTIONS, 1), F.lit(0))
+    first = rows.groupBy("section").agg(F.min("place").alias("first"))
+    told = rows.join(F.broadcast(first), "section").select(number.alias("part"), F.lit(1).alias("step"), "place", F.concat(F.when(F.col("place") == F.col("first"), "").otherwise(","), "entry").alias("line"))
+    frame = [(0, 0, "", f'{{"version":{EXPORT_VERSION}'), (len(SECTIONS) + 1, 0, "", "}")]
+    frame += [(i, step, "", text) for i, name in enumerate(SECTIONS, 1) for step, text in ((0, f',"{name}":['), (2, "]"))]
+    return told.unionByName(catalog.spark.createDataFrame(frame, told.schema))
+
+
 def export_json(catalog: Catalog) -> str:
-    """The document as one string, for libraries that a single file can hold; see write_export."""
-    return "".join(_document(r for r in export_rows(catalog).orderBy("section", "place").toLocalIterator()))
+    """The document as one string, for small libraries; see write_export."""
+    return "".join(r["line"] for r in export_lines(catalog).orderBy("part", "step", "place").collect())
 
 
 def write_export(catalog: Catalog, path: str) -> None:
-    """The document streamed into a local file, an entry at a time."""
-    with open(path, "w", encoding="utf-8") as file:
-        for text in _document(export_rows(catalog).orderBy("section", "place").toLocalIterator()):
-            file.write(text)
+    """The document as one file, a line for each entry, at a path that executors see.
 
+    The lines are sorted and written as part files by many tasks; one task then streams these, in order,
+    into the file, which takes the path's place when it is complete.
+    """
+    spark = catalog.spark
+    order = ("part", "step", "place")
+    folder = f"{shared_folder(spark)}/quillmark/{uuid.uuid4().hex}-export"
+    # Written first: sampling for the ranges would make the rows once more.
+    lines = written(export_lines(catalog), "export-lines")
+    laid = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    laid.select("line").write.text(folder)
+
+    def joined(frames):
+        for _ in frames:
+            fs, at = located(folder)
+            parts = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.base_name.startswith("part-"))
+            with replacing(path) as out:
+                for part in parts:
+                    with fs.open_input_stream(part) as source:
+                        while block := source.read(1 << 20):
+                            out.write(block)
+            yield pd.DataFrame({"parts": [len(parts)]})
 
-def _document(rows):
-    """Text of the document from rows ordered by section and place."""
-    seen: list[str] = []
-    yield f'{{"version":{EXPORT_VERSION}'
-    for row in rows:
-        if row["section"] not in seen:
-            yield ("]" if seen else "") + f',"{row["section"]}":['
-            seen.append(row["section"])
-        else:
-            yield ","
-        yield row["entry"]
-    yield "]" if seen else ""
-    for name in ("file_tags", "ratings", "comments", "collections"):
-        if name not in seen:
-            yield f',"{name}":[]'
-    yield "}"
+    spark.range(1, numPartitions=1).mapInPandas(joined, "parts long").collect()
 
 
-def read_export(spark, path: str) -> DataFrame:
-    """One row of the export's schema; absent lists (comments of version 1) are empty."""
-    return spark.read.schema(EXPORT).json(path, multiLine=True)
+def read_export(spark: SparkSession, path: str, range_bytes: int = json_split.RANGE_BYTES) -> DataFrame:
+    """The entries (section, ord, entry) of a document's lists, read in ranges by many tasks."""
+    return json_split.entries(spark, path, range_bytes)
 
 
-def parse_export(spark, text: str) -> DataFrame:
-    return spark.createDataFrame([(text,)], "t string").select(F.from_json("t", EXPORT, {"mode": "FAILFAST"}).alias("e")).select("e.*")
+def parse_export(spark: SparkSession, text: str) -> DataFrame:
+    """As read_export, for a document that is at hand; other than JSON is an error."""
+    document = json.loads(text)
+    rows = [(name, i, json.dumps(entry)) for name in SECTIONS for i, entry in enumerate(document.get(name) or [])]
+    return spark.createDataFrame(rows, json_split.ENTRIES)
 
 
 def import_export(catalog: Catalog, document: DataFrame) -> Catalog:
-    """Merge a document; nothing is deleted.
+    """Merge a document's entries (section, ord, entry as JSON); nothing is deleted.
 
     Tags are created as needed and kept where they are; ratings and comments overwrite values only;
-    collections are always appended. A rating outside 0..5 rejects the whole document.
+    collections are always appended. A rating outside 0..5, or an entry that is no object of its section's
+    form, rejects the whole document. Lists that are absent (comments of version 1) are empty.
     """
-    document = written(document, "import")
-    entries = lambda name: document.select(F.posexplode(F.col(name)).alias("ord", "e"))
+    parsed = {f.name: f.dataType.elementType for f in EXPORT if f.name != "version"}
+    entries = lambda name: document.filter(F.col("section") == name).select("ord", F.from_json(F.when(F.col("section") == name, F.col("entry")), parsed[name], {"mode": "FAILFAST"}).alias("e"))
     ratings = entries("ratings").select("e.content_hash", "e.rating")
     if not ratings.filter(~F.coalesce(F.col("rating").between(0, 5), F.lit(False))).isEmpty():
         raise ValueError("a rating is outside 0..5")
-    tagged = entries("file_tags").select("ord", "e.content_hash", F.posexplode("e.tags").alias("nth", "name"))
+    tagged = written(entries("file_tags").select("ord", "e.content_hash", F.posexplode("e.tags").alias("nth", "name")), "import-tags")
     fold = ascii_fold("name")
-    first = F.row_number().over(Window.partitionBy("fold").orderBy("ord", "nth"))
-    new = tagged.withColumn("fold", fold).withColumn("n", first).filter("n = 1").join(catalog.tags.select(fold.alias("fold")), "fold", "left_anti")
+    # The first spelling of each name, by partial minima: a name that most files have is no hot task.
+    new = tagged.groupBy(fold.alias("fold")).agg(F.min(F.struct("ord", "nth", "name")).alias("one")).select("fold", "one.*").join(catalog.tags.select(fold.alias("fold")), "fold", "left_anti")
     added = annotate.next_ids(catalog.tags, new.select("ord", "nth", "name"), F.col("ord"), F.col("nth")).select("id", "name")
     tags = written(catalog.tags.unionByName(added), "tags")
     ids = tags.select(fold.alias("fold"), F.col("id").alias("tag_id"))
@@ -176,16 +204,15 @@ def write_selected_sidecars(catalog: Catalog, selection: DataFrame) -> tuple[int
 
 
 def _write_sidecars(packets: DataFrame) -> int:
+    """A lost or repeated task leaves whole packets: each takes its sidecar's place when it is complete."""
 
     def write(frames):
-        import pandas as pd
-
         for frame in frames:
             done = 0
             for sidecar, packet in zip(frame["sidecar"], frame["packet"], strict=True):
                 try:
-                    with open(sidecar, "w", encoding="utf-8") as file:
-                        file.write(packet)
+                    with replacing(sidecar) as file:
+                        file.write(packet.encode())
                     done += 1
                 except OSError:
                     continue

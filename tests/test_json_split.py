@@ -1,0 +1,96 @@
+"""Documents split by byte ranges against a JSON parser."""
+
+from __future__ import annotations
+
+import json
+import random
+
+import pytest
+
+from quillmark.operators import export
+from quillmark.sources import json_split, shared_files
+from quillmark.sources.catalog import empty
+
+TEXTS = ["", "a", 'quote " and \\ back', "\\\\\\", '\\"', "{[}]", "é 😀", '","ratings":[{', "x" * 300, "\n\t"]
+
+
+def made(rng) -> dict:
+    text = lambda: rng.choice(TEXTS) + rng.choice(TEXTS)
+    entry = lambda: {"content_hash": text(), "tags": [text() for _ in range(rng.randrange(4))], "more": {"deep": [{"x": text()}]}}
+    return {"version": 2, "file_tags": [entry() for _ in range(rng.randrange(6))], "meta": {"a": {"b": [{"c": 1}]}, "text": text()}, "ratings": [{"content_hash": text(), "rating": rng.randrange(6)} for _ in range(rng.randrange(9))], "nested": [[{"no": 1}], 5, None], 'odd " key': [{"k": text()}], "comments": []}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_every_range_size_gives_the_same_objects(tmp_path, seed):
+    rng = random.Random(seed)
+    document = made(rng)
+    path = tmp_path / "d.json"
+    path.write_text(json.dumps(document, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])), encoding="utf-8")
+    total = path.stat().st_size
+    want = [(k, e) for k, v in document.items() if isinstance(v, list) for e in v if isinstance(e, dict)]
+    for size in (1, 2, 3, 7, 64, 1000, total, total + 5):
+        parity = depth = 0
+        got, lists = [], []
+        for start in range(0, total, size):
+            data = json_split.np.frombuffer(shared_files.read_range(str(path), start, size), json_split.np.uint8)
+            quotes, outside, _, inside, _ = json_split.summary(data, json_split._carried(str(path), start))
+            for kind, place, text in json_split.split_range(str(path), start, size, parity, depth):
+                (lists if kind == "list" else got).append((place, text))
+            depth += inside if parity else outside
+            parity ^= quotes % 2
+        assert (parity, depth) == (0, 0)
+        named = [(next((json.loads(f'"{k}"') for p, k in reversed(lists) if p < place), None), json.loads(text)) for place, text in got]
+        assert [(k, e) for k, e in named if k] == want, size
+
+
+def test_rows(spark, tmp_path):
+    rng = random.Random(9)
+    document = made(rng) | {"ratings": [{"content_hash": f"h{i}", "rating": i % 6} for i in range(500)]}
+    path = tmp_path / "d.json"
+    path.write_text(json.dumps(document))
+    got = json_split.entries(spark, str(path), 512)
+    rows = got.orderBy("ord").collect()
+    assert [json.loads(r.entry) for r in rows if r.section == "ratings"] == document["ratings"]
+    assert [json.loads(r.entry) for r in rows if r.section == "file_tags"] == document["file_tags"]
+    for text in ("{", '{"ratings":[{"a":1}]', '{"a":"b}', "}{", '{"a":1}}'):
+        path.write_text(text)
+        with pytest.raises(ValueError):
+            json_split.entries(spark, str(path), 3)
+    path.write_text("")
+    assert json_split.entries(spark, str(path)).count() == 0
+    with pytest.raises(FileNotFoundError):
+        json_split.entries(spark, str(tmp_path / "none"))
+
+
+def test_a_large_document_in_many_tasks(spark, tmp_path):
+    """Round trip of some megabytes: many ranges, an object longer than a range, one file at the end."""
+    n = 20_000
+    hashes = [f"hash {i:05d} \" \\ {'é' * (i % 7)}" for i in range(n)]
+    rows = [("ratings", i, json.dumps({"content_hash": h, "rating": i % 6})) for i, h in enumerate(hashes)]
+    rows += [("file_tags", i, json.dumps({"content_hash": h, "tags": ["A", "b"]})) for i, h in enumerate(hashes[:500])]
+    rows += [("collections", 0, json.dumps({"name": "all", "kind": "catalog", "query": None, "items": hashes}))]
+    c = export.import_export(empty(spark), spark.createDataFrame(rows, json_split.ENTRIES))
+    path = str(tmp_path / "e.json")
+    export.write_export(c, path)
+    export.write_export(c, path)  # takes the other's place
+    assert [p.name for p in tmp_path.iterdir()] == ["e.json"]
+    with open(path, encoding="utf-8") as file:
+        document = json.load(file)
+    assert {r["content_hash"]: r["rating"] for r in document["ratings"]} == {h: i % 6 for i, h in enumerate(hashes)}
+    read = export.read_export(spark, path, 1 << 14)
+    assert read.groupBy("section").count().count() == 3 and read.rdd.getNumPartitions() >= 1
+    again = export.import_export(empty(spark), read)
+    assert again.ratings.count() == n and again.collection_items.count() == n and again.file_tags.count() == 1000
+    assert again.collection_items.filter("position = 777").first()["content_hash"] == hashes[777]
+
+
+def test_replacing_leaves_the_old_file_or_the_new(tmp_path):
+    path = tmp_path / "a.xmp"
+    path.write_text("old")
+    with pytest.raises(RuntimeError), shared_files.replacing(str(path)) as out:
+        out.write(b"half")
+        raise RuntimeError
+    assert path.read_text() == "old" and len(list(tmp_path.iterdir())) == 1
+    with shared_files.replacing(f"file://{path}") as out:
+        out.write(b"new")
+    assert path.read_text() == "new" and len(list(tmp_path.iterdir())) == 1
