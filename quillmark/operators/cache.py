@@ -1,14 +1,23 @@
-"""Eviction plans and lookups of thumbnail caches."""
+"""Thumbnail caches: what is stored, looked up, touched and evicted."""
 
 from __future__ import annotations
 
+import os
 from collections import OrderedDict
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import BUCKETS, cache_key, is_current, is_shareable
+from ..functions.columns import BUCKETS, bucket_pixels, cache_key, is_current, is_shareable, thumbnail_path
+from ..functions.pixels import add_text_chunks, encode_png, raster, resize
 from ..plans.ranking import running_total
+from ..sources.shared_files import write_files
+
+#: A thumbnail that was used is marked so at most once in so many seconds.
+TOUCH_AFTER = 6 * 3600
 
 
 def evictions(entries: DataFrame, cap: int) -> DataFrame:
@@ -47,6 +56,68 @@ def cached_thumbnails(files: DataFrame, listing: DataFrame) -> DataFrame:
     return keyed.select(*files.columns, place.alias("found_in"))
 
 
+def thumbnails(rasters: DataFrame, private: str, shared: str) -> DataFrame:
+    """(path, content) of the thumbnail files of rasters (uri, path, mtime, target, data, width, height).
+
+    A thumbnail is a PNG no longer than its bucket's edge that tells its source and the source's time. It
+    goes to the private cache, and to the shared one if its source may be seen there; malformed rasters
+    give none.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                image = None if r.data is None else raster(bytes(r.data), int(r.width), int(r.height))
+                if image is not None:
+                    png = encode_png(np.ascontiguousarray(resize(image, int(r.pixels))))
+                    out.append((r.place, bool(r.shareable), add_text_chunks(png, [("Thumb::URI", r.uri), ("Thumb::MTime", str(int(r.mtime)))])))
+            yield pd.DataFrame(out, columns=["place", "shareable", "content"])
+
+    given = rasters.select("uri", "mtime", "data", "width", "height", bucket_pixels("target").cast("long").alias("pixels"), thumbnail_path("uri", F.col("target")).alias("place"), F.coalesce(is_shareable("path"), F.lit(False)).alias("shareable"))
+    made = given.mapInPandas(run, "place string, shareable boolean, content binary")
+    roots = F.filter(F.array(F.struct(F.lit(True).alias("to"), F.lit(private).alias("root")), F.struct(F.col("shareable").alias("to"), F.lit(shared).alias("root"))), lambda r: r["to"])
+    return made.select("place", "content", F.explode(roots).alias("r")).select(F.concat("r.root", F.lit("/"), "place").alias("path"), "content")
+
+
+def store_thumbnails(rasters: DataFrame, private: str, shared: str) -> int:
+    """Write the thumbnails of rasters; how many files were written. A thumbnail is there as a whole or not at all."""
+    return write_files(thumbnails(rasters, private, shared)).filter("written").count()
+
+
+def read_thumbnails(files: DataFrame, private: str, shared: str, now: int | None = None) -> DataFrame:
+    """(uri, found_in, content) of files (uri, path, mtime, target): the shared cache's thumbnail, else the private one's.
+
+    A thumbnail counts if it is not older than its source. With ``now`` the private one's time becomes now
+    if it was last used TOUCH_AFTER before: evictions go by it. Null where the source must be decoded. The
+    caches are folders that executors see.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                found, content = None, None
+                for name, root, allowed in (("shared", shared, r.shareable), ("private", private, True)):
+                    path = f"{root}/{r.place}"
+                    try:
+                        if not allowed or (seen := int(os.stat(path).st_mtime)) < r.mtime:
+                            continue
+                        with open(path, "rb") as file:
+                            content = file.read()
+                    except OSError:
+                        continue
+                    if name == "private" and now is not None and seen < now - TOUCH_AFTER:
+                        os.utime(path, (now, now))
+                    found = name
+                    break
+                out.append((r.uri, found, content))
+            yield pd.DataFrame(out, columns=["uri", "found_in", "content"])
+
+    given = files.select("uri", "mtime", thumbnail_path("uri", F.col("target")).alias("place"), F.coalesce(is_shareable("path"), F.lit(False)).alias("shareable"))
+    return given.mapInPandas(run, "uri string, found_in string, content binary")
+
+
 class SizedLru:
     """A byte-bounded LRU for driver-side lookups; the newest entry stays even if it is too large."""
 

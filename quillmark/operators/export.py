@@ -17,7 +17,7 @@ from ..plans.components import shared_folder, written
 from ..sources import json_split
 from ..sources.catalog import Catalog
 from ..sources.schema import conform
-from ..sources.shared_files import located, replacing
+from ..sources.shared_files import located, replacing, write_files
 from . import annotate
 
 EXPORT_VERSION = 2
@@ -204,19 +204,5 @@ def write_selected_sidecars(catalog: Catalog, selection: DataFrame) -> tuple[int
 
 
 def _write_sidecars(packets: DataFrame) -> int:
-    """A lost or repeated task leaves whole packets: each takes its sidecar's place when it is complete."""
-
-    def write(frames):
-        for frame in frames:
-            done = 0
-            for sidecar, packet in zip(frame["sidecar"], frame["packet"], strict=True):
-                try:
-                    with replacing(sidecar) as file:
-                        file.write(packet.encode())
-                    done += 1
-                except OSError:
-                    continue
-            yield pd.DataFrame({"written": [done]})
-
     # Written and counted by one job: packets are computed once.
-    return packets.select("sidecar", "packet").mapInPandas(write, "written long").agg(F.coalesce(F.sum("written"), F.lit(0)).alias("n")).first()["n"]
+    return write_files(packets.select(F.col("sidecar").alias("path"), F.encode("packet", "UTF-8").alias("content"))).filter("written").count()

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .edit_queries import _own
 from .functions import pixels
+from .operators import cache
+from .plans.components import shared_folder, written
 from .queries import register
 from .sources import images
 from .sources.catalog import Catalog
@@ -71,6 +74,20 @@ def _hashes(c):
     return images.enriched(pixels.baked(_pictures(c, _ENDINGS))).select("path", "format", "width", "height", "phash")
 
 
+@register("thumbnail_store", f"SELECT 'file://' || path AS uri, CASE WHEN doc_id % 4 = 3 THEN 'private' ELSE 'shared' END AS found_in, CASE WHEN doc_id % 2 = 0 THEN 1200 ELSE 100 END AS target, md5({_bytes_sql('content_hash')}) AS pixels FROM own")
+def _stored(c):
+    """Thumbnails of all pictures, written to both caches and found again; a quarter must not be shared."""
+    root = f"{shared_folder(c.spark)}/caches-{uuid4().hex}"
+    own = _own(c).select(F.concat(F.lit("file://"), "path").alias("uri"), F.when(F.col("doc_id") % 4 == 3, F.lit("/run/user/1/x")).otherwise(F.col("path")).alias("path"), "mtime", F.when(F.col("doc_id") % 2 == 0, 1200).otherwise(100).alias("target"), F.col("content_hash"))
+    size = F.lit(4 * SIDE).cast("long")
+    private, shared = (f"{root}/{name}" for name in ("private", "shared"))
+    cache.store_thumbnails(own.select("*", _picture(F.col("content_hash")).alias("data"), size.alias("width"), size.alias("height")), private, shared)
+    local = lambda path: "/" + path.removeprefix("file:").lstrip("/")
+    found = written(cache.read_thumbnails(own, local(private), local(shared)), "thumbnails-read")
+    pixel = pixels.decoded(found.select(F.col("uri").alias("path"), "content")).select(F.col("path").alias("uri"), F.md5(F.lower(F.hex("data"))).alias("pixels"))
+    return found.select("uri", "found_in").join(pixel, "uri").join(own.select("uri", "target"), "uri").select("uri", "found_in", "target", "pixels")
+
+
 _TURNS = {1: "0123456789abcdef", 3: "fedcba9876543210", 6: "c840d951ea62fb73", 8: "37bf26ae159d048c"}
 
 

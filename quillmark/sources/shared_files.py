@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
 
 
 def located(path: str) -> tuple[pafs.FileSystem, str]:
@@ -53,3 +55,29 @@ def replacing(path: str) -> Iterator:
     except BaseException:
         fs.delete_file(temporary)
         raise
+
+
+def write_files(rows: DataFrame) -> DataFrame:
+    """Write rows (path, content) on the executors, which must see the paths; path and whether it was written.
+
+    Folders are made as needed. Each file takes its path's place when it is complete, so a lost or repeated
+    task leaves whole files only, and a file that cannot be written is told, not raised. Null contents write
+    nothing. The result is computed anew at every use: write it, or count it once.
+    """
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            done = []
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    if content is not None:
+                        fs, at = located(path)
+                        fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                        with replacing(path) as file:
+                            file.write(bytes(content))
+                    done.append(content is not None)
+                except OSError:
+                    done.append(False)
+            yield pd.DataFrame({"path": frame["path"], "written": done})
+
+    return rows.select("path", "content").mapInPandas(write, "path string, written boolean")
