@@ -5,79 +5,86 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import file_name, is_image_path
 from ..functions.hashing import hash_file
+from ..plans.components import written
 
 SCANNED = "path string, size long, mtime long"
-#: The driver lists folders until it knows so many; the rest is listed by tasks.
-FOLDERS = 256
+#: Names that a task lists before it hands the folders that it has not opened to others.
+LISTED = 20_000
+#: Files that a task asks for their size and time.
+ASKED = 2_000
 
 
-def _entries(folder: str, recursive: bool) -> Iterator[os.DirEntry]:
-    """Regular files below a folder; links are not followed, what cannot be read is skipped."""
-    try:
-        with os.scandir(folder) as found:
-            for entry in found:
-                try:
-                    if entry.is_file(follow_symlinks=False):
-                        yield entry
-                    elif recursive and entry.is_dir(follow_symlinks=False):
-                        yield from _entries(entry.path, True)
-                except OSError:
-                    continue
-    except OSError:
-        return
-
-
-def _folders(folder: str) -> list[str]:
-    try:
-        with os.scandir(folder) as found:
-            return sorted(e.path for e in found if e.is_dir(follow_symlinks=False))
-    except OSError:
-        return []
-
+def _listed(folder: str, recursive: bool, most: int) -> Iterator[tuple[str, bool]]:
+    """(path, is_folder) of image files below a folder by their names, and of folders that are left to others.
 
-def walk_images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    No file is asked for more than its kind. Links are not followed, what cannot be read is skipped.
+    """
+    waiting, seen = [folder], 0
+    while waiting and seen < most:
+        try:
+            with os.scandir(waiting.pop()) as found:
+                for entry in found:
+                    seen += 1
+                    try:
+                        if entry.is_file(follow_symlinks=False):
+                            yield entry.path, False
+                        elif recursive and entry.is_dir(follow_symlinks=False):
+                            waiting.append(entry.path)
+                    except OSError:
+                        continue
+        except OSError:
+            continue
+    for left in waiting:
+        yield left, True
+
+
+def walk_images(spark: SparkSession, root: str, recursive: bool = True, listed: int = LISTED, asked: int = ASKED) -> DataFrame:
     """path, size and mtime of the image files below a folder that all executors see.
 
-    The tree is taken apart level by level until there are FOLDERS folders, so that a single deep
-    root is many tasks too; each folder found is walked by a task. Hidden files count, links do not;
+    The driver opens nothing. Tasks list names; one that has listed many hands the folders that are left to
+    the next round, where each is a row that any task may take. The files found are dealt out evenly and
+    asked for size and time then, so one flat folder is many tasks too. Hidden files count, links do not;
     files from before 1970 are skipped.
     """
 
-    def rows(folder: str, deep: bool) -> Iterator[tuple]:
-        for entry in _entries(folder, deep):
-            try:
-                info = entry.stat(follow_symlinks=False)
-            except OSError:
-                continue
-            if stat.S_ISREG(info.st_mode) and info.st_mtime >= 0:
-                yield entry.path, info.st_size, int(info.st_mtime)
-
-    root = root.rstrip("/") or "/"
-    folders, flat = [root], []
-    while recursive and folders and len(folders) < FOLDERS and len(flat) < FOLDERS:
-        flat += folders  # their own files only
-        folders = [below for folder in folders for below in _folders(folder)]
-    if not recursive:
-        folders, flat = [], [root]
-    found = spark.createDataFrame([r for folder in flat for r in rows(folder, False)], SCANNED)
-    if folders:
-        parts = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), 1000))
-
-        def run(frames):
-            import pandas as pd
-
-            for frame in frames:
-                for folder in frame["folder"]:
-                    yield pd.DataFrame(list(rows(folder, True)), columns=["path", "size", "mtime"])
-
-        found = found.unionByName(parts.mapInPandas(run, SCANNED))
-    return found.filter(is_image_path("path"))
+    def names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for folder in frame["folder"]:
+                found = _listed(folder, recursive, listed)
+                while part := list(islice(found, 10_000)):
+                    yield pd.DataFrame(part, columns=["path", "is_folder"])
+
+    def facts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path in frame["path"]:
+                try:
+                    info = os.stat(path, follow_symlinks=False)
+                except OSError:
+                    continue
+                if stat.S_ISREG(info.st_mode) and info.st_mtime >= 0:
+                    out.append((path, info.st_size, int(info.st_mtime)))
+            yield pd.DataFrame(out, columns=["path", "size", "mtime"])
+
+    folders = spark.createDataFrame([(root.rstrip("/") or "/",)], "folder string")
+    files, waiting = [], 1
+    while waiting:
+        found = written(folders.repartition(min(waiting, 1000)).mapInPandas(names, "path string, is_folder boolean"), "walk", "is_folder")
+        files.append(found.filter("NOT is_folder").filter(is_image_path("path")).select("path"))
+        folders = found.filter("is_folder").select(F.col("path").alias("folder"))
+        waiting = folders.count()
+    paths = written(reduce(DataFrame.unionByName, files), "walk-files")
+    tasks = max(1, -(-paths.count() // asked))
+    return paths.repartition(tasks).mapInPandas(facts, SCANNED)
 
 
 def collect_images(spark: SparkSession, folder: str) -> DataFrame:

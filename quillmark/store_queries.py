@@ -10,8 +10,10 @@ from .edit_queries import _OPS_STATE, _header_bytes, _ops, op_state
 from .operators import annotate
 from .plans.components import shared_folder
 from .queries import register
+from .sources import walk
 from .sources.catalog import Catalog, Store
 from .sources.schema import SCHEMAS
+from .sources.shared_files import write_files
 from .streaming import oplog
 
 
@@ -58,3 +60,15 @@ def _oplog(c):
         oplog.accepted(f"{root}/ops", ops.filter(part))
         oplog.run_oplog(c.spark, f"{root}/ops", store, f"{root}/state").awaitTermination()
     return op_state(store.open())
+
+
+@register("folder_walk", "SELECT substr(path, 6) || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '.JPG' END AS name, md5(path) AS hash, length(path)::BIGINT AS size FROM own WHERE doc_id % 5 <> 0")
+def _walk(c):
+    """A folder tree with a file for each path of the catalogue, written by tasks and walked by others."""
+    root = f"{shared_folder(c.spark)}/trees/{uuid4().hex}"
+    own = c.files.filter("path LIKE '/lib/%'")
+    name = F.concat(F.lit(root), F.substring("path", 5, 1000), F.when((F.col("id") - 1) % 5 == 0, "").otherwise(".JPG"))
+    write_files(own.select(name.alias("path"), F.encode("path", "UTF-8").alias("content"))).count()
+    local = "/" + root.removeprefix("file:").lstrip("/")
+    found = walk.with_hashes(walk.walk_images(c.spark, local, listed=200, asked=100), "md5")
+    return found.select(F.substring("path", len(local) + 2, 1000).alias("name"), F.col("content_hash").alias("hash"), "size")
