@@ -5,7 +5,6 @@ from __future__ import annotations
 import glob
 import os
 from collections.abc import Callable
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.errors import PythonException
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import file_name, natural_key
+from ..functions.script import MAX_CHARS, Key, ScriptError, read_script
 from ..plans.components import written
 from ..sources.catalog import Catalog
 from .query import hashes_with_tag, present
@@ -82,11 +82,12 @@ def text_key(column: Column) -> Column:
 
 
 class SortKeys:
-    """Named orders: a Column builder, or a Python function of one item's facts.
+    """Named orders: a Column builder, a script's key, or a Python function of one item's facts.
 
-    Registering a name again replaces it in place. Python functions are trusted code; they run in
-    Arrow batches, once for each item, and their keys belong to paths: equal contents may have
-    different names.
+    Registering a name again replaces it in place. Python functions are a program's own, trusted code; they
+    run in Arrow batches, once for each item, and their keys belong to paths: equal contents may have
+    different names. Scripts of users are compiled and can reach nothing but the item; an item whose key is
+    null comes after the others.
     """
 
     def __init__(self):
@@ -102,19 +103,22 @@ class SortKeys:
         (self.native.add if native else self.native.discard)(name)
 
     def load_dir(self, folder: str) -> dict[str, str]:
-        """Run every ``*.py`` of a folder, in order of names, with ``register_sort(name, key)``.
+        """Read every ``*.py`` of a folder, in order of names: calls of ``register_sort(name, key)``.
 
-        Returns the errors by file; the other files still load, and a file that fails leaves no order
-        behind. A folder that is not there holds nothing.
+        Scripts are compiled to Columns (``functions.script``), never run. Returns the errors by file; the
+        other files still load, and a file that fails leaves no order behind. A folder that is not there
+        holds nothing.
         """
         errors: dict[str, str] = {}
         for path in sorted(glob.glob(os.path.join(glob.escape(folder), "*.py"))):
-            before = dict(self.orders), set(self.native)
             try:
-                exec(compile(Path(path).read_text(encoding="utf-8"), path, "exec"), {"register_sort": self.register, "__file__": path})
-            except Exception as error:
-                self.orders, self.native = before
+                with open(path, encoding="utf-8") as file:
+                    found = read_script(path, file.read(MAX_CHARS + 1))
+            except (OSError, UnicodeDecodeError, ScriptError) as error:
                 errors[path] = f"{type(error).__name__}: {error}"
+                continue
+            for name, key in found.items():
+                self.register(name, key, native=True)
         return errors
 
     def field_id(self, name: str) -> str:
@@ -128,6 +132,12 @@ class SortKeys:
     def keyed(self, items: DataFrame, name: str) -> DataFrame:
         """items with the column sort_key."""
         key = self.orders[name]
+        if isinstance(key, Key):
+            value = key(items)
+            if value.kind not in ("num", "str"):
+                raise KeyError_(f"{key.script}: {name}: a key must be a number or a string, not {value.kind}")
+            made = number_key if value.kind == "num" else text_key
+            return items.withColumn("sort_key", F.when(value.column.isNotNull(), made(value.column)))
         if name in self.native:
             return items.withColumn("sort_key", key())
 
@@ -162,6 +172,8 @@ class SortKeys:
         """
         try:
             keyed = written(self.keyed(items, name), "keys")
+        except (KeyError_, ScriptError):
+            return items.orderBy(*grid_order("name", descending))
         except PythonException as error:
             if KeyError_.__name__ not in str(error):
                 raise
