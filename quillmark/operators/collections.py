@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ascii_fold, is_portal_document, looks_like_portal
+from ..plans.components import written
 from ..sources.catalog import Catalog
 from ..sources.schema import FILE_COLUMNS
 from .query import Query, filtered, hashes_with_any, matches, order_of, present, run
@@ -13,8 +14,8 @@ from .query import Query, filtered, hashes_with_any, matches, order_of, present,
 
 def representatives(catalog: Catalog) -> DataFrame:
     """One present file for each content: outside of a sandbox first, then by path."""
-    place = F.row_number().over(Window.partitionBy("content_hash").orderBy(looks_like_portal("path"), "path"))
-    return present(catalog).withColumn("place", place).filter("place = 1").select(*FILE_COLUMNS)
+    best = F.min_by(F.struct(*FILE_COLUMNS), F.struct(looks_like_portal("path"), "path"))
+    return present(catalog).groupBy(F.col("content_hash").alias("_content")).agg(best.alias("file")).select("file.*")
 
 
 def durable_paths(files: DataFrame) -> DataFrame:
@@ -121,8 +122,11 @@ def resolve_drop(catalog: Catalog, dropped: DataFrame) -> DataFrame:
     told = found.select("ord", "path", content.alias("content_hash"), outcome.alias("outcome"))
     # What has no content is a group of its own each, not one large group.
     group = F.coalesce(F.col("content_hash"), F.concat(F.lit("none "), F.col("ord").cast("string")))
-    first = F.row_number().over(Window.partitionBy(group).orderBy("ord")) == 1
-    return told.withColumn("kept", F.col("content_hash").isNotNull() & first)
+    told = written(told.withColumn("_group", group), "dropped")
+    # Partial minima: a content that is dropped many times is one row of them.
+    first = told.groupBy("_group").agg(F.min("ord").alias("_first"))
+    kept = F.col("content_hash").isNotNull() & (F.col("ord") == F.col("_first"))
+    return told.join(first, "_group").withColumn("kept", kept).drop("_group", "_first")
 
 
 def drop_totals(resolved: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import in_subtree
 from ..plans.components import written
+from ..plans.ranking import numbered
 from ..sources.catalog import Catalog, Store
 from ..sources.walk import readable, walk_images, with_hashes
 from . import annotate
@@ -42,9 +43,12 @@ def changes(catalog: Catalog, scanned: DataFrame, root: str, readable: bool = Tr
     gone = deleted(catalog, scanned, root) if readable else catalog.files.select("path").limit(0)
     lost = catalog.files.filter("missing").select("path").unionByName(gone).join(scanned.select("path"), "path", "left_anti")
     sources = catalog.files.join(lost, "path", "left_semi").filter("content_hash != ''").select("content_hash", F.col("path").alias("old_path"))
-    nth = lambda by: F.row_number().over(Window.partitionBy("content_hash").orderBy(by))
-    new = told.filter("change = 'New'").withColumn("n", nth("path"))
-    moved = new.join(sources.withColumn("n", nth("old_path")), ["content_hash", "n"], "left")
+    new = told.filter("change = 'New'")
+    # Only contents of both sides are numbered; empty files may be most of a folder.
+    both = lambda rows, other: numbered(rows.join(other.select("content_hash").distinct(), "content_hash", "left_semi"), "content_hash", F.col(rows.columns[-1]))
+    sources = written(sources, "move-sources")
+    pairs = both(new.select("content_hash", "path"), sources).join(both(sources, new), ["content_hash", "n"]).select("path", "old_path")
+    moved = new.join(pairs, "path", "left")
     columns = ["path", "change", "old_path", "content_hash", "size", "mtime"]
     arrived = moved.withColumn("change", F.when(F.col("old_path").isNotNull(), "Moved").otherwise("New")).select(*columns)
     others = told.filter("change != 'New'").withColumn("old_path", F.lit(None).cast("string")).select(*columns)
@@ -56,6 +60,7 @@ def changes(catalog: Catalog, scanned: DataFrame, root: str, readable: bool = Tr
 
 def apply_scan(catalog: Catalog, told: DataFrame, now: int = 0) -> Catalog:
     """Deletions first, then moves, then upserts of new and modified files."""
+    told = written(told, "scan-told")
     catalog = annotate.mark_missing(catalog, told.filter("change = 'Deleted'"))
     moves = told.filter("change = 'Moved'").select(F.col("old_path").alias("old"), F.col("path").alias("new"), "mtime")
     catalog = annotate.relink_paths(catalog, moves)

@@ -102,3 +102,19 @@ def _turned(c):
     size, none = F.lit(4 * SIDE).cast("long"), F.lit(None).cast("double")
     rasters = _own(c).select("path", _picture(F.col("content_hash")).alias("data"), size.alias("width"), size.alias("height"), (4 * size).alias("stride"), turn.cast("long").alias("orientation"), *[none.alias(n) for n in "xywh"])
     return pixels.transformed(rasters).select("path", F.md5(F.lower(F.hex("data"))).alias("pixels"))
+
+
+@register("picture_headers", "SELECT path, ['SVG', 'TIFF', 'JPEG XL'][1 + doc_id % 3] AS format, CASE doc_id % 3 WHEN 2 THEN 8 * (1 + doc_id % 32) ELSE 1 + doc_id % 200 END AS width, CASE doc_id % 3 WHEN 2 THEN 8 * (1 + doc_id % 32) ELSE 1 + doc_id % 100 END AS height, CASE WHEN doc_id % 3 = 1 AND doc_id % 10 BETWEEN 1 AND 8 THEN doc_id % 10 END AS orientation FROM own")
+def _headers(c):
+    """Drawings, TIFF files with an orientation, and square JPEG XL codestreams, as the enrichment reads them."""
+    number, raw = F.col("doc_id"), lambda text: F.unhex(F.lit(text))
+    width, height = number % 200 + 1, number % 100 + 1
+    svg = F.encode(F.concat(F.lit("<?xml version='1.0'?><svg width='"), width.cast("string"), F.lit("px' height='"), height.cast("string"), F.lit("'/>")), "UTF-8")
+    byte = lambda n: F.unhex(F.lpad(F.hex(n), 2, "0"))
+    entry = lambda tag, n: F.concat(raw(tag + "0300" + "01000000"), byte(n), raw("000000"))
+    tiff = F.concat(raw("49492a0008000000" + "0300"), entry("0001", width), entry("0101", height), entry("1201", number % 10), raw("00000000"))
+    # One bit for sizes in eights, five for the height, and the shape of a square.
+    jxl = F.concat(raw("ff0a"), byte(F.lit(65) + number % 32 * 2), raw("00" * 8))
+    kind = number % 3
+    content = F.when(kind == 0, svg).when(kind == 1, tiff).otherwise(jxl)
+    return images.enriched(_own(c).select("path", content.alias("content"))).select("path", "format", "width", "height", "orientation")

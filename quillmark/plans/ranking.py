@@ -55,3 +55,13 @@ def ranked_top(df: DataFrame, limit: int, *order: Column, name: str = "rank") ->
     if limit > TOP_ROWS:
         return ranked(df, *order, name=name).filter(F.col(name) <= limit)
     return df.orderBy(*order).limit(limit).withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+
+
+def numbered(df: DataFrame, group: str, *order: Column, name: str = "n") -> DataFrame:
+    """df with each row's 1-based place among those of its group: a place in sorted ranges less the group's first.
+
+    A group that holds most of the rows is many ranges, where a window over it would be one task.
+    """
+    placed = ranked(df, F.col(group), *order, name="_place")
+    first = placed.groupBy(group).agg(F.min("_place").alias("_first"))
+    return placed.join(first, group).withColumn(name, F.col("_place") - F.col("_first") + 1).drop("_place", "_first")

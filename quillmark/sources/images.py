@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -135,7 +136,153 @@ def _boxes(data: bytes) -> dict | None:
     if not sizes:
         return None
     width, height = max(sizes, key=lambda s: s[0] * s[1])
-    return {"format": BRANDS[data[8:12]], "width": width, "height": height}
+    return {"format": BRANDS[data[8:12]], "width": width, "height": height} | _media_exif(data)
+
+
+def _children(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(kind, start, end) of the boxes between two places: what stands behind their heads."""
+    while at + 8 <= end:
+        size, kind = struct.unpack_from(">I4s", data, at)
+        head = 8
+        if size == 1:
+            (size,) = struct.unpack_from(">Q", data, at + 8)
+            head = 16
+        stop = end if size == 0 else min(end, at + size)
+        if stop <= at:
+            return
+        yield kind, at + head, stop
+        at = stop
+
+
+def _number(data: bytes, at: int, size: int) -> int:
+    if at + size > len(data):
+        raise struct.error("cut off")
+    return int.from_bytes(data[at : at + size], "big")
+
+
+def _item_of_kind(data: bytes, start: int, end: int, kind: bytes) -> int | None:
+    """The number of the first item of a kind in an ``iinf`` box."""
+    version = data[start]
+    at = start + (6 if version == 0 else 8)
+    for box, a, _ in _children(data, at, end):
+        if box == b"infe" and data[a] >= 2:
+            wide = 4 if data[a] > 2 else 2
+            if data[a + 6 + wide : a + 10 + wide] == kind:
+                return _number(data, a + 4, wide)
+    return None
+
+
+def _item_bytes(data: bytes, start: int, item: int, inside: int | None) -> bytes:
+    """An item's bytes by an ``iloc`` box; inside: where the ``idat`` box's bytes begin."""
+    version = data[start]
+    sizes = [data[start + 4] >> 4, data[start + 4] & 15, data[start + 5] >> 4, data[start + 5] & 15 if version else 0]
+    wide = 4 if version == 2 else 2
+    count, at = _number(data, start + 6, wide), start + 6 + wide
+    for _ in range(count):
+        number, at = _number(data, at, wide), at + wide
+        method = 0
+        if version:
+            method, at = data[at + 1] & 15, at + 2
+        base, at = _number(data, at + 2, sizes[2]), at + 2 + sizes[2]
+        extents, at = _number(data, at, 2), at + 2
+        out = []
+        for _ in range(extents):
+            at += sizes[3]
+            offset, length = _number(data, at, sizes[0]), _number(data, at + sizes[0], sizes[1])
+            at += sizes[0] + sizes[1]
+            place = base + offset + (inside or 0 if method == 1 else 0)
+            out.append(data[place : place + length])
+        if number == item and method in (0, 1) and not (method == 1 and inside is None):
+            return b"".join(out)
+    return b""
+
+
+def _behind_offset(block: bytes) -> dict:
+    """The TIFF block of an EXIF item or box, which begins with the distance to it."""
+    return {"exif": block[4 + _number(block, 0, 4) :]} if len(block) > 8 else {}
+
+
+def _media_exif(data: bytes) -> dict:
+    """The EXIF item of an ISO media file: its number by ``iinf``, its place by ``iloc``."""
+    try:
+        for kind, start, end in _children(data, 0, len(data)):
+            if kind == b"meta":
+                boxes = {k: (a, b) for k, a, b in _children(data, start + 4, end)}
+                item = _item_of_kind(data, *boxes[b"iinf"], b"Exif")
+                if item is not None:
+                    return _behind_offset(_item_bytes(data, boxes[b"iloc"][0], item, boxes.get(b"idat", (None,))[0]))
+    except (struct.error, KeyError, IndexError):
+        pass
+    return {}
+
+
+class _LowBits:
+    """Bits from the lowest of each byte on."""
+
+    def __init__(self, data: bytes):
+        self.value, self.left = int.from_bytes(data, "little"), 8 * len(data)
+
+    def take(self, n: int) -> int:
+        if n > self.left:
+            raise struct.error("cut off")
+        out, self.value, self.left = self.value & (1 << n) - 1, self.value >> n, self.left - n
+        return out
+
+
+#: The shapes (width to height) that a JPEG XL size may name, from 1 on.
+SHAPES = ((1, 1), (12, 10), (4, 3), (3, 2), (16, 9), (5, 4), (2, 1))
+
+
+def _jxl_size(stream: bytes) -> tuple[int, int]:
+    """Width and height of a JPEG XL codestream's header."""
+    bits = _LowBits(stream[2:16])
+    small = bits.take(1)
+    edge = lambda: 8 * (1 + bits.take(5)) if small else 1 + bits.take((9, 13, 18, 30)[bits.take(2)])
+    height = edge()
+    shape = bits.take(3)
+    if not shape:
+        return edge(), height
+    a, b = SHAPES[shape - 1]
+    return height * a // b, height
+
+
+def _jxl(data: bytes) -> dict | None:
+    """A bare codestream, or one in boxes, whole or in parts."""
+    if data[:2] == b"\xff\x0a":
+        width, height = _jxl_size(data)
+        return {"format": "JPEG XL", "width": width, "height": height}
+    found: dict = {}
+    for kind, start, end in _children(data, 0, len(data)):
+        if kind in (b"jxlc", b"jxlp") and "width" not in found:
+            stream = data[start + (4 if kind == b"jxlp" else 0) : end]
+            if stream[:2] == b"\xff\x0a":
+                found["width"], found["height"] = _jxl_size(stream)
+        elif kind == b"Exif":
+            found |= _behind_offset(data[start:end])
+    return found | {"format": "JPEG XL"} if "width" in found else None
+
+
+_SVG = re.compile(r"<(?:\w+:)?svg\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_SVG_SIZE = re.compile(r"(?<![\w:-])(width|height|viewBox)\s*=\s*[\"']\s*([^\"']*?)\s*[\"']")
+#: Pixels of a unit of length.
+UNITS = {"": 1.0, "px": 1.0, "pt": 4 / 3, "pc": 16.0, "in": 96.0, "cm": 96 / 2.54, "mm": 96 / 25.4}
+
+
+def _svg(data: bytes) -> dict | None:
+    """The size that a drawing's root tells in lengths, or by its view box."""
+    root = _SVG.search(data[: 1 << 16].decode("utf-8", "replace"))
+    if root is None:
+        return None
+    told = dict(_SVG_SIZE.findall(root[1]))
+    size = {}
+    box = re.split(r"[\s,]+", told.get("viewBox", ""))
+    for i, name in enumerate(("width", "height")):
+        length = re.fullmatch(r"([0-9]*\.?[0-9]+)\s*([a-z]*)", told.get(name, ""))
+        if length and length[2] in UNITS:
+            size[name] = round(float(length[1]) * UNITS[length[2]])
+        elif len(box) == 4 and re.fullmatch(r"[0-9]*\.?[0-9]+", box[2 + i]):
+            size[name] = round(float(box[2 + i]))
+    return {"format": "SVG", **size} if len(size) == 2 else None
 
 
 def probe(data: bytes) -> dict | None:
@@ -150,6 +297,10 @@ def probe(data: bytes) -> dict | None:
             return _tiff(data)
         if data[4:8] == b"ftyp" and data[8:12] in BRANDS:
             return _boxes(data)
+        if data[:2] == b"\xff\x0a" or data[4:12] == b"JXL \r\n\x87\n":
+            return _jxl(data)
+        if data.lstrip()[:1] == b"<" or data[:3] == b"\xef\xbb\xbf":
+            return _svg(data)
         if data[:6] in (b"GIF87a", b"GIF89a"):
             width, height = struct.unpack_from("<HH", data, 6)
             return {"format": "GIF", "width": width, "height": height}
@@ -165,7 +316,7 @@ def probe(data: bytes) -> dict | None:
             else:
                 width, height = (v & 0x3FFF for v in struct.unpack_from("<HH", data, 26))
             return {"format": "WebP", "width": width, "height": height} | _exif(_riff_chunks(data), b"EXIF")
-    except struct.error:
+    except (struct.error, IndexError):
         pass
     return None
 
