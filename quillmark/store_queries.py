@@ -72,3 +72,21 @@ def _walk(c):
     local = "/" + root.removeprefix("file:").lstrip("/")
     found = walk.with_hashes(walk.walk_images(c.spark, local, listed=200, asked=100), "md5")
     return found.select(F.substring("path", len(local) + 2, 1000).alias("name"), F.col("content_hash").alias("hash"), "size")
+
+
+@register("fresh_catalog", "SELECT path, content_hash, row_number() OVER (ORDER BY path) AS id FROM files")
+def _fresh(c):
+    """All files in a store that was empty: ids follow the paths."""
+    store = Store(c.spark, f"{shared_folder(c.spark)}/stores/{uuid4().hex}")
+    after = store.commit(annotate.upsert_files(store.open(), c.files))
+    return after.files.select("path", "content_hash", "id")
+
+
+@register("meta_stored", "SELECT 'files' AS key, count(*)::VARCHAR AS value FROM files UNION ALL SELECT 'last', max(path) FROM files UNION ALL SELECT 'versions', '3'")
+def _meta(c):
+    """What a library notes of itself, replaced and read again from the store."""
+    store, c = fresh_store(c)
+    facts = c.files.agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("last")).first()
+    c = store.commit(annotate.set_meta(annotate.set_meta(c, "files", "0"), "last", facts["last"] or ""))
+    c = store.commit(annotate.set_meta(annotate.set_meta(c, "files", str(facts["n"])), "versions", str(c.version + 1)))
+    return c.meta.select("key", "value")
