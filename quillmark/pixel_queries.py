@@ -38,13 +38,16 @@ def _pictures(c: Catalog, ending: Column, alpha: str = "ff") -> DataFrame:
 
 
 _ENDING = "['jpg', 'png', 'JPEG'][1 + doc_id % 3]"
-_ENDINGS = F.element_at(F.array(*map(F.lit, ["jpg", "png", "JPEG"])), (F.col("doc_id") % 3 + 1).cast("int"))
+
+
+def _endings() -> Column:
+    return F.element_at(F.array(*map(F.lit, ["jpg", "png", "JPEG"])), (F.col("doc_id") % 3 + 1).cast("int"))
 
 
 @register("baked_files", f"SELECT regexp_replace(path, 'txt$', {_ENDING}) AS path, CASE WHEN doc_id % 3 = 1 THEN 'PNG' ELSE 'JPEG' END AS format, {4 * SIDE}::BIGINT AS width, {4 * SIDE}::BIGINT AS height, md5(CASE WHEN doc_id % 3 = 1 THEN {_bytes_sql('content_hash', '80')} ELSE {_bytes_sql('content_hash')} END) AS pixels FROM own")
 def _baked(c):
     """Half-transparent pictures saved as JPEG (alpha is dropped) or PNG (kept), and every pixel read again."""
-    files = pixels.baked(_pictures(c, _ENDINGS, "80"))
+    files = pixels.baked(_pictures(c, _endings(), "80"))
     kind = F.when(F.substring("content", 1, 2) == F.unhex(F.lit("ffd8")), "JPEG").otherwise("PNG")
     read = pixels.decoded(files).select("path", "data", "width", "height")
     return files.select("path", kind.alias("format")).join(read, "path").select("path", "format", "width", "height", F.md5(F.lower(F.hex("data"))).alias("pixels"))
@@ -71,7 +74,7 @@ bits AS (SELECT l.path, sum(CASE WHEN r.v > l.v THEN 1::HUGEINT << (8 * l.i + l.
 @register("photo_hashes", _HASHED + f"SELECT regexp_replace(o.path, 'txt$', {_ENDING}) AS path, CASE WHEN doc_id % 3 = 1 THEN 'PNG' ELSE 'JPEG' END AS format, {4 * SIDE}::BIGINT AS width, {4 * SIDE}::BIGINT AS height, (CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END)::BIGINT AS phash FROM own o JOIN bits b ON b.path = o.path")
 def _hashes(c):
     """What the enrichment makes of the pictures' files: headers, and hashes of their decoded and resampled pixels."""
-    return images.enriched(pixels.baked(_pictures(c, _ENDINGS))).select("path", "format", "width", "height", "phash")
+    return images.enriched(pixels.baked(_pictures(c, _endings()))).select("path", "format", "width", "height", "phash")
 
 
 @register("thumbnail_store", f"SELECT 'file://' || path AS uri, CASE WHEN doc_id % 4 = 3 THEN 'private' ELSE 'shared' END AS found_in, CASE WHEN doc_id % 2 = 0 THEN 1200 ELSE 100 END AS target, md5({_bytes_sql('content_hash')}) AS pixels FROM own")
