@@ -27,8 +27,8 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,7 +44,9 @@ from .common import documents, map_arrow, materialize, mix64
 
 BUCKETS = 600
 #: Bits of the Bloom filter, a power of two, and how many each key sets.
-SLOTS, PROBES = 1 << 25, 4
+SLOTS, PROBES = 1 << 23, 4
+#: Bitmaps that treeAggregate merges in a step: about as many reach the driver, whatever the partitions.
+FAN_IN = 4
 #: Files with so many times the rows of a mean file, and at least HOT_ROWS, are sorted in ranges; so is
 #: any file of more than RANGE_ROWS.
 HOT, HOT_ROWS, RANGE_ROWS = 4, 20_000, 4_000_000
@@ -81,13 +83,8 @@ def _keys(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def _packed(bits: np.ndarray) -> bytes:
-    """A small partition's bitmap is nearly empty: it travels compressed."""
-    return zlib.compress(bits.tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint8)
+def _bits(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8)
 
 
 def bloom(table: DataFrame, key: str) -> np.ndarray:
@@ -98,14 +95,15 @@ def bloom(table: DataFrame, key: str) -> np.ndarray:
         for batch in batches:
             bits[_slots(_keys(batch.column(0))).ravel()] = True
         if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([_packed(np.packbits(bits))], pa.binary())], names=["bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
     def merged(a: bytes | None, b: bytes | None) -> bytes | None:
-        return a or b if a is None or b is None else _packed(_unpacked(a) | _unpacked(b))
+        return a or b if a is None or b is None else (_bits(a) | _bits(b)).tobytes()
 
     maps = map_arrow(table.select(F.col(key).cast("long").alias("key")), bitmap, "bits binary").rdd.map(lambda r: bytes(r["bits"]))
-    found = maps.treeAggregate(None, merged, merged, 2) if maps.getNumPartitions() else None
-    return np.zeros(SLOTS // 8, np.uint8) if found is None else _unpacked(found)
+    parts = maps.getNumPartitions()
+    found = maps.treeAggregate(None, merged, merged, max(2, math.ceil(math.log(parts, FAN_IN)))) if parts else None
+    return np.zeros(SLOTS // 8, np.uint8) if found is None else _bits(found)
 
 
 def might_hold(spark: SparkSession, bits: np.ndarray, key: Column) -> Column:
