@@ -55,6 +55,12 @@ def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << bit for bit in chosen) for r in range(min(radius, width) + 1) for chosen in combinations(range(width), r)]
 
 
+def mask_array(width: int, radius: int) -> Column:
+    """The masks of a neighbourhood as one constant: built by the parser, not by a call for each of them."""
+    signed = (m - (1 << BITS) if m >> (BITS - 1) else m for m in _masks(width, radius))
+    return F.expr("array(" + ", ".join(f"bigint('{m}')" if m == -(1 << (BITS - 1)) else f"{m}L" for m in signed) + ")")
+
+
 def _bits(column: Column, low: int, width: int) -> Column:
     moved = F.shiftrightunsigned(column, low)
     return moved if width == BITS else moved.bitwiseAND(F.lit((1 << width) - 1))
@@ -64,8 +70,7 @@ def candidates(values: DataFrame, found: list[tuple[int, int, int]]) -> DataFram
     """(a, b, band) of distinct hashes that are within the radius in a band: one row for each such band."""
     def asked(i: int, low: int, width: int, radius: int) -> Column:
         mine = _bits(F.col("hash"), low, width)
-        masks = F.array(*[F.lit(m).cast("bigint") for m in _masks(width, radius)])
-        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("band"), mine.bitwiseXOR(m).alias("bits")))
+        return F.transform(mask_array(width, radius), lambda m: F.struct(F.lit(i).alias("band"), mine.bitwiseXOR(m).alias("bits")))
 
     own = F.array(*[F.struct(F.lit(i).alias("band"), _bits(F.col("hash"), low, w).alias("bits")) for i, (low, w, _) in enumerate(found)])
     left = values.select(F.col("hash").alias("a"), F.explode(F.flatten(F.array(*[asked(i, *band) for i, band in enumerate(found)]))).alias("k")).select("a", "k.band", "k.bits")

@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.components import components, written
-from ..plans.hamming import _bits, _masks, bands, best_bands, close_pairs, distance
+from ..plans.hamming import _bits, bands, best_bands, close_pairs, distance, mask_array
 from .versions import Versioned
 
 
@@ -28,6 +28,11 @@ def distinct_hashes(hashes: DataFrame) -> DataFrame:
     return hashes.select(F.col(name).cast("bigint").alias("hash")).filter("hash IS NOT NULL").distinct()
 
 
+def _reach(bits: Column, width: int, radius: int) -> Column:
+    """All values of a band within a radius of its bits."""
+    return F.transform(mask_array(width, radius), lambda m: bits.bitwiseXOR(m))
+
+
 class HashIndex(Versioned):
     """The index in a folder; ``version`` is the one that is read."""
 
@@ -83,8 +88,7 @@ class HashIndex(Versioned):
         found, missed = None, F.lit(True)
         for i, (low, width, radius) in enumerate(self.bands):
             own = _bits(F.col("query"), low, width)
-            reach = F.array(*[own.bitwiseXOR(F.lit(m).cast("bigint")) for m in _masks(width, radius)])
-            probes = asked.select("query", F.explode(reach).alias("bits"))
+            probes = asked.select("query", F.explode(_reach(own, width, radius)).alias("bits"))
             rows = self._read(f"bands/band={i}", "bits long, hash long")
             met = probes.join(rows, "bits").filter((distance(F.col("query"), F.col("hash")) <= most) & missed).select("query", "hash")
             found = met if found is None else found.unionByName(met)
