@@ -60,8 +60,8 @@ GRID_QUEUE, STRIP_QUEUE, STRIP_LOADING = 512, 96, 8
 
 
 def nearest(items: DataFrame, position: str, center: float, limit: int = GRID_QUEUE) -> DataFrame:
-    """The items closest to a place in the view: what to load next."""
-    return items.orderBy(F.abs(F.col(position) - center), position).limit(limit)
+    """The items closest to a place in the view: what to load next. Items of one place are taken by their paths."""
+    return items.orderBy(F.abs(F.col(position) - center), position, "path").limit(limit)
 
 
 # --- orders by user-supplied keys ----------------------------------------------------------

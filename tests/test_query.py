@@ -139,3 +139,11 @@ def test_scripts_of_a_folder(spark, tmp_path):
     c = files(spark, record("/g/big", size=9), record("/g/small", size=1))
     assert [r.name for r in keys.sorted_or_by_name(grid.grid(c), "Size").collect()] == ["small", "big"]
     assert [r.name for r in grid.nearest(grid.grid(c), "size", 8.0, 1).collect()] == ["big"]
+
+
+def test_nearest_of_one_place_by_path(spark):
+    """Items of one place are taken by their paths, in whatever order they come."""
+    names = [f"/g/{i:02}" for i in range(20)]
+    for rows in (names, names[::-1], names[10:] + names[:10]):
+        items = spark.createDataFrame([(n, 7) for n in rows], "path string, pos long")
+        assert sorted(r.path for r in grid.nearest(items, "pos", 5.0, 3).collect()) == names[:3]
