@@ -221,3 +221,17 @@ def test_resampling_weights(size, new):
         assert np.allclose(weights, np.eye(size))
     flat = np.full((size, size, 3), 99, np.uint8)
     assert pixels.gradient_hash(flat.tobytes(), size, size) == 0
+
+
+def test_pictures_are_coded_together(monkeypatch):
+    """Pictures of one or many sizes, with what cannot be read between them, as each one alone, in blocks."""
+    several = [picture(20, 33, 4), 255 - picture(20, 33, 4), np.full((20, 33, 4), 128, np.uint8)]
+    for chroma, restart in ((1, 0), (2, 2)):
+        assert jpeg.encode_all(np.stack(several), 90, chroma, restart) == [jpeg.encode(x, 90, chroma, restart) for x in several]
+    contents = [*map(jpeg.encode, several), None, jpeg.encode(picture(9, 9, 1)), jpeg.encode(several[0])[:200], pixels.encode_png(several[1]), jpeg.encode(several[2], 50, 2), b"no picture"]
+    alone = [list(pixels.pixels_of_all([c]))[0] for c in contents]
+    assert [x is None for x in alone] == [False, False, False, True, False, True, False, False, True]
+    for together in (1, 3000, 1 << 19):
+        monkeypatch.setattr(pixels, "TOGETHER", together)
+        read = list(pixels.pixels_of_all(contents))
+        assert all((a is None and b is None) or (a == b).all() for a, b in zip(read, alone, strict=True))
