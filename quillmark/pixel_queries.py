@@ -47,10 +47,8 @@ def _endings() -> Column:
 @register("baked_files", f"SELECT regexp_replace(path, 'txt$', {_ENDING}) AS path, CASE WHEN doc_id % 3 = 1 THEN 'PNG' ELSE 'JPEG' END AS format, {4 * SIDE}::BIGINT AS width, {4 * SIDE}::BIGINT AS height, md5(CASE WHEN doc_id % 3 = 1 THEN {_bytes_sql('content_hash', '80')} ELSE {_bytes_sql('content_hash')} END) AS pixels FROM own")
 def _baked(c):
     """Half-transparent pictures saved as JPEG (alpha is dropped) or PNG (kept), and every pixel read again."""
-    files = pixels.baked(_pictures(c, _endings(), "80"))
-    kind = F.when(F.substring("content", 1, 2) == F.unhex(F.lit("ffd8")), "JPEG").otherwise("PNG")
-    read = pixels.decoded(files).select("path", "data", "width", "height")
-    return files.select("path", kind.alias("format")).join(read, "path").select("path", "format", "width", "height", F.md5(F.lower(F.hex("data"))).alias("pixels"))
+    read = pixels.decoded(pixels.baked(_pictures(c, _endings(), "80")))
+    return read.select("path", "format", "width", "height", F.md5(F.lower(F.hex("data"))).alias("pixels"))
 
 
 def _weights_sql(n: int) -> str:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from quillmark.functions import jpeg, pixels
+from quillmark.registry import queries
 from quillmark.sources import images
 
 
@@ -235,3 +236,9 @@ def test_pictures_are_coded_together(monkeypatch):
         monkeypatch.setattr(pixels, "TOGETHER", together)
         read = list(pixels.pixels_of_all(contents))
         assert all((a is None and b is None) or (a == b).all() for a, b in zip(read, alone, strict=True))
+
+
+def test_each_picture_is_made_and_read_once(spark):
+    """baked_files: one pass that encodes, one that decodes, and no join that would repeat the first."""
+    plan = queries()["baked_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 2 and "Join" not in plan
