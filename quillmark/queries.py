@@ -64,11 +64,11 @@ durable AS (
 _ROW = "id, path, content_hash, size"
 
 
-def register(name: str, sql: str | None):
-    """Register build(catalog) under the name, with SQL over the derived tables."""
+def register(name: str, sql: str | None, once: bool = False):
+    """Register build(catalog) under the name, with SQL over the derived tables; once: as in from_testdata."""
 
     def add(build: Callable[[Catalog], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: build(from_testdata(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: build(from_testdata(spark, sf_dir, once))
         if sql is not None:
             ORACLES[name] = TABLES + sql
         return build

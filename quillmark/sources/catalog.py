@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
+from ..plans.components import written
 from . import segments
 from .schema import CURRENT_VERSION, SCHEMAS, SORT_KEYS, conform, tables_at
 from .segments import Segment
@@ -25,6 +28,9 @@ from .versions import CommitConflict, Versioned
 
 __all__ = ["Catalog", "CommitConflict", "Store", "empty", "from_testdata", "migrated"]
 
+#: Tables of one commit that are written at a time: most of a small one's time is waiting for its jobs.
+WRITERS = 4
+
 Table = DataFrame | Callable[[], DataFrame]
 
 
@@ -128,8 +134,11 @@ class Store(Versioned):
         """Write a new version on top of the one that the catalogue came from."""
         number = catalog.version + 1
         old = self.entry(catalog.version)["tables"] if catalog.origin == self.root and catalog.version else {}
-        paths = {n: self._written(catalog, n, p if (p := old.get(n, "")).endswith(".json") else None) for n in SCHEMAS}
-        self.publish(number, {"schema": CURRENT_VERSION, "tables": paths})
+        one = lambda n: self._written(catalog, n, p if (p := old.get(n, "")).endswith(".json") else None)
+        with ThreadPoolExecutor(WRITERS) as pool:
+            paths = {n: pool.submit(inheritable_thread_target(self.spark)(partial(one, n))) for n in SCHEMAS}
+        # Published once every table is written; what failed is raised here.
+        self.publish(number, {"schema": CURRENT_VERSION, "tables": {n: path.result() for n, path in paths.items()}})
         return self.open(number)
 
     def backup_to(self, destination: str, version: int | None = None) -> Catalog:
@@ -141,9 +150,14 @@ class Store(Versioned):
         return copy.commit(replace(source, version=0))
 
 
-def from_testdata(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The catalogue that the queries run on, derived from documents and labels."""
+def from_testdata(spark: SparkSession, sf_dir: str, once: bool = False) -> Catalog:
+    """The catalogue that the queries run on, derived from documents and labels.
+
+    once: texts are read and hashed once, into a written table, for those who read many of its tables.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5("text").alias("h"), "lang", "source", "n_chars")
+    if once:
+        docs = written(docs, "hashed")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     i = F.col("doc_id")
     seen = i % 7 != 0

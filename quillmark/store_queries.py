@@ -26,7 +26,7 @@ def fresh_store(c: Catalog) -> tuple[Store, Catalog]:
 _COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("files", "tags", "file_tags", "ratings", "collections", "collection_items", "comments", "orientations", "crops"))
 
 
-@register("commit_writes", f", counted AS ({_COUNTS} UNION ALL SELECT 'meta', 0) SELECT name, name IN ('ratings', 'tags', 'file_tags') AS written, n + CASE name WHEN 'tags' THEN 1 WHEN 'file_tags' THEN 1 WHEN 'ratings' THEN (SELECT count(*) FILTER (c = 0) FROM (SELECT count(*) AS c FROM ratings WHERE content_hash = (SELECT min(content_hash) FROM own))) ELSE 0 END AS rows FROM counted")
+@register("commit_writes", f", counted AS ({_COUNTS} UNION ALL SELECT 'meta', 0) SELECT name, name IN ('ratings', 'tags', 'file_tags') AS written, n + CASE name WHEN 'tags' THEN 1 WHEN 'file_tags' THEN 1 WHEN 'ratings' THEN (SELECT count(*) FILTER (c = 0) FROM (SELECT count(*) AS c FROM ratings WHERE content_hash = (SELECT min(content_hash) FROM own))) ELSE 0 END AS rows FROM counted", once=True)
 def _commit(c):
     """After one rating and one tag: which tables were written at all, and what the manifests count."""
     store, c = fresh_store(c)
@@ -40,7 +40,7 @@ def _commit(c):
 _KIND = "regexp_extract(path, '([0-9]+)[.]txt$', 1)::BIGINT"
 
 
-@register("enrichment_run", f", read AS (SELECT path, width, height, format, width IS NULL AND NOT missing AS waits, {_KIND} AS d FROM files) SELECT path, CASE WHEN NOT waits THEN format WHEN d % 4 = 0 THEN 'PNG' WHEN d % 4 = 1 THEN 'GIF' WHEN d % 4 = 2 THEN 'BMP' END AS format, CASE WHEN NOT waits THEN width WHEN d % 4 = 3 THEN 0 ELSE 1 + d % 200 END AS width, CASE WHEN NOT waits THEN height WHEN d % 4 = 3 THEN 0 ELSE 1 + d % 100 END AS height FROM read")
+@register("enrichment_run", f", read AS (SELECT path, width, height, format, width IS NULL AND NOT missing AS waits, {_KIND} AS d FROM files) SELECT path, CASE WHEN NOT waits THEN format WHEN d % 4 = 0 THEN 'PNG' WHEN d % 4 = 1 THEN 'GIF' WHEN d % 4 = 2 THEN 'BMP' END AS format, CASE WHEN NOT waits THEN width WHEN d % 4 = 3 THEN 0 ELSE 1 + d % 200 END AS width, CASE WHEN NOT waits THEN height WHEN d % 4 = 3 THEN 0 ELSE 1 + d % 100 END AS height FROM read", once=True)
 def _enrich(c):
     """All files that wait are decoded into a store, a snapshot for each segment's worth of them."""
     store, _ = fresh_store(c)
@@ -49,7 +49,7 @@ def _enrich(c):
     return store.open().files.select("path", "format", "width", "height")
 
 
-@register("oplog_run", _OPS_STATE)
+@register("oplog_run", _OPS_STATE, once=True)
 def _oplog(c):
     """The log in three parts, each appended to a folder and folded into the store by a streaming query."""
     store, _ = fresh_store(c)
@@ -74,7 +74,7 @@ def _walk(c):
     return found.select(F.substring("path", len(local) + 2, 1000).alias("name"), F.col("content_hash").alias("hash"), "size")
 
 
-@register("fresh_catalog", "SELECT path, content_hash, row_number() OVER (ORDER BY path) AS id FROM files")
+@register("fresh_catalog", "SELECT path, content_hash, row_number() OVER (ORDER BY path) AS id FROM files", once=True)
 def _fresh(c):
     """All files in a store that was empty: ids follow the paths."""
     store = Store(c.spark, f"{shared_folder(c.spark)}/stores/{uuid4().hex}")
@@ -82,7 +82,7 @@ def _fresh(c):
     return after.files.select("path", "content_hash", "id")
 
 
-@register("meta_stored", "SELECT 'files' AS key, count(*)::VARCHAR AS value FROM files UNION ALL SELECT 'last', max(path) FROM files UNION ALL SELECT 'versions', '3'")
+@register("meta_stored", "SELECT 'files' AS key, count(*)::VARCHAR AS value FROM files UNION ALL SELECT 'last', max(path) FROM files UNION ALL SELECT 'versions', '3'", once=True)
 def _meta(c):
     """What a library notes of itself, replaced and read again from the store."""
     store, c = fresh_store(c)

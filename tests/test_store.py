@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillmark.operators import annotate
 from quillmark.sources import segments
-from quillmark.sources.catalog import CommitConflict, Store, empty
+from quillmark.sources.catalog import CommitConflict, Store, empty, from_testdata
 from quillmark.sources.schema import SCHEMAS, conform
 from quillmark.sources.segments import Segment
 
@@ -139,3 +140,32 @@ def test_versions_of_whole_folders_are_still_read(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     after = store.commit(annotate.set_rating(store.open(), "A", 2))
     assert after.version == 2 and after.files.count() == 1 and after.ratings.first()["rating"] == 2
+
+
+def test_tables_of_a_commit_are_written_side_by_side(spark, tmp_path, monkeypatch):
+    """Two writes meet before either goes on; a table that fails leaves no version behind."""
+    meet, write = threading.Barrier(2), segments.write
+    monkeypatch.setattr(segments, "write", lambda *a: (meet.wait(60), write(*a))[1])
+    store = Store(spark, str(tmp_path / "two"))
+    assert store.commit(empty(spark)).version == 1
+
+    def fails(rows, key, folder, *rest):
+        if "ratings" in folder:
+            raise OSError("full")
+        return write(rows, key, folder, *rest)
+
+    monkeypatch.setattr(segments, "write", fails)
+    store = Store(spark, str(tmp_path / "none"))
+    with pytest.raises(OSError, match="full"):
+        store.commit(empty(spark))
+    assert store.versions() == []
+
+
+def test_texts_are_hashed_once_for_stores(spark):
+    """A store's tables come from a written table of hashes, not from the texts again and again."""
+    sf_dir = "/root/testdata/sf0.001"
+    once, plain = from_testdata(spark, sf_dir, once=True), from_testdata(spark, sf_dir)
+    for name in ("files", "file_tags", "ratings", "crops", "collection_items"):
+        plan = once.table(name)._jdf.queryExecution().optimizedPlan().toString()
+        assert "md5(cast(text" not in plan and "md5(cast(text" in plain.table(name)._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(str, once.table(name).collect())) == sorted(map(str, plain.table(name).collect()))
