@@ -19,8 +19,9 @@ probability (1 - 0.8**4)**32 < 1e-7. Texts that share a band are candidates:
    exact multiset similarity is linked; connected components follow.
 3. Buckets whose texts are still in several components are compared in full, but for pairs inside
    a component: if few texts are outside the largest component, pair by pair; else in blocks of
-   texts, each block pair a row of its own that returns only a spanning forest. So no link is lost
-   and no group is cut off.
+   texts, each block pair a row of its own that returns only a spanning forest. There each text
+   outside the largest component meets all texts of the other block at once: its grams are marked,
+   and the marks at the others' grams are summed up. So no link is lost and no group is cut off.
 
 The result does not depend on the order of rows: a class is a connected component of "alike".
 
@@ -50,7 +51,7 @@ DART_BYTES = 8192
 #: A bucket with at most so many texts outside its largest component is compared pair by pair.
 LOOSE_TEXTS = 48
 #: Any other bucket is compared in blocks of so many texts.
-BLOCK_TEXTS = 256
+BLOCK_TEXTS = 1024
 #: Or, where these are long, of so many bytes (each code point counts as four).
 BLOCK_TEXT_BYTES = 8 << 20
 
@@ -214,30 +215,57 @@ def _verified(least: float, n: int):
     return run
 
 
+def spanning(sets: Multisets, labels: np.ndarray, meetings: list[tuple[np.ndarray, np.ndarray]], least: float) -> list[tuple[int, int]]:
+    """Links that join what is alike across labels: of each meeting (some, others), all of some with all of others.
+
+    Links inside of what the labels or earlier links join are left out.
+    """
+    size = np.array([len(k) for k in sets.keys])
+    element = np.split(np.unique(np.concatenate(sets.keys), return_inverse=True)[1], np.cumsum(size)[:-1])
+    label = labels.copy()
+    mark = np.zeros(max((int(e.max()) for e in element if len(e)), default=0) + 1, np.int32)
+    links = []
+    for some, others in meetings:
+        others = others[size[others] > 0]
+        if not len(others):
+            continue
+        others = others[np.argsort(size[others], kind="stable")]
+        many = size[others]
+        end = np.cumsum(many)
+        start = end - many
+        flat = np.concatenate([element[j] for j in others])
+        for i in some:
+            # Only texts of like size can be alike.
+            lo, hi = np.searchsorted(many, least * size[i] - 1e-6), np.searchsorted(many, size[i] / least + 1e-6, side="right")
+            if lo >= hi or (label[others[lo:hi]] == label[i]).all():
+                continue
+            mark[element[i]] = 1
+            both = np.add.reduceat(mark[flat[start[lo] : end[hi - 1]]], start[lo:hi] - start[lo])
+            mark[element[i]] = 0
+            near = others[lo:hi][both >= least * (size[i] + many[lo:hi] - both) - 1e-9]
+            for j in near[label[near] != label[i]]:
+                if label[j] != label[i]:
+                    links.append((int(i), int(j)))
+                    label[label == label[j]] = label[i]
+    return links
+
+
 def _forests(least: float, n: int):
-    """A spanning forest of the links between two blocks of texts of one bucket."""
+    """A spanning forest of the links between two blocks of texts of one bucket, or inside of one."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (members,) in rows_of(batches, "members", step=1):
+        for low, high, members in rows_of(batches, "low", "high", "members", step=1):
             members = sorted({m["node"]: m for m in members}.values(), key=lambda m: m["node"])
-            sets = Multisets([m["text"] for m in members], n)
-            label = {m["root"]: m["root"] for m in members}
-
-            def top(x: int) -> int:
-                while label[x] != x:
-                    label[x] = label[label[x]]
-                    x = label[x]
-                return x
-
-            links = []
-            for i, x in enumerate(members):
-                for j in range(i):
-                    p, q = top(x["root"]), top(members[j]["root"])
-                    if p != q and sets.alike(i, j, least):
-                        links.append((x["node"], members[j]["node"]))
-                        label[max(p, q)] = min(p, q)
+            labels, count = np.unique([m["root"] for m in members], return_inverse=True, return_counts=True)[1:]
+            first = np.array([m["part"] == low for m in members])
+            main = labels == np.argmax(count)
+            if low == high:
+                meetings = [(np.flatnonzero(~main), np.arange(len(members)))]
+            else:
+                meetings = [(np.flatnonzero(first & ~main), np.flatnonzero(~first)), (np.flatnonzero(~first & ~main), np.flatnonzero(first & main))]
+            links = spanning(Multisets([m["text"] for m in members], n), labels, meetings, least)
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([members[x[i]]["node"] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -300,9 +328,9 @@ def near_classes(docs: DataFrame, n: int = WORDS, least: float = SIMILARITY) ->
     parts = F.greatest(F.ceil(F.col("size") / BLOCK_TEXTS), F.ceil(F.col("all_bytes") / BLOCK_TEXT_BYTES)).cast("int")
     dealt = large.select("band", "node", "root", parts.alias("parts"), F.pmod(F.xxhash64("node", "band"), parts).cast("int").alias("part"))
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("low"), F.greatest(p, F.col("part")).alias("high")))
-    spread = dealt.select("band", "node", "root", F.explode(meets).alias("m")).join(texts, "node")
-    groups = spread.groupBy("band", "m").agg(F.collect_list(F.struct("node", "root", "text")).alias("members"))
-    links = links.unionByName(map_arrow(groups.select("members"), _forests(least, n), "a long, b long"))
+    spread = dealt.select("band", "node", "root", "part", F.explode(meets).alias("m")).join(texts, "node")
+    groups = spread.groupBy("band", "m").agg(F.collect_list(F.struct("node", "root", "part", "text")).alias("members"))
+    links = links.unionByName(map_arrow(groups.select("m.low", "m.high", "members"), _forests(least, n), "a long, b long"))
     roots = components(links)
 
     heads = materialize(nodes.join(roots, "node", "left").select("t1", "t2", "head", "twins", "copies", F.coalesce("root", "node").alias("root")), "near-heads")

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmark.llm import dartminhash as dm
@@ -131,5 +132,34 @@ def test_loose_and_blocked_buckets(spark, monkeypatch):
     assert sorted(((r.doc_id, r.class_id) for r in got), key=repr) == want
 
 
+@pytest.mark.parametrize("seed,edits,known", [(6, 0.004, False), (7, 0.008, True), (8, 0.012, True)])
+def test_blocks_link_what_is_alike_without_pairs(monkeypatch, seed, edits, known):
+    """A text meets all texts of a block at once; blocks give the components that single pairs give, as forests."""
+    texts = sorted({t for _, t, *_ in made(seed, 80, edits)} | {"one two", "one", "a a a a a a a a"})
+    sets = dm.Multisets(texts)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets.alike(i, j, 0.8)]
+
+    def classes(links):
+        label = np.arange(len(texts))
+        for i, j in links:
+            label[label == label[i]] = label[j]
+        return [int(np.flatnonzero(label == x)[0]) for x in label]
+
+    want = classes(pairs)
+    roots = classes(pairs[::3]) if known else list(range(len(texts)))
+    members = [{"node": i, "root": r, "part": i % 3, "text": t} for i, (t, r) in enumerate(zip(texts, roots, strict=True))]
+    blocks = [(low, high) for high in range(3) for low in range(high + 1)]
+    rows = [{"low": low, "high": high, "members": [m for m in members if m["part"] in (low, high)]} for low, high in blocks]
+    monkeypatch.setattr(dm.Multisets, "alike", None)
+    links = []
+    for row in rows:
+        found = [(x["a"], x["b"]) for out in dm._forests(0.8, 5)([pa.RecordBatch.from_pylist([row])]) for x in out.to_pylist()]
+        assert len(found) < max(1, len({m["root"] for m in row["members"]}))
+        assert all(row["low"] == row["high"] or a % 3 != b % 3 for a, b in found)
+        links += found
+    assert classes([*links, *enumerate(roots)]) == want
+    assert len(pairs) > 20 and len(set(want)) > 10
+
+
 def test_empty_table(spark):
     assert dm.near_classes(spark.createDataFrame([], SCHEMA)).count() == 0
